@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_token_counts",)
+_MODULES = ("op1_token_counts", "op9_packing")
 
 
 def _each():
