@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_token_counts", "op3_html_text", "op9_packing")
+_MODULES = ("op1_token_counts", "op2_language_id", "op3_html_text", "op9_packing")
 
 
 def _each():
