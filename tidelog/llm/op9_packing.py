@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import common
 from tidelog.llm.op1_token_counts import vocabulary_path
+from tidelog.llm.pretokens import PreTokens
 
 WINDOW = 4096
 END_ID = 2
@@ -33,27 +34,21 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ids: dict[str, WordIds] = {}
 
 
-class WordIds:
-    """Ids (4 little-endian bytes each) of white-space chunks, which tokenize independently of each other."""
+class WordIds(dict):
+    """Ids of white-space chunks, each worked out once while it is kept."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        super().__init__()
+        self.pretokens = PreTokens(path)
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.pretokens.of(chunk.decode())
+        return ids
 
-    def of(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        if len(self.known) > KEPT:
-            self.known = {}
-        new = list(set().union(*texts) - self.known.keys())
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            encoded = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in encoded), strict=True))
-        for words in texts:
-            yield b"".join(map(self.known.__getitem__, words))
+    def of(self, text: bytes) -> bytes:
+        if len(self) > KEPT:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 class Packer:
@@ -152,9 +147,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _ids.get(path) or _ids.setdefault(path, WordIds(path))
         end = array("I", [end_id]).tobytes()
         packer = Packer(window, TaskContext.get().partitionId() << 32)
@@ -164,8 +156,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for ids, found in common.chunks(batches, 4 << 20):
-            for i, x in zip(ids, words.of([t.split() for t in found]), strict=True):
-                packer.add(i, x + end)
+            for i, t in zip(ids, found, strict=True):
+                packer.add(i, words.of(t) + end)
             packer.fill(64 * window)
             if packer.rows:
                 yield rows()
