@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_token_counts", "op2_language_id", "op3_html_text", "op6_media", "op9_packing")
+_MODULES = ("op1_token_counts", "op2_language_id", "op3_html_text", "op6_media", "op7_quality", "op9_packing")
 
 
 def _each():
