@@ -1,7 +1,7 @@
 """Token counts without materialising ids.
 
 A text is cut at ASCII white space, which no token crosses. The pieces of each
-distinct pre-token are counted once by the tokenizer library and kept; a document's count is
+distinct pre-token are counted once by the tokenizer library's model and kept; a document's count is
 the join of its pre-token frequencies with these counts, summed. All of this is
 local to a task: the counts of a pre-token follow from the vocabulary alone, so no
 shuffle can save work that the kept table does not save already.
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import common
+from tidelog.llm.pretokens import PreTokens
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -33,28 +34,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceCounts:
-    """Token counts of pre-tokens, each asked of the library once while it is kept."""
+class PieceCounts(dict):
+    """Token counts of pre-tokens, each worked out once while it is kept."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[bytes, int] = {}
-
-    def learn(self, frequencies: list[Counter]) -> None:
-        if len(self.known) > KEPT:
-            self.known = {}
-        new = list(set().union(*frequencies) - self.known.keys())
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            encoded = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, map(len, encoded), strict=True))
+        super().__init__()
+        self.pretokens = PreTokens(path)
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self.pretokens.of(chunk.decode())) // 4
+        return n
 
     def total(self, frequency: Counter) -> int:
-        return sum(map(mul, frequency.values(), map(self.known.__getitem__, frequency)))
+        if len(self) > KEPT:
+            self.clear()
+        return sum(map(mul, frequency.values(), map(self.__getitem__, frequency)))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -68,14 +62,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pieces = _pieces.get(path) or _pieces.setdefault(path, PieceCounts(path))
         for ids, found in common.chunks(batches, 4 << 20):
-            frequencies = [Counter(t.split()) for t in found]
-            pieces.learn(frequencies)
-            n = [pieces.total(f) for f in frequencies]
+            n = [pieces.total(Counter(t.split())) for t in found]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     counted = common.texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
