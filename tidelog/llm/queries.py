@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_token_counts", "op2_language_id", "op3_html_text", "op5_mixing", "op6_media", "op7_quality", "op8_suffix_dedup", "op9_packing", "op10_simhash")
+_MODULES = ("op1_token_counts", "op2_language_id", "op3_html_text", "op4_lm_scoring", "op5_mixing", "op6_media", "op7_quality", "op8_suffix_dedup", "op9_packing", "op10_simhash")
 
 
 def _each():
