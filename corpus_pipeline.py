@@ -1,8 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five operators, each working on what the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm import op5_mixing, op7_quality, op8_suffix_dedup, op9_packing, op10_simhash
+from tidelog.llm.common import Written, release
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without boilerplate lines."""
+    return op7_quality.cleaned(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; of rows that share this id, one."""
+    found = op10_simhash.near_duplicates(docs)
+    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stay, F.expr("doc_id <=> _stays"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings that a document with a smaller id has too."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = op8_suffix_dedup.repeats(docs, carried=rest)
+    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document's words as often as the target weights take them."""
+    return op5_mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    return op9_packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("mix_to_weights", mix_to_weights),
+    ("pack_sequences", pack_sequences),
+]
+
+#: SQL can express neither a fingerprint's hashes nor a tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to documents; each result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    *before, (_, last) = STAGES
+    written = None
+    for name, stage in before:
+        new = Written(stage(spark, docs, sf_dir), name)
+        if written:
+            written.drop()
+        written, docs = new, new.read()
+        release(spark)
+    return last(spark, docs, sf_dir)

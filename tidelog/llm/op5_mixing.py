@@ -94,16 +94,8 @@ def placed(sized: DataFrame) -> DataFrame:
     return local.join(before, ["name", "known", "bucket"]).withColumn("start", F.col("local") + F.col("before")).drop("local", "before", "bucket")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of docs.
-
-    taken counts the words that the mix takes from the document, repeats counted. A source's
-    taken words differ from its target by less than a block, or by what the last, shorter
-    block of its stream lacks. Needs columns doc_id, text and source; others are ignored. A null or empty
-    text has size 0 and gives nothing; a null source is one source, last in order. Repeated rows
-    each take part. Empty tables give empty results. Sources are few (their totals are
-    gathered); documents, words and blocks are not.
-    """
+def _taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place and target; and the parts of them that are taken: first word, words, times."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
@@ -140,11 +132,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     d = placed(sized.read()).join(facts, ["name", "known"])
     spread = d.where("size > 0").select("doc_id", "row", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"))
     words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("start"), F.col("index") * block)
-    taken = spread.join(used, ["source", "index"]).groupBy("doc_id", "row", "source", "start").agg(F.sum(words * F.col("times")).alias("taken"))
+    first = F.greatest(F.lit(0), F.col("index") * block - F.col("start"))
+    return d, spread.join(used, ["source", "index"]).select("doc_id", "row", "source", "start", first.alias("first"), words.alias("words"), "times")
+
+
+def mix(docs: DataFrame, **settings: object) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of docs.
+
+    taken counts the words that the mix takes from the document, repeats counted. A source's
+    taken words differ from its target by less than a block, or by what the last, shorter
+    block of its stream lacks. Needs columns doc_id, text and source; others are ignored. A null or empty
+    text has size 0 and gives nothing; a null source is one source, last in order. Repeated rows
+    each take part. Empty tables give empty results. Sources are few (their totals are
+    gathered); documents, words and blocks are not. settings are those of _taken.
+    """
+    d, parts = _taken(docs, **settings)
+    taken = parts.groupBy("doc_id", "row", "source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     taken = taken.select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "row", "source", "start")), "taken")
     on = F.expr("of_doc_id <=> doc_id and of_row = row and of_source = source and of_start = start and size > 0")
     return d.join(taken, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, **settings: object) -> DataFrame:
+    """The mix itself, with the columns of docs: for each document and pass over its source, the words that the pass takes.
+
+    A text taken whole stays as it is; of others the taken words remain, in order, with single
+    spaces; n_chars follows. What no pass takes is gone.
+    """
+    _, parts = _taken(docs, **settings)
+    which = Window.partitionBy("doc_id", "row").orderBy("start")
+    lists = parts.groupBy("doc_id", "row", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))  # blocks of one document
+    lists = lists.withColumn("copy", F.row_number().over(which)).select(F.col("doc_id").alias("of_doc_id"), F.col("row").alias("of_row"), F.col("copy").alias("of_copy"), "parts")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumn("_row", F.xxhash64(text)).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(F.lit(0))))
+    joined = rows.join(lists, F.expr("of_doc_id <=> doc_id and of_row = _row and of_copy = _copy"))
+    joined = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("parts", lambda p: p["times"])))))
+    joined = joined.withColumn("_parts", F.filter("parts", lambda p: p["times"] >= F.col("_pass"))).withColumn("_words", F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""))
+    some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.size("_words")
+    out = joined.withColumn("_text", F.when(whole, F.col("text")).otherwise(some))
+    return out.withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}).select(*docs.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -57,9 +57,9 @@ def _repeated(hashes: Column) -> Column:
     )
 
 
-def base_metrics(docs: DataFrame) -> DataFrame:
-    """One row for each document with the base counts, host, text hash and the words of its distinct lines."""
-    d = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
+def base_metrics(docs: DataFrame, *carried: Column) -> DataFrame:
+    """One row for each document with the base counts, host, text hash, the words of its distinct lines and what is carried."""
+    d = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("host"), F.coalesce("text", F.lit("")).alias("t"), *carried)
     d = d.withColumns({"words": _words(F.col("t")), "raw": F.filter(F.split("t", "\n"), lambda x: F.trim(F.translate(x, "\t\r\v\f", "    ")) != ""), "lines": _lines(F.col("t")), "text_hash": F.xxhash64("t")})
     w = F.col("words")
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
@@ -74,7 +74,8 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     d = d.withColumn("n_repeat_words", F.when(twice, _repeated(F.col("windows"))).otherwise(0).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return d.select("doc_id", "host", "text_hash", "line_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    rest = d.columns[3 : 3 + len(carried)]
+    return d.select("doc_id", "host", "text_hash", "line_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *rest)
 
 
 def boilerplate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -103,6 +104,21 @@ def quality(docs: DataFrame, limit: int = LIMIT, keep: float = KEEP) -> DataFram
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"))
 
 
+def cleaned(docs: DataFrame, limit: int = LIMIT, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that quality() keeps, all columns, with boilerplate lines removed from text and n_chars to match.
+
+    A verdict is one for each text of a host, so verdicts join rows by these.
+    """
+    removed = boilerplate(docs, limit).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone"))  # lines of one text
+    one = base_metrics(docs).groupBy("host", "text_hash").agg(F.max("base_failed").alias("base_failed"), F.max("line_words").alias("line_words"))
+    kept = ~F.col("base_failed") & (F.col("line_words") - F.coalesce("removed_words", F.lit(0)) >= keep * F.col("line_words"))
+    verdicts = one.join(removed, ["host", "text_hash"], "left").where(kept).select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    on = (F.coalesce("source", F.lit("\0")) == F.col("_host")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(F.trim(F.regexp_replace(x, SPACE, " ")))))
+    out = docs.join(verdicts, on).withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    return out.withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}).select(*docs.columns)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
