@@ -20,8 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shards for each shuffle partition, so that hashing shards to partitions stays even.
+#: Shards for each shuffle partition at most, so that hashing shards to partitions stays even.
 SHARDS_PER_PARTITION = 4
+#: Input bytes that are worth a shard of their own, and shards that any input may have: small inputs in many
+#: partitions don't make a blob for each pair of partitions.
+SHARD_BYTES, FEW_SHARDS = 2 << 20, 64
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -60,9 +63,10 @@ def release(spark: SparkSession) -> None:
 
 
 def shards(df: DataFrame) -> int:
-    """Shards for a packed exchange of df: they grow with its input partitions."""
-    spark = df.sparkSession
-    return SHARDS_PER_PARTITION * max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    """Shards for a packed exchange of df: they grow with its size, up to a few for each partition."""
+    most = SHARDS_PER_PARTITION * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(most, max(FEW_SHARDS, -(-size // SHARD_BYTES)))
 
 
 def texts(df: DataFrame, column: str = "text") -> DataFrame:

@@ -2,13 +2,14 @@
 
 Every string of LENGTH bytes has an anchor: the place of its least-hashed GRAM bytes. Equal
 strings have equal anchors at equal places, so only suffixes that start at anchors
-(one byte in sixteen) are sorted, each with the text around it that the strings it stands for span.
+(one byte in ten) are sorted, each with the text around it that the strings it stands for span.
 Splitters sampled from the corpus range-partition the suffixes by their leading GRAM bytes,
 so that equal strings meet in one bucket and none straddles a boundary; a bucket sorts the
 strings by multikey quicksort over 8-byte characters and gives each the least doc_id that has it.
 
 The corpus is first packed into cells, tables of whole documents bucketed by a hash of the id.
-Round one sends each cell's distinct anchor hashes and learns which occur in other cells. Round two
+Exact copies of a text with a smaller id are found by a hash of the whole text and take no part
+in what follows: nothing is left of them. Round one sends each cell's distinct anchor hashes and learns which occur in other cells. Round two
 sends the contexts of those, once for each cell and distinct context. What a cell sends of
 any one string is a single entry, so a passage in a third of all documents
 is no larger to its bucket than the number of cells. An anchor that more than HOT cells have is sent as
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.llm import common
 from tidelog.llm.cells import Cells, opened
 from tidelog.llm.common import Written, pack, unpack
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 32
 #: Cells that an anchor may occur in before its strings are spread singly.
 HOT = 64
 #: Anchors from which splitters are taken, over all cells.
@@ -84,17 +86,22 @@ def _anchors(text: bytes, length: int, gram: int, at: int) -> tuple[np.ndarray,
 class Cell:
     """The documents of a cell and the anchors of them all."""
 
-    def __init__(self, blobs: list[bytes], length: int, gram: int):
+    def __init__(self, blobs: list[bytes], copies: list[int] | None, length: int, gram: int):
         self.length, self.gram = length, gram
         self.ids, self.texts, self.rest = opened(blobs)
-        found = [anchors(t, length, gram) for t in self.texts]
+        self.copies = frozenset(copies or ())
+        found = [anchors(b"" if d in self.copies else t, length, gram) for d, t in enumerate(self.texts)]
         self.doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
         self.h, self.place, self.first, self.last = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(4))
         self.h = self.h.astype(np.uint64) >> np.uint64(16)
         self.id_of = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
 
     def grams(self, at: np.ndarray) -> np.ndarray:
-        return np.array([self.texts[d][p : p + self.gram] for d, p in zip(self.doc[at].tolist(), self.place[at].tolist(), strict=True)], f"S{self.gram}")
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(self.texts) + bytes(self.gram), np.uint8)
+        rows = np.lib.stride_tricks.sliding_window_view(data, self.gram)[begin[self.doc[at]] + self.place[at]]
+        return np.ascontiguousarray(rows).view(f"S{self.gram}").ravel()
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchor hashes, and an anchor that has each."""
@@ -232,18 +239,35 @@ def _splitters(cells: Cells, n: int, length: int, gram: int) -> np.ndarray:
     return sample[(np.arange(1, n) * len(sample)) // n] if len(sample) else sample
 
 
+def _copies(cells: Cells, length: int) -> DataFrame:
+    """cell and the place in it of each document whose whole text a smaller id has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, texts, _ = opened(blobs)
+                rows = [(cell, k, NO_ID if i is None else i, hashlib.blake2b(t, digest_size=16).digest()) for k, (i, t) in enumerate(zip(ids, texts, strict=True)) if len(t) >= length]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["cell", "place", "id", "hash"])
+
+    found = Written(cells.read().select("cell", "docs").mapInArrow(run, "cell int, place int, id long, hash binary"), "texts").read()
+    least = found.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
+    return found.join(least, "hash").where("id > least").groupBy("cell").agg(F.collect_list("place").alias("copies"))  # documents of one cell
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carried: tuple[str, ...] = ()) -> DataFrame:
     """Removes every byte covered by a string of length bytes that also starts in a document with a smaller doc_id.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and the
-    carried columns of every row of docs. Needs columns doc_id and text; others are ignored unless
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining
+    bytes as text, without characters that removal has cut) and the carried columns of every row of docs. Needs columns doc_id and text; others are ignored unless
     carried. A null text is empty. Texts shorter than length lose nothing. Rows with the same
     id never take from each other; null ids count as larger than all others. Empty tables give empty
-    results. Texts of any length are read whole, as UTF-8 bytes; a removed run may end within a character.
+    results. Texts of any length are read whole, as UTF-8 bytes.
     """
     n = common.shards(docs)
     cells = Cells(docs, n, list(carried))
     splitters = _splitters(cells, n, length, gram)
+    copies = Written(_copies(cells, length), "copies").read()
 
     def bucket(grams: np.ndarray) -> np.ndarray:
         return np.searchsorted(splitters, grams, side="right")
@@ -253,8 +277,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
     def sent_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, docs_of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cell = Cell(docs_of, length, gram)
+            for number, docs_of, copies_of in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                cell = Cell(docs_of, copies_of, length, gram)
                 h, at = cell.distinct()
                 to = bucket(cell.grams(at))
                 order = np.lexsort((h, to))
@@ -285,8 +309,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
     def sent_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, docs_of, answers in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                found = known(Cell(docs_of, length, gram), answers)
+            for number, docs_of, copies_of, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                found = known(Cell(docs_of, copies_of, length, gram), answers)
                 if not found:
                     continue
                 es = list(found)
@@ -309,8 +333,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for docs_of, shared_of, answers in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                cell = Cell(docs_of, length, gram)
+            for docs_of, copies_of, shared_of, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                cell = Cell(docs_of, copies_of, length, gram)
                 found = known(cell, shared_of)
                 marks = [None] * len(cell.ids)
 
@@ -331,26 +355,29 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                         for d, a in occurrences[k]:
                             cover(d, a + first, a + end - 1 + length)
                 rows = []
-                for i, text, mark, rest in zip(cell.ids, cell.texts, marks, cell.rest, strict=True):
+                for d, (i, text, mark, rest) in enumerate(zip(cell.ids, cell.texts, marks, cell.rest, strict=True)):
                     spans, kept = 0, text
-                    if mark is not None:
+                    if d in cell.copies:
+                        spans, kept = 1, b""
+                    elif mark is not None:
                         gone = np.cumsum(mark[:-1]) > 0
                         spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                    rows.append((i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept, *rest))
+                    rows.append((i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"), *rest))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carried]
-    types = [pa.int64()] * 4 + [pa.string(), pa.binary()] + [pa.int64() if docs.schema[c].dataType.simpleString() == "bigint" else pa.string() for c in carried]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    types = [pa.int64()] * 4 + [pa.string(), pa.string()] + [pa.int64() if docs.schema[c].dataType.simpleString() == "bigint" else pa.string() for c in carried]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     packed, answer = "bucket int, cell int, blob binary", "cell int, blob binary"
-    elsewhere = Written(cells.read().select("cell", "docs").mapInArrow(sent_anchors, packed).groupBy("bucket").applyInArrow(shared, answer), "shared")
+    with_copies = cells.read().hint("merge").join(copies, "cell", "left")
+    elsewhere = Written(with_copies.select("cell", "docs", "copies").mapInArrow(sent_anchors, packed).groupBy("bucket").applyInArrow(shared, answer), "shared")
     common.release(docs.sparkSession)
-    contexts = cells.with_answers(elsewhere.read()).select("cell", "docs", "answers0").mapInArrow(sent_contexts, packed)
+    contexts = cells.with_answers(elsewhere.read()).join(copies, "cell", "left").select("cell", "docs", "copies", "answers0").mapInArrow(sent_contexts, packed)
     removed = Written(contexts.groupBy("bucket").applyInArrow(judged, answer), "removed")
     common.release(docs.sparkSession)
-    return cells.with_answers(elsewhere.read(), removed.read()).select("docs", "answers0", "answers1").mapInArrow(applied, schema)
+    return cells.with_answers(elsewhere.read(), removed.read()).join(copies, "cell", "left").select("docs", "copies", "answers0", "answers1").mapInArrow(applied, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
