@@ -1,11 +1,499 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, each with the DuckDB SQL that must give the same rows.
+
+The mutation log is the events table; see operators.model.events_log. A second, L1-like layout cuts its keys
+into eight disjoint files.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import bloom
+from tidelog.functions.keys import file_name, matches, oversized
+from tidelog.operators import cache_sim, check, compact, layout, metrics, scan, state, workload
+from tidelog.operators.merge import merge
+from tidelog.operators.model import entry_size, events_log, explode_batches, orders_log
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+PREFIX = """
+WITH log AS (
+  SELECT concat('user:', lpad(CAST(user_id AS VARCHAR), 6, '0')) AS k, event_id + 1 AS seq, (event_type = 'error') AS tomb,
+         CASE WHEN event_type = 'error' THEN NULL ELSE props END AS v, CAST(floor(event_id / 500) AS BIGINT) AS fno,
+         strlen(concat('user:', lpad(CAST(user_id AS VARCHAR), 6, '0'))) + CASE WHEN event_type = 'error' THEN 0 ELSE strlen(props) END AS ub
+  FROM events),
+newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log) t WHERE rn = 1),
+live AS (SELECT * FROM newest WHERE NOT tomb),
+files AS (SELECT 0 AS level, fno, CAST(sum(ub + 24) AS BIGINT) AS size, min(k) AS lo, max(k) AS hi, min(seq) AS slo, max(seq) AS shi,
+          count(*) AS n, count(DISTINCT k) AS nk FROM log GROUP BY fno),
+ranked AS (SELECT k, row_number() OVER (ORDER BY k) AS rn, count(*) OVER () AS total FROM (SELECT DISTINCT k FROM log) t),
+l1 AS (SELECT 1 AS level, CAST(floor((rn - 1) * 8 / total) + 1 AS BIGINT) AS fno, min(k) AS lo, max(k) AS hi FROM ranked GROUP BY 2)
+"""
+
+
+def query(sql: str | None, prefix: bool = True) -> Callable:
+    def add(f: Callable) -> Callable:
+        _Q[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = (PREFIX if prefix else "") + sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").alias("k"), "seq", F.col("value").alias("v"))
+
+
+def _keys(spark: SparkSession, *keys: str) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in keys], "key string")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.file_metadata(events_log(spark, sf_dir))
+
+
+def _l1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.file_metadata(layout.assign_levels(events_log(spark, sf_dir), 8))
+
+
+# --- state and lookups ---
+
+
+@query("SELECT k, seq, v FROM live")
+def live_state(spark, sf_dir):
+    return _shown(state.live(events_log(spark, sf_dir)))
+
+
+@query("SELECT k, seq, v FROM (SELECT concat('cust:', CAST(o_custkey AS VARCHAR)) AS k, o_orderkey AS seq, o_orderpriority AS v, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) t WHERE rn = 1 AND s <> 'F'", prefix=False)
+def live_state_orders(spark, sf_dir):
+    return _shown(state.live(orders_log(spark, sf_dir)))
+
+
+@query("SELECT k, seq, v FROM live WHERE k = 'user:000001'")
+def get_point(spark, sf_dir):
+    return _shown(state.get(events_log(spark, sf_dir), "user:000001"))
+
+
+@query("SELECT k, seq, v FROM live WHERE k = (SELECT min(k) FROM newest WHERE tomb)")
+def get_tombstoned(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    key = state.newest(log).where("tombstone").agg(F.min("key")).first()[0]
+    return _shown(state.get(log, key or ""))
+
+
+@query("SELECT k, seq, v FROM live WHERE k = 'user:absent'")
+def get_absent(spark, sf_dir):
+    return _shown(state.get(events_log(spark, sf_dir), "user:absent"))
+
+
+@query("SELECT a.k AS k, live.v AS v FROM (VALUES ('user:000001'), ('user:000001'), ('user:000007'), ('user:absent')) a(k) LEFT JOIN live ON live.k = a.k")
+def multi_get(spark, sf_dir):
+    keys = _keys(spark, "user:000001", "user:000001", "user:000007", "user:absent")
+    return state.multi_get(events_log(spark, sf_dir), keys).select(F.col("key").alias("k"), F.col("value").alias("v"))
+
+
+@query("SELECT count(*) AS n FROM (VALUES ('user:000001'), ('user:000001'), ('user:000007'), ('user:absent')) a(k) JOIN live ON live.k = a.k")
+def exists_with_duplicates(spark, sf_dir):
+    return state.exists(events_log(spark, sf_dir), _keys(spark, "user:000001", "user:000001", "user:000007", "user:absent"))
+
+
+@query(", b AS (SELECT *, lag(tomb) OVER (PARTITION BY k ORDER BY seq) AS prev FROM log) SELECT count(*) AS deletes, count(*) FILTER (NOT prev) AS existed FROM b WHERE tomb")
+def delete_effects(spark, sf_dir):
+    return state.delete_effects(events_log(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n FROM live")
+def dbsize(spark, sf_dir):
+    return state.dbsize(events_log(spark, sf_dir))
+
+
+@query("SELECT k, (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY k) AS seq, tomb FROM newest")
+def reload_resequenced(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    highest = log.agg(F.max("seq")).first()[0]
+    return state.reload(log, highest).select(F.col("key").alias("k"), "seq", F.col("tombstone").alias("tomb"))
+
+
+@query(", w AS (SELECT k, seq, tomb FROM log UNION ALL SELECT a.k, (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY a.k), a.k = 'user:000001' FROM (VALUES ('user:000001'), ('user:zzz')) a(k)) SELECT count(*) AS n FROM (SELECT arg_max(tomb, seq) AS t FROM w GROUP BY k) x WHERE NOT t")
+def put_and_delete(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    log = state.delete(log, _keys(spark, "user:000001"))
+    return state.dbsize(state.put(log, spark.createDataFrame([("user:zzz", "new")], "key string, value string")))
+
+
+@query("SELECT k, seq + 0 AS seq, tomb FROM (SELECT k, min(seq) OVER (PARTITION BY fno) + (row_number() OVER (PARTITION BY fno ORDER BY seq) - 1) AS seq, tomb FROM log) t")
+def batch_records(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    record = F.struct("seq", F.col("tombstone").cast("int").alias("kind"), "key", "value")
+    batches = log.groupBy("file_number").agg(F.min("seq").alias("first"), F.sort_array(F.collect_list(record)).alias("r"))
+    batches = batches.select(F.col("first").alias("seq"), F.transform("r", lambda r: F.struct(r["kind"].alias("kind"), r["key"].alias("key"), r["value"].alias("value"))).alias("records"))
+    return explode_batches(batches).select(F.col("key").alias("k"), "seq", F.col("tombstone").alias("tomb"))
+
+
+# --- scans and merges ---
+
+
+@query("SELECT k FROM live WHERE k > 'user:000020' ORDER BY k LIMIT 10")
+def scan_page(spark, sf_dir):
+    return scan.page(events_log(spark, sf_dir), "user:000020", 10).select(F.col("key").alias("k"))
+
+
+@query("SELECT k FROM live ORDER BY k LIMIT 10")
+def scan_first(spark, sf_dir):
+    return scan.page(events_log(spark, sf_dir)).select(F.col("key").alias("k"))
+
+
+@query("SELECT k FROM live WHERE k > 'zzzz' ORDER BY k LIMIT 10")
+def scan_past_end(spark, sf_dir):
+    return scan.page(events_log(spark, sf_dir), "zzzz").select(F.col("key").alias("k"))
+
+
+@query("SELECT k FROM (SELECT k FROM live WHERE k > 'user:000010' ORDER BY k LIMIT 25) p WHERE regexp_matches(k, '^user:00001[0-5]$')")
+def scan_match_after_limit(spark, sf_dir):
+    return scan.match_page(events_log(spark, sf_dir), "user:00001[0-5]", "user:000010", 25).select(F.col("key").alias("k"))
+
+
+@query("SELECT CAST(floor((row_number() OVER (ORDER BY k) - 1) / 7) AS BIGINT) AS page_no, k FROM live")
+def scan_walk(spark, sf_dir):
+    return scan.walk(events_log(spark, sf_dir), 7).select("page_no", F.col("key").alias("k"))
+
+
+@query("SELECT url FROM pages WHERE regexp_matches(url, '^https://[^/]*/en/[^/]*$')", prefix=False)
+def glob_over_urls(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where(matches(F.col("url"), "https://*/en/*")).select("url")
+
+
+@query("SELECT k, seq, tomb, v FROM newest")
+def merge_keep_tombstones(spark, sf_dir):
+    return merge([events_log(spark, sf_dir)], True).select(F.col("key").alias("k"), "seq", F.col("tombstone").alias("tomb"), F.col("value").alias("v"))
+
+
+@query("SELECT k, seq, v FROM live")
+def merge_multi_source(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return _shown(merge([log.where(F.pmod("file_number", F.lit(4)) == k) for k in range(4)], False))
+
+
+@query(", naive AS (SELECT DISTINCT k FROM log WHERE NOT tomb) SELECT k FROM naive WHERE k NOT IN (SELECT k FROM live)")
+def wrong_policy_resurrects(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return state.early_drop(log).join(state.live(log).select("key"), "key", "left_anti").select(F.col("key").alias("k"))
+
+
+# --- files, levels, edits ---
+
+
+@query("SELECT level, fno AS file_number, size, lo AS smallest, hi AS largest, slo AS smallest_seq, shi AS largest_seq, n AS entry_count, nk AS distinct_keys FROM files")
+def table_metadata(spark, sf_dir):
+    return _files(spark, sf_dir)
+
+
+@query("SELECT a.fno AS a, b.fno AS b FROM files a JOIN files b ON a.fno < b.fno AND a.lo <= b.hi AND b.lo <= a.hi")
+def overlap_pairs(spark, sf_dir):
+    return layout.overlap_pairs(_files(spark, sf_dir)).select("a", "b")
+
+
+@query("SELECT fno AS file_number FROM l1 WHERE hi >= 'user:000003' AND lo <= 'user:000009'")
+def overlapping_range(spark, sf_dir):
+    return layout.overlapping(_l1_files(spark, sf_dir), "user:000003", "user:000009").select("file_number")
+
+
+@query("SELECT r.k, f.fno AS file_number FROM ranked r JOIN files f ON r.k BETWEEN f.lo AND f.hi")
+def file_candidates_l0(spark, sf_dir):
+    keys = events_log(spark, sf_dir).select("key").distinct()
+    return layout.candidates(keys, _files(spark, sf_dir)).select(F.col("key").alias("k"), "file_number")
+
+
+@query("SELECT r.k, f.fno AS file_number FROM ranked r JOIN l1 f ON r.k BETWEEN f.lo AND f.hi")
+def file_candidates_l1(spark, sf_dir):
+    keys = events_log(spark, sf_dir).select("key").distinct()
+    return layout.candidates(keys, _l1_files(spark, sf_dir)).select(F.col("key").alias("k"), "file_number")
+
+
+@query("SELECT 0 AS level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS target_bytes, count(*) / 4.0::DOUBLE AS score FROM files")
+def level_scores(spark, sf_dir):
+    return compact.scores(_files(spark, sf_dir))
+
+
+_LEVELS = "(VALUES (0, 3, 900), (1, 2, 1500), (2, 4, 30000), (3, 1, 10), (6, 9, 999999999)) t(level, files, bytes)"
+
+
+def _level_fixture(spark: SparkSession) -> DataFrame:
+    rows = [(level, 10 * level + k, bytes_ // n) for level, n, bytes_ in ((0, 3, 900), (1, 2, 1500), (2, 4, 30000), (3, 1, 10), (6, 9, 999999999)) for k in range(n)]
+    return spark.createDataFrame(rows, "level int, file_number long, size long")
+
+
+@query(f"SELECT level, CAST(CASE WHEN level = 0 THEN 0 ELSE 1000 * pow(10, level - 1) END AS BIGINT) AS target_bytes FROM {_LEVELS}", prefix=False)
+def level_targets(spark, sf_dir):
+    return compact.scores(_level_fixture(spark), compact.Options(base_bytes=1000)).select("level", "target_bytes")
+
+
+@query(f"SELECT level FROM {_LEVELS} WHERE level < 6 ORDER BY CASE WHEN level = 0 THEN files / 4.0 ELSE bytes / (1000 * pow(10, level - 1)) END DESC, level LIMIT 1", prefix=False)
+def worst_level(spark, sf_dir):
+    return compact.worst_level(_level_fixture(spark), compact.Options(base_bytes=1000)).select("level")
+
+
+_CHAIN = [(0, 1, 10, "a", "c", 1, 5), (0, 2, 10, "c", "f", 6, 9), (0, 3, 10, "e", "h", 10, 12), (0, 4, 10, "k", "m", 13, 15), (1, 5, 10, "b", "d", 1, 1), (1, 6, 10, "g", "j", 1, 1), (1, 7, 10, "x", "z", 1, 1), (2, 8, 10, "y", "z", 1, 1)]
+_CHAIN_SCHEMA = "level int, file_number long, size long, smallest string, largest string, smallest_seq long, largest_seq long"
+_CHAIN_SQL = "WITH f AS (SELECT * FROM (VALUES " + ", ".join(map(str, _CHAIN)) + ") t(level, file_number, size, smallest, largest, smallest_seq, largest_seq))"
+
+
+@query(_CHAIN_SQL + """, c AS (SELECT *, max(largest) OVER (ORDER BY smallest, largest, file_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM f WHERE level = 0),
+i AS (SELECT *, sum(CASE WHEN pm IS NULL OR smallest > pm THEN 1 ELSE 0 END) OVER (ORDER BY smallest, largest, file_number) AS island FROM c)
+SELECT CAST(file_number AS BIGINT) AS file_number FROM i WHERE island = (SELECT island FROM i WHERE file_number = 3)""", prefix=False)
+def l0_closure(spark, sf_dir):
+    return compact.l0_closure(spark.createDataFrame(_CHAIN, _CHAIN_SCHEMA), 3).select("file_number")
+
+
+@query(_CHAIN_SQL + " SELECT CAST(file_number AS BIGINT) AS file_number FROM f WHERE level = 1 AND largest >= 'a' AND smallest <= 'h'", prefix=False)
+def compaction_parents(spark, sf_dir):
+    files = spark.createDataFrame(_CHAIN, _CHAIN_SCHEMA)
+    return compact.parents(files, compact.l0_closure(files, 1), 0).select("file_number")
+
+
+@query(_CHAIN_SQL + " SELECT count(*) = 0 AS bottom FROM f WHERE level > 1 AND largest >= 'a' AND smallest <= 'j'", prefix=False)
+def bottom_most(spark, sf_dir):
+    files = spark.createDataFrame(_CHAIN, _CHAIN_SCHEMA)
+    base = compact.l0_closure(files, 1)
+    inputs = base.unionByName(compact.parents(files, base, 0))
+    return spark.createDataFrame([(compact.bottom_most(files, inputs, 1),)], "bottom boolean")
+
+
+@query(", n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM log WHERE fno < 4) SELECT k, seq, v FROM n WHERE r = 1 AND NOT tomb")
+def compact_bottom(spark, sf_dir):
+    return _shown(compact.run(events_log(spark, sf_dir).where("file_number < 4"), True))
+
+
+@query(", n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM log WHERE fno < 4) SELECT k, seq, v FROM n WHERE r = 1")
+def compact_not_bottom(spark, sf_dir):
+    return _shown(compact.run(events_log(spark, sf_dir).where("file_number < 4"), False))
+
+
+@query(", n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM log WHERE fno < 4) SELECT count(*) AS keys, count(*) FILTER (NOT tomb) AS entries_written, count(*) FILTER (tomb) AS tombstones_dropped FROM n WHERE r = 1")
+def compaction_accounting(spark, sf_dir):
+    return compact.accounting(events_log(spark, sf_dir).where("file_number < 4"), True)
+
+
+@query("""
+WITH RECURSIVE log AS (SELECT event_id + 1 AS seq, strlen(concat('user:', lpad(CAST(user_id AS VARCHAR), 6, '0'))) + CASE WHEN event_type = 'error' THEN 0 ELSE strlen(props) END + 48 AS size FROM events WHERE event_id < 400),
+f AS (SELECT 0 AS seq, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS n UNION ALL
+ SELECT log.seq, CASE WHEN held >= 4096 THEN size ELSE held + size END, CASE WHEN held >= 4096 THEN n + 1 ELSE n END FROM f JOIN log ON log.seq = f.seq + 1)
+SELECT max(n) AS rotations FROM f""", prefix=False)
+def rotation_fold(spark, sf_dir):
+    return metrics.rotations(events_log(spark, sf_dir).where("seq <= 400"), 4096)
+
+
+_EDITS = [
+    (1, 0, "ADD", 0, 1, 10), (1, 1, "ADD", 0, 2, 10), (1, 2, "SET_LAST_SEQUENCE", None, None, 40), (2, 0, "DELETE", 0, 1, None), (2, 1, "DELETE", 0, 2, None), (2, 2, "ADD", 1, 3, 25),
+    (3, 0, "ADD", 0, 4, 5), (4, 0, "DELETE", 1, 3, None), (4, 1, "ADD", 1, 3, 26), (5, 0, "ADD", 0, 6, 8), (5, 1, "SET_LAST_SEQUENCE", None, None, 90), (6, 0, "DELETE", 0, 4, None), (6, 1, "SET_NEXT_FILE_NUMBER", None, None, 7),
+]
+_EDITS_SQL = "WITH e AS (SELECT * FROM (VALUES " + ", ".join(str(r).replace("None", "NULL") for r in _EDITS) + ") t(edit_id, ordinal, kind, level, fno, x))"
+
+
+def _edits(spark: SparkSession) -> DataFrame:
+    rows = [(e, o, k, level, f, None if k.startswith("SET_") else x, None, None, None, None, x if k.startswith("SET_") else None) for e, o, k, level, f, x in _EDITS]
+    return spark.createDataFrame(rows, "edit_id long, ordinal int, kind string, level int, file_number long, size long, smallest string, largest string, smallest_seq long, largest_seq long, counter_value long")
+
+
+@query(_EDITS_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY level, fno ORDER BY edit_id DESC, CASE WHEN kind = 'ADD' THEN 1 ELSE 0 END DESC, ordinal DESC) AS rn FROM e WHERE kind IN ('ADD', 'DELETE')) SELECT level, CAST(fno AS BIGINT) AS file_number, CAST(x AS BIGINT) AS size FROM r WHERE rn = 1 AND kind = 'ADD'", prefix=False)
+def replay_edits(spark, sf_dir):
+    return layout.replay(_edits(spark)).select("level", "file_number", "size")
+
+
+@query(_EDITS_SQL + " SELECT kind, CAST(arg_max(x, edit_id) AS BIGINT) AS value FROM e WHERE kind LIKE 'SET_%' GROUP BY kind", prefix=False)
+def edit_counters(spark, sf_dir):
+    return layout.counters(_edits(spark))
+
+
+@query("SELECT CAST(n AS BIGINT) AS file_number FROM (VALUES (5), (9)) t(n)", prefix=False)
+def orphans(spark, sf_dir):
+    disk = spark.createDataFrame([(n,) for n in (3, 5, 6, 9)], "file_number long")
+    return layout.orphans(disk, layout.replay(_edits(spark)))
+
+
+@query("SELECT CAST(10 AS BIGINT) AS n", prefix=False)
+def next_file_number(spark, sf_dir):
+    return layout.next_file_number(spark.createDataFrame([("000003.sst",), ("000009.wal",), ("MANIFEST-000002",), ("12.sst",), ("notes",)], "name string"))
+
+
+@query("SELECT concat(lpad(CAST(fno AS VARCHAR), 6, '0'), '.sst') AS name FROM files")
+def file_names(spark, sf_dir):
+    return _files(spark, sf_dir).select(file_name(F.col("file_number")).alias("name"))
+
+
+@query("SELECT CAST(f AS BIGINT) AS file_number FROM (VALUES (1), (2)) t(f)", prefix=False)
+def obsolete_files(spark, sf_dir):
+    versions = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4)], "version int, file_number long")
+    return layout.obsolete(versions, spark.createDataFrame([(3,)], "version int"))
+
+
+# --- metrics ---
+
+
+@query("SELECT CAST((SELECT sum(ub) FROM log) AS BIGINT) AS user_bytes, CAST((SELECT sum(ub) FROM live) AS BIGINT) AS live_bytes")
+def user_and_live_bytes(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return metrics.written_bytes(log).crossJoin(metrics.live_bytes(log))
+
+
+@query("SELECT (SELECT sum(size) FROM files) / CAST((SELECT sum(ub) FROM live) AS DOUBLE) AS space_amplification")
+def space_amplification(spark, sf_dir):
+    return metrics.space_amplification(_files(spark, sf_dir), events_log(spark, sf_dir))
+
+
+@query(", c AS (SELECT sum(ub + 24) AS b FROM newest) SELECT CAST((SELECT sum(size) FROM files) AS BIGINT) AS flush_bytes, CAST((SELECT b FROM c) AS BIGINT) AS compaction_bytes, CAST((SELECT sum(ub) FROM log) AS BIGINT) AS user_bytes, CAST((SELECT sum(size) FROM files) + (SELECT b FROM c) AS DOUBLE) / (SELECT sum(ub) FROM log) AS write_amplification")
+def write_amplification(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    merged = compact.run(log, False).agg(F.sum(entry_size(F.col("key"), F.col("value"))).alias("size"))
+    return metrics.write_amplification(_files(spark, sf_dir), merged, log)
+
+
+@query("SELECT (SELECT count(*) FROM ranked) AS gets, count(*) AS table_reads, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM ranked) AS read_amplification FROM ranked r JOIN files f ON r.k BETWEEN f.lo AND f.hi")
+def read_amplification(spark, sf_dir):
+    keys = events_log(spark, sf_dir).select("key").distinct()
+    return metrics.read_amplification(keys, _files(spark, sf_dir))
+
+
+@query("SELECT CAST(sum(ub + 48) AS BIGINT) AS memtable_size FROM log")
+def memtable_size(spark, sf_dir):
+    return metrics.memtable_size(events_log(spark, sf_dir))
+
+
+@query("SELECT fno AS file_number, seq, CAST(sum(ub + 48) OVER (PARTITION BY fno ORDER BY seq) AS BIGINT) AS held FROM log")
+def memtable_running(spark, sf_dir):
+    return metrics.memtable_running(events_log(spark, sf_dir))
+
+
+@query("SELECT CAST(least(9, floor((c_custkey - 1) * 10 / (SELECT count(*) FROM customer))) AS BIGINT) AS bucket, count(*) AS n FROM customer GROUP BY 1", prefix=False)
+def range_histogram(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return metrics.spread(c, "c_custkey", 1, c.count() + 1)
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS at, count(*) AS n FROM events GROUP BY 1", prefix=False)
+def throughput_over_time(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return workload.throughput(e, "ts", "1 hour").select(F.col("at").cast("timestamp_ntz").alias("at"), "n")
+
+
+@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999, max(value) AS max FROM events GROUP BY event_type", prefix=False)
+def latency_percentiles(spark, sf_dir):
+    return workload.latency_percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", "event_type")
+
+
+@query("""SELECT 'keyspace' AS section, 'keys' AS name, CAST(count(*) AS DOUBLE) AS value FROM live
+UNION ALL SELECT 'memtable', 'memtable_size', sum(ub + 48) FROM log UNION ALL SELECT 'memtable', 'last_sequence', max(seq) FROM log
+UNION ALL SELECT 'amplification', 'user_bytes', sum(ub) FROM log UNION ALL SELECT 'amplification', 'disk_bytes_live', sum(size) FROM files
+UNION ALL SELECT 'amplification', 'logical_bytes_live', sum(ub) FROM live
+UNION ALL SELECT 'amplification', 'space_amplification', (SELECT sum(size) FROM files) / CAST((SELECT sum(ub) FROM live) AS DOUBLE)
+UNION ALL SELECT 'compaction', 'l0_files', count(*) FROM files UNION ALL SELECT 'levels', 'level0_files', count(*) FROM files
+UNION ALL SELECT 'levels', 'level0_bytes', sum(size) FROM files UNION ALL SELECT 'levels', 'level0_target_bytes', 0""")
+def info(spark, sf_dir):
+    return metrics.info(events_log(spark, sf_dir), _files(spark, sf_dir))
+
+
+# --- checks ---
+
+
+def _none(spark: SparkSession, df: DataFrame) -> DataFrame:
+    return df.groupBy("invariant").agg(F.count("*").alias("n"))
+
+
+_NO_ROWS = "SELECT 'none' AS invariant, CAST(0 AS BIGINT) AS n WHERE false"
+
+
+@query(_NO_ROWS, prefix=False)
+def check_healthy(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    files = _files(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0]
+    return _none(spark, check.report(files, log, files.select("file_number", "size"), last))
+
+
+_BAD = [(0, 1, 10, "a", "m", 1, 9), (0, 2, 10, "c", "z", 4, 5), (1, 3, 10, "a", "f", 1, 3), (1, 4, 10, "e", "k", 2, 9), (2, 4, 10, "x", "b", 9, 2)]
+
+
+def _bad(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = spark.createDataFrame(_BAD, _CHAIN_SCHEMA)
+    rows = [(1, 0, 0, "a", 1), (1, 0, 1, "z", 12), (1, 0, 2, "b", 3), (3, 1, 0, "e", 2), (4, 1, 0, "e", 3)]
+    entries = spark.createDataFrame(rows, "file_number long, level int, position int, key string, seq long").withColumn("tombstone", F.lit(False)).withColumn("value", F.lit("v"))
+    return files, entries, spark.createDataFrame([(1, 11), (3, 10), (4, 10), (8, 1)], "file_number long, size long")
+
+
+def _bad_check(name: str, n: int, make: Callable) -> None:
+    def f(spark, sf_dir):
+        return _none(spark, make(*_bad(spark)))
+
+    f.__name__ = "check_" + name.replace("-", "_")
+    query(f"SELECT '{name}' AS invariant, CAST({n} AS BIGINT) AS n WHERE {n} > 0", prefix=False)(f)
+
+
+_bad_check("version-structure", 2, lambda f, e, d: check.version_structure(f))
+_bad_check("manifest-file-exists", 1, lambda f, e, d: check.file_exists(f, d))
+_bad_check("manifest-file-size", 1, lambda f, e, d: check.file_size(f, d))
+_bad_check("no-orphan-tables", 1, lambda f, e, d: check.no_orphans(f, d))
+_bad_check("one-version-per-key-per-level", 1, lambda f, e, d: check.one_version_per_level(e))
+_bad_check("no-empty-tables", 1, lambda f, e, d: check.no_empty_tables(f, e))
+_bad_check("comparator-order", 1, lambda f, e, d: check.comparator_order(e))
+_bad_check("sequence-within-issued-range", 1, lambda f, e, d: check.sequence_issued(e, 10))
+_bad_check("metadata-key-bounds", 2, lambda f, e, d: check.key_bounds(e, f))
+_bad_check("metadata-sequence-bounds", 2, lambda f, e, d: check.sequence_bounds(e, f))
+_bad_check("l0-number-tracks-recency", 1, lambda f, e, d: check.l0_recency(f))
+_bad_check("metadata-valid", 1, lambda f, e, d: check.metadata_valid(f))
+
+
+@query("SELECT a.k AS k, a.v AS v, live.v AS found FROM (SELECT k, v FROM log WHERE seq % 97 = 0 AND NOT tomb) a LEFT JOIN live ON live.k = a.k WHERE live.k IS NULL OR live.v IS DISTINCT FROM a.v")
+def acknowledged_writes(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    acked = log.where("seq % 97 = 0 and not tombstone").select("key", "value")
+    return check.acknowledged(acked, state.live(log)).select(F.col("key").alias("k"), F.col("value").alias("v"), "found")
+
+
+@query("SELECT count(*) AS n FROM documents WHERE strlen(CAST(doc_id AS VARCHAR)) > 65536 OR strlen(text) > 67108864", prefix=False)
+def oversized_values(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.where(oversized(F.col("doc_id").cast("string"), F.col("text"))).agg(F.count("*").alias("n"))
+
+
+# --- filters, caches, workloads ---
+
+
+@query("SELECT b AS bits, CAST(least(30, greatest(1, floor(b * 0.69 + 0.5))) AS INTEGER) AS probes, pow(1 - exp(-least(30, greatest(1, floor(b * 0.69 + 0.5))) / CAST(b AS DOUBLE)), least(30, greatest(1, floor(b * 0.69 + 0.5)))) AS rate FROM (VALUES (1), (4), (8), (10), (16), (60)) t(b)", prefix=False)
+def bloom_params(spark, sf_dir):
+    bits = spark.createDataFrame([(b,) for b in (1, 4, 8, 10, 16, 60)], "bits int")
+    k = bloom.optimal_probes(F.col("bits"))
+    return bits.select("bits", k.alias("probes"), bloom.false_positive_rate(F.col("bits").cast("double"), k).alias("rate"))
+
+
+@query("SELECT count(*) AS pairs, count(*) AS found FROM (SELECT DISTINCT k, fno FROM log) t")
+def bloom_no_false_negatives(spark, sf_dir):
+    pairs = events_log(spark, sf_dir).select("key", "file_number").distinct()
+    hit = bloom.probe(bloom.build(pairs), pairs).withColumn("hit", F.lit(True))
+    return pairs.join(hit, ["key", "file_number"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
+
+
+@query(None)
+def lru_hit_rate(spark, sf_dir):
+    """Events as block accesses: a file for each user, a block for each hour of the day."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    trace = e.select(F.col("event_id").alias("access_id"), F.col("user_id").alias("file"), F.hour("ts").cast("long").alias("offset"), F.lit(4096).cast("long").alias("size"))
+    return metrics.hit_rate(cache_sim.lru_replay(trace, 4 << 20))
+
+
+@query(None)
+def model_reads(spark, sf_dir):
+    """What every GET of a generated workload must answer."""
+    return workload.replay_reads(workload.generate(spark, 5000, 512, workload.MIXES["commit"], "zipf"))
