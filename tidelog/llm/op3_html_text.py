@@ -139,6 +139,20 @@ def _runs(host: str, found: list[tuple[str, str]], run: int) -> np.ndarray:
     return key
 
 
+def _lost(covered: np.ndarray, run: int) -> np.ndarray:
+    """Of a block's covered tokens those that go: all if the block is covered whole, else stretches of run tokens at least.
+
+    Repeated runs may reach from one block into the next by chance; a few words at an edge are no boilerplate.
+    """
+    if covered.all():
+        return covered
+    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
+    out = np.zeros(len(covered), bool)
+    for a, b in edges.reshape(-1, 2).tolist():
+        out[a:b] = b - a >= run
+    return out
+
+
 def _page_key(url: str | None, page: str) -> int:
     return xxhash.xxh3_64_intdigest((url or "").encode("utf-8", "replace") + b"\0" + page.encode("utf-8", "replace")) >> 1
 
@@ -208,12 +222,17 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
                 found = [("open" if x[0] == "o" else "chrome", x[1:]) for x in rest]
                 repeated = np.frombuffer(b"".join(runs or []), np.uint64)
                 starts = np.isin(_runs(_host(url), found, run), repeated)
-                words = [(z, w) for z, t in found for w in t.split()]
-                covered = np.zeros(len(words) + 1, np.int64)
+                covered = np.zeros(sum(len(t.split()) for _, t in found) + 1, np.int64)
                 np.add.at(covered, np.flatnonzero(starts), 1)
                 np.add.at(covered, np.flatnonzero(starts) + run, -1)
                 gone = np.cumsum(covered) > 0
-                texts.append(" ".join(w for k, (z, w) in enumerate(words) if z == "open" and not gone[k]))
+                kept, at = [], 0
+                for z, t in found:
+                    own = t.split()
+                    lost = _lost(gone[at : at + len(own)], run)
+                    at += len(own)
+                    kept += [w for w, x in zip(own, lost, strict=True) if z == "open" and not x]
+                texts.append(" ".join(kept))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     page_id = pages.schema["page_id"].dataType.simpleString()
