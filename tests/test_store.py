@@ -7,10 +7,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
+from tidelog import cli
 from tidelog.functions import bloom
 from tidelog.functions.keys import BadPattern, CommandError, KeyTooLarge, check_key, glob_to_regex, shared_prefix
 from tidelog.operators import cache_sim, check, compact, layout, metrics, ranks, scan, state, workload
 from tidelog.operators.merge import merge, ordered
+from tidelog.sources import edits as edit_log
 from tidelog.sources import log as logs
 from tidelog.sources import wal
 from tidelog.store import Session, Store
@@ -283,3 +285,22 @@ def test_empty_store(spark):
     assert state.dbsize(log).first().n == 0 and scan.read_page(log).keys == []
     assert metrics.live_bytes(log).first()[0] == 0
     assert shared_prefix(b"abc", b"abd") == 2
+
+
+def test_edit_log_and_validate(spark, tmp_path):
+    entries = make(spark, seeded(300, 40, 1, 0.2)).withColumn("file_number", F.floor(F.col("seq") / 100).cast("long")).withColumn("level", F.lit(0))
+    edits = layout.seed_edits(layout.file_metadata(entries), 1)
+    edit_log.append(edits, f"{tmp_path}/edits")
+    edit_log.append(edits.where("ordinal = 0").withColumn("edit_id", F.lit(2).cast("long")).withColumn("kind", F.lit("DELETE")), f"{tmp_path}/edits")
+    log = edit_log.read(spark, f"{tmp_path}/edits", binary=False)
+    assert edit_log.current(log) == 2
+    assert cli.validate(entries, edit_log.as_of(log, 1)).count() == 0
+    assert {r.invariant for r in cli.validate(entries, log).collect()} == {"no-orphan-tables"}
+    assert [r.edit_id for r in cli.manifest(log).collect()] == sorted(r.edit_id for r in log.collect())
+
+
+def test_filters_reject_absent_keys(spark):
+    entries = make(spark, [(f"k{n}", n, False, "v") for n in range(500)]).withColumn("file_number", F.lit(1).cast("long"))
+    asked = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).cast("long").alias("file_number"))
+    r = bloom.lookups(entries, asked).first()
+    assert (r.probes, r.found) == (1000, 500) and 480 <= r.rejects <= 500

@@ -51,3 +51,13 @@ def probe(filters: DataFrame, candidates: DataFrame, probes: int = 7) -> DataFra
     bits = bits.select("key", "file_number", F.size("at").alias("need"), F.explode("at").alias("bit"))
     have = bits.join(filters, ["file_number", "bit"]).groupBy("key", "file_number", "need").agg(F.count("*").alias("have"))
     return have.where("have = need").select("key", "file_number")
+
+
+def lookups(entries: DataFrame, candidates: DataFrame, filtered: bool = True, bits_per_key: int = 10, probes: int = 7) -> DataFrame:
+    """probes, rejects, opened and found of each file when candidates (key, file_number) are looked up, with or without filters."""
+    asked = candidates.select("key", "file_number")
+    opened = probe(build(entries, bits_per_key, probes), asked, probes) if filtered else asked
+    has = entries.select("key", "file_number").distinct().withColumn("_found", F.lit(True))
+    hits = opened.withColumn("_opened", F.lit(True)).join(has, ["key", "file_number"], "left")
+    rows = asked.join(hits, ["key", "file_number"], "left")
+    return rows.groupBy("file_number").agg(F.count("*").alias("probes"), F.count_if(F.col("_opened").isNull()).alias("rejects"), F.count("_opened").alias("opened"), F.count("_found").alias("found"))

@@ -19,9 +19,9 @@ OPS = "op_id bigint, kind string, key string, value string, count int, latency_m
 LEVELS = 7
 
 
-def events_log(spark: SparkSession, sf_dir: str, per_file: int = 500) -> DataFrame:
-    """The events table as a mutation log: a version for each event, errors delete, files of per_file events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def events_log(spark: SparkSession, sf_dir: str, per_file: int = 500, events: DataFrame | None = None) -> DataFrame:
+    """The events table (or a stream of it) as a mutation log: a version for each event, errors delete, files of per_file events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
     gone = F.col("event_type") == "error"
     return e.select(
         F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"),

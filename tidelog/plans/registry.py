@@ -6,16 +6,19 @@ into eight disjoint files.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import cli
 from tidelog.functions import bloom
 from tidelog.functions.keys import file_name, matches, oversized
 from tidelog.operators import cache_sim, check, compact, layout, metrics, scan, state, workload
 from tidelog.operators.merge import merge
 from tidelog.operators.model import entry_size, events_log, explode_batches, orders_log
+from tidelog.streaming import lww
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -499,3 +502,49 @@ def lru_hit_rate(spark, sf_dir):
 def model_reads(spark, sf_dir):
     """What every GET of a generated workload must answer."""
     return workload.replay_reads(workload.generate(spark, 5000, 512, workload.MIXES["commit"], "zipf"))
+
+
+@query("SELECT fno AS file_number, nk AS probes, CAST(0 AS BIGINT) AS rejects, nk AS opened, nk AS found FROM files")
+def lookups_present(spark, sf_dir):
+    """Keys looked up where they are: no filter rejects one."""
+    log = events_log(spark, sf_dir)
+    return bloom.lookups(log, log.select("key", "file_number").distinct())
+
+
+@query("SELECT fno AS file_number, (SELECT count(*) FROM ranked) AS probes, CAST(0 AS BIGINT) AS rejects, (SELECT count(*) FROM ranked) AS opened, nk AS found FROM files")
+def lookups_unfiltered(spark, sf_dir):
+    """All keys looked up in all files without filters."""
+    log = events_log(spark, sf_dir)
+    files = log.select("file_number").distinct()
+    wide = _files(spark, sf_dir).select("level", "file_number", F.lit("").alias("smallest"), F.lit("~").alias("largest"))
+    pairs = layout.candidates(log.select("key").distinct(), wide).join(files, "file_number")
+    return bloom.lookups(log, pairs, filtered=False)
+
+
+# --- command line and stream ---
+
+
+@query("SELECT 0 AS level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(shi) AS last_sequence FROM files")
+def cli_levels(spark, sf_dir):
+    return cli.levels(events_log(spark, sf_dir))
+
+
+@query("SELECT k, seq, tomb FROM log ORDER BY k, seq DESC")
+def cli_dump(spark, sf_dir):
+    return cli.dump(events_log(spark, sf_dir)).select(F.col("key").alias("k"), "seq", F.col("tombstone").alias("tomb"))
+
+
+@query(_EDITS_SQL + " SELECT CAST(edit_id AS BIGINT) AS edit_id, CAST(ordinal AS INTEGER) AS ordinal, kind FROM e ORDER BY 1, 2", prefix=False)
+def cli_manifest(spark, sf_dir):
+    return cli.manifest(_edits(spark)).select("edit_id", "ordinal", "kind")
+
+
+@query("SELECT k, seq, tomb FROM newest")
+def lww_stream(spark, sf_dir):
+    """The events table read as a stream, its state after all of it."""
+    name = f"lww_{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    log = events_log(spark, sf_dir, events=spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    lww.start_state(log, name, at and f"{at}/{name}").awaitTermination()
+    return spark.table(name).select(F.col("key").alias("k"), "seq", F.col("tombstone").alias("tomb"))

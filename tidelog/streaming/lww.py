@@ -18,9 +18,10 @@ def newest_stream(log: DataFrame) -> DataFrame:
     return best.select("key", "v.seq", "v.tombstone", "v.value")
 
 
-def start_state(log: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+def start_state(log: DataFrame, name: str, checkpoint: str | None) -> StreamingQuery:
     """Reads what is there and keeps the state in a memory table (for small states and tests)."""
-    return newest_stream(log).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = newest_stream(log).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
 def start_flush(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
