@@ -31,7 +31,8 @@ PADDING = 64
 SAMPLE_RATE = 8000
 #: Chunk sizes in bytes: cuts are looked for beyond LEAST, one in 2**AVERAGE_BITS bytes is one, MOST forces one.
 LEAST, AVERAGE_BITS, MOST = 1024, 12, 16384
-LEVEL = 5
+#: Compression: level, and chunks from which the dictionary is made (its only input; results don't depend on it).
+LEVEL, SAMPLE, DICTIONARY = 9, 2048, 112_640
 _GEAR = np.random.default_rng(0x6EA5).integers(0, 1 << 32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << AVERAGE_BITS) - 1) << (32 - AVERAGE_BITS))
 
@@ -120,12 +121,27 @@ def manifests(docs: DataFrame) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "doc_id long, content binary, n_bytes long, digests array<binary>")
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """digest and compressed data of the chunks, once for each task at most."""
+def dictionary(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
+    """A compression dictionary from at most sample chunks of sampled documents; empty where they are too few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in common.chunks(batches, 4 << 20):
+            yield pa.record_batch([pa.array([c for t in found for c in chunks(padded(t))], pa.binary())], ["chunk"])
+
+    some = docs.sample(min(1.0, sample / max(1, docs.count())), seed=6)
+    found = [bytes(r.chunk) for r in common.texts(some).mapInArrow(run, "chunk binary").limit(sample).collect()]
+    try:
+        return zstandard.train_dictionary(size, found).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def chunk_rows(docs: DataFrame, common_parts: bytes = b"") -> DataFrame:
+    """digest and data, compressed with a dictionary, of the chunks, once for each task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes of each digest; cleared at a million, as the store drops repeats anyway
-        compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=True).compress
+        compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(common_parts)).compress
         for _, found in common.chunks(batches, 4 << 20):
             digests, data = [], []
             for c in (c for t in found for c in chunks(padded(t))):
@@ -141,14 +157,14 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "digest binary, data binary")
 
 
-def read_back(store: ChunkStore, found: DataFrame) -> DataFrame:
+def read_back(store: ChunkStore, found: DataFrame, common_parts: bytes = b"") -> DataFrame:
     """What the stored bytes of each distinct content say: content, payload and media columns, feature.
 
     Raises if a payload does not have the digest it was stored under.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
+        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(common_parts)).decompress
         for b in batches:
             rows = []
             for content, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -178,10 +194,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
     rows keep their rows; equal texts have equal values. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    store = ChunkStore(chunk_rows(docs))
+    common_parts = dictionary(docs)
+    store = ChunkStore(chunk_rows(docs, common_parts))
     common.release(spark)
     found = common.Written(manifests(docs), "manifests")
-    read = common.Written(read_back(store, found.read()), "media")
+    read = common.Written(read_back(store, found.read(), common_parts), "media")
     store.drop()
     common.release(spark)
     out = found.read().select("doc_id", "content", "n_bytes").join(read.read(), "content")
