@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -102,6 +103,22 @@ def test_html(spark):
     assert got == Counter((i, u, t, len(t)) for i, u, _, t in PAGES)
 
 
+def test_html_repetition_counts_distinct_contents_and_a_share_of_the_host(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    line, phrase, twice = prose(9), prose(8), prose(40)
+    bodies = [prose(30) + " " + phrase + " " + prose(30) for _ in range(20)]
+    rows = [(k, f"http://h/{k}", f"<div>{line}</div><div>{t}</div>", t) for k, t in enumerate(bodies)]
+    rows += [(50 + k, f"http://h/x{u}", f"{nav}<div>{line}</div><div>{twice}</div>", twice) for k, (u, nav) in enumerate((("", ""), ("?utm_source=feed", ""), ("?print", "<nav>print view</nav>")))]
+    rows += [(60 + k, f"http://two/{k}", f"<div>{bodies[0]}</div>", bodies[0]) for k in range(2)]
+    pages = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string").repartition(3)
+    assert {x.page_id: x.text for x in op3_html_text.extract(pages).collect()} == {i: t for i, _, _, t in rows}
+    # a paragraph on two of many pages is no boilerplate
+    rows = [(k, "http://h/", f"<div>{t}</div>" + f"<p>{twice}" * (k < 2), f"{t} {twice}" if k < 2 else t) for k, t in enumerate(bodies)]
+    pages = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string").repartition(3)
+    assert {x.page_id: x.text for x in op3_html_text.extract(pages).collect()} == {i: t for i, _, _, t in rows}
+
+
 def test_scores(docs_of, sample):
     rows = [r for r in sample if r[0] is not None]
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2

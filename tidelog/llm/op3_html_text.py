@@ -3,16 +3,14 @@
 A page is read into blocks, each in one of three zones: the article (inside article or
 main), chrome (inside elements that markup or class names mark as navigation, header, footer,
 sidebar, notice, advert, form or reader comment), or open (neither). The article is the
-text. A page without one is judged by repetition: the token streams of chrome
-and open blocks of a host are concatenated into a suffix array; a run of RUN
-tokens that starts on two distinct pages is boilerplate, all tokens that such
-runs cover go, and the unique runs of the open zone are the text.
-
-The suffix array is distributed by the leading RUN tokens of each suffix, together with
-its host, so a host of any size spreads over all shards. Suffixes with the same
-leading tokens meet in a shard, where sorting brings them side by side. A map task
-sends one entry for each distinct run it has: the smallest and largest page key,
-which is all that the two-page rule asks.
+text. A page without one is judged by repetition: a run of RUN tokens of chrome and open
+blocks that starts on SHARE of a host's distinct pages is boilerplate. A block
+that such runs cover whole goes, and stretches of LONG tokens of other blocks; what is left
+of the open zone is the text. Pages with the same content are one page.
+
+Runs are dealt to shards by a hash of their tokens and host, so a host of any size
+spreads over all shards. A shard counts the distinct pages of each of its runs and answers the pages
+that ask; a host's distinct pages are counted as those of a run that all of them have.
 """
 
 from __future__ import annotations
@@ -30,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
-#: Tokens of a repeated run.
-RUN = 6
+#: Tokens of a repeated run, and covered tokens that go from a block of which other tokens stay.
+RUN, LONG = 6, 20
+#: Least share of a host's distinct pages that have a run of boilerplate; two pages at least.
+SHARE = 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?=[sntit])(?:(script|style|title|textarea)\b.*?(?:</\1\s*>|\Z)|(noscript|template|svg|iframe|select)\b.*?</\2\s*>)"
@@ -139,31 +139,38 @@ def _runs(host: str, found: list[tuple[str, str]], run: int) -> np.ndarray:
     return key
 
 
-def _lost(covered: np.ndarray, run: int) -> np.ndarray:
-    """Of a block's covered tokens those that go: all if the block is covered whole, else stretches of run tokens at least.
+def _lost(covered: np.ndarray, long: int) -> np.ndarray:
+    """Of a block's covered tokens those that go: all if the block is covered whole, else stretches of long tokens at least.
 
-    Repeated runs may reach from one block into the next by chance; a few words at an edge are no boilerplate.
+    Repeated runs may reach from one block into the next by chance, and paragraphs share phrases: neither is boilerplate.
     """
     if covered.all():
         return covered
     edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
     out = np.zeros(len(covered), bool)
     for a, b in edges.reshape(-1, 2).tolist():
-        out[a:b] = b - a >= run
+        out[a:b] = b - a >= long
     return out
 
 
-def _page_key(url: str | None, page: str) -> int:
-    return xxhash.xxh3_64_intdigest((url or "").encode("utf-8", "replace") + b"\0" + page.encode("utf-8", "replace")) >> 1
+def _page_key(host: str, found: list[tuple[str, str]]) -> int:
+    """One key for all pages of a host with the same content, under whatever urls and in whatever chrome."""
+    content = [t for z, t in found if z != "chrome"] or [t for _, t in found]
+    return xxhash.xxh3_64_intdigest("\0".join([host, *content]).encode("utf-8", "replace")) >> 1
 
 
-def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
+def _host_key(host: str) -> int:
+    """The key of a run that every page of a host has: its pages are the host's."""
+    return xxhash.xxh3_64_intdigest(b"host\0" + host.encode("utf-8", "replace"))
+
+
+def extract(pages: DataFrame, run: int = RUN, long: int = LONG, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages.
 
     Needs columns page_id, url and html; others are ignored. A null or empty html gives the empty text;
-    a null or broken url counts as the host "". Repeated rows each give their row and
-    count as one page for the two-page rule. Empty tables give empty results. Pages of
-    any length are read whole.
+    a null or broken url counts as the host "". Rows of a host with the same content each give their row
+    and count as one page, so a page that is found twice keeps its text. Empty tables give
+    empty results. Pages of any length are read whole.
     """
     n = common.shards(pages)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -176,52 +183,53 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
                 text = " ".join(t for z, t in found if z == "article")
                 pending = not text and any(z == "open" for z, _ in found)
                 texts.append(None if pending else text)
-                keys.append(_page_key(url, page) if pending else None)
+                keys.append(_page_key(_host(url), found) if pending else None)
                 rest.append([f"{z[0]}{t}" for z, t in found if z != "article"] if pending else None)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(keys, pa.int64()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "text", "key", "rest"])
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             run_keys, page_keys, asks = [], [], []
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = blocks(page)
-                keys = _runs(_host(url), found, run)
+                found, host = blocks(page), _host(url)
+                keys = np.r_[np.array([_host_key(host)], np.uint64), np.unique(_runs(host, found, run))]
                 run_keys.append(keys)
-                page_keys.append(np.full(len(keys), _page_key(url, page), np.int64))
+                page_keys.append(np.full(len(keys), _page_key(host, found), np.int64))
                 asks.append(np.full(len(keys), all(z != "article" for z, _ in found)))
-            if not run_keys or not sum(map(len, run_keys)):
+            if not run_keys:
                 continue
             keys, page_of, ask = np.concatenate(run_keys), np.concatenate(page_keys), np.concatenate(asks)
-            order = np.lexsort((page_of, keys, keys % np.uint64(n)))
-            keys, page_of, ask = keys[order], page_of[order], ask[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            low, high = np.minimum.reduceat(page_of, first), np.maximum.reduceat(page_of, first)
-            asked = np.flatnonzero(ask)
-            out = [(s, common.pack(keys[first][at], low[at], high[at], *(x[asked][common_slice] for x in (keys, page_of)))) for s, at, common_slice in _joined(keys[first], keys[asked], n)]
+            shard = (keys % np.uint64(n)).astype(np.int64)
+            order = np.lexsort((page_of, keys, shard))
+            keys, page_of, ask, shard = keys[order], page_of[order], ask[order], shard[order]
+            out = [(s, common.pack(keys[at], page_of[at], ask[at])) for s, at in common.by_shard(shard, n)]
             yield pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "blob"])
 
-    def compare(table: pa.Table) -> pa.Table:
+    def count(table: pa.Table) -> pa.Table:
         parts = [common.unpack(x) for x in table.column("blob").to_pylist()]
-        keys, low, high, asked, asking = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        keys, page_of, ask = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((~ask, page_of, keys))  # of equal pairs one that asks comes first
+        keys, page_of, ask = keys[order], page_of[order], ask[order]
+        one = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (page_of[1:] != page_of[:-1])])
+        keys, page_of, ask = keys[one], page_of[one], ask[one]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        repeated = keys[first][np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first)]
-        hit = np.isin(asked, repeated)
-        asked, asking = asked[hit], asking[hit]
-        order = np.argsort(asking, kind="stable")
-        asked, asking = asked[order], asking[order]
-        pages_at = np.flatnonzero(np.r_[True, asking[1:] != asking[:-1]]) if len(asking) else np.empty(0, int)
-        blobs = [x.tobytes() for x in np.split(asked, pages_at[1:])] if len(asking) else []
-        return pa.table({"key": pa.array(asking[pages_at], pa.int64()), "runs": pa.array(blobs, pa.binary())})
+        many = np.diff(np.r_[first, len(keys)])
+        many = np.repeat(many, many)
+        hit = np.flatnonzero(ask & (many > 1))
+        hit = hit[np.argsort(page_of[hit], kind="stable")]
+        pages_at = np.flatnonzero(np.r_[True, page_of[hit][1:] != page_of[hit][:-1]]) if len(hit) else np.empty(0, int)
+        blobs = [np.r_[keys[x], many[x].astype(np.uint64)].tobytes() for x in np.split(hit, pages_at[1:])] if len(hit) else []
+        return pa.table({"key": pa.array(page_of[hit][pages_at], pa.int64()), "runs": pa.array(blobs, pa.binary())})
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for url, rest, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                found = [("open" if x[0] == "o" else "chrome", x[1:]) for x in rest]
-                repeated = np.frombuffer(b"".join(runs or []), np.uint64)
-                starts = np.isin(_runs(_host(url), found, run), repeated)
+                found, host = [("open" if x[0] == "o" else "chrome", x[1:]) for x in rest], _host(url)
+                counted = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in runs or []]
+                keys, many = np.concatenate(counted, axis=1) if counted else np.empty((2, 0), np.uint64)
+                need = max([2, *np.ceil(share * many[keys == np.uint64(_host_key(host))]).tolist()])
+                starts = np.isin(_runs(host, found, run), keys[many >= need])
                 covered = np.zeros(sum(len(t.split()) for _, t in found) + 1, np.int64)
                 np.add.at(covered, np.flatnonzero(starts), 1)
                 np.add.at(covered, np.flatnonzero(starts) + run, -1)
@@ -229,7 +237,7 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
                 kept, at = [], 0
                 for z, t in found:
                     own = t.split()
-                    lost = _lost(gone[at : at + len(own)], run)
+                    lost = _lost(gone[at : at + len(own)], long)
                     at += len(own)
                     kept += [w for w, x in zip(own, lost, strict=True) if z == "open" and not x]
                 texts.append(" ".join(kept))
@@ -237,18 +245,11 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
 
     page_id = pages.schema["page_id"].dataType.simpleString()
     parsed = pages.mapInArrow(read, f"page_id {page_id}, url string, text string, key long, rest array<string>")
-    runs = pages.mapInArrow(suffixes, "shard int, blob binary").groupBy("shard").applyInArrow(compare, "key long, runs binary")
+    runs = pages.mapInArrow(windows, "shard int, blob binary").groupBy("shard").applyInArrow(count, "key long, runs binary")
     pending = parsed.where("key is not null").join(runs.groupBy("key").agg(F.collect_list("runs").alias("runs")), "key", "left")
     judged = pending.select("page_id", "url", "rest", "runs").mapInArrow(keep, f"page_id {page_id}, url string, text string")
     return parsed.where("key is null").select("page_id", "url", "text").union(judged).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def _joined(distinct: np.ndarray, asked: np.ndarray, n: int) -> Iterator[tuple[int, slice, slice]]:
-    """For each shard its slices of the two arrays, both sorted by shard."""
-    ask = dict(common.by_shard((asked % np.uint64(n)).astype(np.int64), n))
-    for s, at in common.by_shard((distinct % np.uint64(n)).astype(np.int64), n):
-        yield s, at, ask.get(s, slice(0, 0))
-
-
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
