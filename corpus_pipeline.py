@@ -15,10 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that share this id, one."""
-    found = op10_simhash.near_duplicates(docs)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.expr("doc_id <=> _stays"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document with the smallest id of each group of near-duplicates. Rows of a repeated or null id stay if they are in no group."""
+    return op10_simhash.survivors(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

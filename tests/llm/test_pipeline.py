@@ -40,5 +40,16 @@ def test_stages(spark, docs_of, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None and op10_simhash.RADIUS == 3
 
 
+def test_near_dedup_drops_no_unlinked_row_of_a_null_or_repeated_id(spark, docs_of):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    copied = prose(200)
+    rows = [(None, prose(120)) for _ in range(4)] + [(7, prose(120)) for _ in range(3)]
+    clean = {t for _, t in rows} | {copied}
+    rows += [(3, copied), (7, copied), (7, copied), (None, copied), (9, None), (None, "")]
+    found = [(x.doc_id, x.text) for x in corpus_pipeline.simhash_near_dedup(spark, docs_of(rows), "").collect()]
+    assert Counter(found) == Counter([x for x in rows if x[1] in clean - {copied}] + [(3, copied), (9, None)])
+
+
 def test_run_equals_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0

@@ -207,14 +207,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     are a component's smallest unless it has no other. Empty tables give empty results.
     """
     marked = Written(fingerprints(docs, shingle), "fingerprints")
-    distinct = Written(marked.read().groupBy("h").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.read().select("h"), radius, hot))
-    common.release(docs.sparkSession)
-    nodes = distinct.read().join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+    nodes = _rooted(marked, radius, hot)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(least, "root").select("h", "component_id")
     return marked.read().join(nodes, "h").select("doc_id", F.lower(F.lpad(F.hex("h"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(marked: Written, radius: int, hot: int) -> DataFrame:
+    """h, least doc_id and root of every distinct fingerprint; the root is one fingerprint of its component."""
+    distinct = Written(marked.read().groupBy("h").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.read().select("h"), radius, hot))
+    common.release(marked.spark)
+    return distinct.read().join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+
+
+def survivors(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """The rows of docs that stay: one of each group of near-duplicates, the one with the least (doc_id, fingerprint, text hash).
+
+    A null id comes after all others. Groups are of texts, whatever ids their rows have: rows that share an
+    id, or have none, but not a fingerprint's neighbourhood all stay. Rows with equal texts are one group's; of those
+    that have its least id too, one stays.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = Written(fingerprints(docs.select(text.alias("doc_id"), "text"), shingle), "fingerprints")  # an id for each text
+    nodes = _rooted(marked, radius, hot).select("h", "root")
+    ids = docs.groupBy(text.alias("doc_id")).agg(F.min("doc_id").alias("least"))
+    found = marked.read().distinct().join(nodes, "h").join(ids, "doc_id")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h", F.col("doc_id").alias("_text")))
+    stay = found.groupBy("root").agg(first.alias("x")).select(F.col("x._text").alias("_stays"), F.col("x.least").alias("_least"))
+    kept = docs.withColumn("_text", text).join(stay, F.expr("_text = _stays and doc_id <=> _least"), "left_semi")
+    return kept.dropDuplicates(["_text"]).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
