@@ -1,4 +1,4 @@
-"""Main text of web pages, with boilerplate found by a suffix array for each host.
+"""Main text of web pages, with boilerplate found by runs that the pages of a host repeat.
 
 A page is read into blocks, each in one of three zones: the article (inside article or
 main), chrome (inside elements that markup or class names mark as navigation, header, footer,
