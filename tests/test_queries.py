@@ -40,6 +40,26 @@ def test_others_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_rotations_fold_the_whole_log_of_each_level(spark):
+    from tidelog.functions.keys import ENTRY_OVERHEAD
+    from tidelog.operators import metrics
+
+    rows = [(g, seq, "k" * (1 + seq % 3), "v" * (seq * 7 % 50)) for g in (0, 1, None) for seq in range(1, 900)]
+    want = []
+    for group in (0, 1, None):
+        held = n = 0
+        for g, _, k, v in rows:
+            if g == group:
+                held, n = (0, n + 1) if held >= 1000 else (held, n)
+                held += len(k) + len(v) + ENTRY_OVERHEAD
+        want.append(n)
+    found = metrics.rotations(spark.createDataFrame(rows, "level int, seq long, key string, value string").repartition(3), 1000)
+    assert sorted(x.rotations for x in found.collect()) == sorted(want)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    whole = registry.queries()["rotation_fold_all"](spark, SF).first()[0]
+    assert whole > registry.queries()["rotation_fold"](spark, SF).first()[0] > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 

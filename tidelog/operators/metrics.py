@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,30 @@ def memtable_size(log: DataFrame) -> DataFrame:
 
 
 def rotations(log: DataFrame, threshold: int, group: str = "level") -> DataFrame:
-    """How often a memtable of threshold bytes rotates: it is emptied before a write once it holds that much."""
-    size = (user_bytes(F.col("key"), F.col("value")) + ENTRY_OVERHEAD).alias("size")
-    rows = log.select(F.col(group).alias("g"), "seq", size).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("seq", "size"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("n"))
-    step = lambda a, x: F.when(a["held"] >= threshold, F.struct(x["size"].cast("long").alias("held"), (a["n"] + 1).alias("n"))).otherwise(F.struct((a["held"] + x["size"]).cast("long").alias("held"), a["n"].alias("n")))
-    return rows.select(F.aggregate("rows", start, step, lambda a: a["n"]).alias("rotations"))
+    """How often a memtable of threshold bytes rotates: it is emptied before a write once it holds that much.
+
+    A group's writes are sorted and read as a stream by one task, as each rotation follows from the one before; none are gathered.
+    """
+    size = (user_bytes(F.col("key"), F.col("value")) + ENTRY_OVERHEAD).cast("long").alias("size")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n, some = None, 0, 0, False
+        for b in batches:
+            ended = []
+            for g, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if some and g != now:
+                    ended.append(n)
+                if not some or g != now:
+                    now, held, n, some = g, 0, 0, True
+                if held >= threshold:
+                    held, n = 0, n + 1
+                held += x
+            yield pa.record_batch([pa.array(ended, pa.int64())], ["rotations"])
+        if some:
+            yield pa.record_batch([pa.array([n], pa.int64())], ["rotations"])
+
+    rows = log.select(F.col(group).alias("g"), "seq", size).repartition("g").sortWithinPartitions("g", "seq", "size")
+    return rows.mapInArrow(fold, "rotations long")
 
 
 def space_amplification(files: DataFrame, log: DataFrame) -> DataFrame:

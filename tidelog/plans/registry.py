@@ -299,6 +299,30 @@ def rotation_fold(spark, sf_dir):
     return metrics.rotations(events_log(spark, sf_dir).where("seq <= 400"), 4096)
 
 
+# The same on the whole log.
+
+
+@query("SELECT k, seq, v FROM live")
+def compact_bottom_all(spark, sf_dir):
+    return _shown(compact.run(events_log(spark, sf_dir), True))
+
+
+@query("SELECT k, seq, v FROM newest")
+def compact_not_bottom_all(spark, sf_dir):
+    return _shown(compact.run(events_log(spark, sf_dir), False))
+
+
+@query("SELECT count(*) AS keys, count(*) FILTER (NOT tomb) AS entries_written, count(*) FILTER (tomb) AS tombstones_dropped FROM newest")
+def compaction_accounting_all(spark, sf_dir):
+    return compact.accounting(events_log(spark, sf_dir), True)
+
+
+@query(None)
+def rotation_fold_all(spark, sf_dir):
+    """Without SQL: a recursive query takes a step for each row."""
+    return metrics.rotations(events_log(spark, sf_dir), 4096)
+
+
 _EDITS = [
     (1, 0, "ADD", 0, 1, 10), (1, 1, "ADD", 0, 2, 10), (1, 2, "SET_LAST_SEQUENCE", None, None, 40), (2, 0, "DELETE", 0, 1, None), (2, 1, "DELETE", 0, 2, None), (2, 2, "ADD", 1, 3, 25),
     (3, 0, "ADD", 0, 4, 5), (4, 0, "DELETE", 1, 3, None), (4, 1, "ADD", 1, 3, 26), (5, 0, "ADD", 0, 6, 8), (5, 1, "SET_LAST_SEQUENCE", None, None, 90), (6, 0, "DELETE", 0, 4, None), (6, 1, "SET_NEXT_FILE_NUMBER", None, None, 7),
@@ -467,6 +491,13 @@ def acknowledged_writes(spark, sf_dir):
     return check.acknowledged(acked, state.live(log)).select(F.col("key").alias("k"), F.col("value").alias("v"), "found")
 
 
+@query("SELECT a.k AS k, a.v AS v, live.v AS found FROM (SELECT k, v FROM log WHERE NOT tomb) a LEFT JOIN live ON live.k = a.k WHERE live.k IS NULL OR live.v IS DISTINCT FROM a.v")
+def acknowledged_writes_all(spark, sf_dir):
+    """All acknowledged writes, not a sample."""
+    log = events_log(spark, sf_dir)
+    return check.acknowledged(log.where("not tombstone").select("key", "value"), state.live(log)).select(F.col("key").alias("k"), F.col("value").alias("v"), "found")
+
+
 @query("SELECT count(*) AS n FROM documents WHERE strlen(CAST(doc_id AS VARCHAR)) > 65536 OR strlen(text) > 67108864", prefix=False)
 def oversized_values(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
