@@ -119,6 +119,14 @@ def test_html_repetition_counts_distinct_contents_and_a_share_of_the_host(spark)
     assert {x.page_id: x.text for x in op3_html_text.extract(pages).collect()} == {i: t for i, _, _, t in rows}
 
 
+def test_mix_takes_from_sources_of_less_than_a_block(docs_of):
+    docs = docs_of([(1, "word " * 10, "en", "small"), (2, "word " * 5000, "en", "large"), (3, "", "en", "none")])
+    got = {x.doc_id: x for x in op5_mixing.mix(docs).collect()}
+    assert got[1].target > 0 and got[1].taken == 10 * op5_mixing.wanted_blocks(10, got[1].target) > 0
+    assert {x.doc_id for x in op5_mixing.mixed(docs).select("doc_id").collect()} == {1, 2}
+    assert [op5_mixing.wanted_blocks(*x) for x in ((10, 20.0), (10, 19.999), (10, 12.0), (10, 3.0), (1000, 20.0), (65, 65.0), (640, 640.0), (640, 330.0), (0, 5.0), (5, 0.0))] == [2, 2, 1, 1, 1, 2, 10, 5, 0, 0]
+
+
 def test_scores(docs_of, sample):
     rows = [r for r in sample if r[0] is not None]
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2

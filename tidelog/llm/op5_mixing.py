@@ -83,6 +83,20 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def wanted_blocks(size: int, target: float, block: int = BLOCK) -> int:
+    """Blocks of a source of size words that come closest to target words; one at least where both are above zero.
+
+    Whole passes count the words that the last, shorter block has; a rest that nearly makes a pass is one.
+    """
+    if size <= 0 or target <= 0:
+        return 0
+    n = -(-size // block)
+    passes, rest = divmod(target, size)
+    last = size - (n - 1) * block
+    more = n if rest >= size - last / 2 else min(n - 1, round(rest / block))
+    return max(1, int(passes) * n + more)
+
+
 def placed(sized: DataFrame) -> DataFrame:
     """sized (doc_id, name, known, size, ...) with start, the words before the document in its source's stream."""
     within = Window.partitionBy("name", "known", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +119,7 @@ def _taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
     goal = targets(totals, weights, total, most)
     order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
     blocks = [-(-n // block) for _, n in order]
-    wanted = {k: min(int(most) * blocks[k], round(goal[s] / block)) for k, (s, _) in enumerate(order)}
+    wanted = {k: min(int(most) * blocks[k], wanted_blocks(n, goal[s], block)) for k, (s, n) in enumerate(order)}
     drawn = draw(wanted, shards, seed)
     ends = np.cumsum(drawn, axis=0)
     facts = [(s or "", s is not None, k, int(n), float(goal[s]), blocks[k]) for k, (s, n) in enumerate(order)]
