@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import components, elias_fano, op1_token_counts, op2_language_id, op3_html_text, op4_lm_scoring, op5_mixing, op6_media, op7_quality, op8_suffix_dedup, op9_packing, op10_simhash
+from tidelog.llm import cells, common, components, elias_fano, op1_token_counts, op2_language_id, op3_html_text, op4_lm_scoring, op5_mixing, op6_media, op7_quality, op8_suffix_dedup, op9_packing, op10_simhash, suffixes
 
 
 def text_of(t):
@@ -127,7 +127,9 @@ def test_mix_takes_from_sources_of_less_than_a_block(docs_of):
     assert [op5_mixing.wanted_blocks(*x) for x in ((10, 20.0), (10, 19.999), (10, 12.0), (10, 3.0), (1000, 20.0), (65, 65.0), (640, 640.0), (640, 330.0), (0, 5.0), (5, 0.0))] == [2, 2, 1, 1, 1, 2, 10, 5, 0, 0]
 
 
-def test_scores(docs_of, sample):
+@pytest.mark.parametrize("fan", [128, 3])
+def test_scores(docs_of, sample, fan, monkeypatch):
+    monkeypatch.setattr(common, "FAN", fan)
     rows = [r for r in sample if r[0] is not None]
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     d = docs_of(rows)
@@ -162,6 +164,35 @@ def test_scores(docs_of, sample):
     assert sum(r.score > r.base_score for r in got) > 0.9 * len(got)
 
 
+def test_scores_follow_from_the_rows_alone(docs_of, sample):
+    """Neither the layout of files nor which contexts are heavy changes a score."""
+    flag = (F.col("doc_id") % 7 == 2).alias("out")
+    found = []
+    for partitions, settings in ((1, {"sample": 20}), (5, {"sample": 20}), (3, {"heavy_share": 1.1}), (3, {"heavy_share": 0.0})):
+        rows = op4_lm_scoring.score(docs_of(sample, partitions).select("*", flag), "out", **settings).collect()
+        found.append(Counter((r.doc_id, r.n_tokens, round(r.score, 9), round(r.base_score, 9)) for r in rows))
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_parcels_reach_their_shards_in_order(spark):
+    n, fan = 50, 3
+    assert cells.widths(n, fan) == [27, 9, 3, 1]
+    r = np.random.default_rng(7)
+    sent = [[r.integers(0, n, 200).astype(np.int32), np.full(200, k, np.int32), np.arange(200, dtype=np.uint64), r.integers(0, 255, (200, 5), dtype=np.uint8)] for k in range(6)]
+    rows = [(g, bytearray(x)) for columns in sent for g, x in cells.parcels(columns, n, fan)]
+    assert len(rows) <= 6 * fan
+    got = cells.exchange(spark.createDataFrame(rows, cells.PARCEL).repartition(3), n, fan).collect()
+    found = defaultdict(list)
+    for x in got:
+        dest, source, place, data = cells.unpacked_columns(bytes(x.blob))
+        assert (dest == x.group).all()
+        for s, p, d in zip(source.tolist(), place.tolist(), data.tolist(), strict=True):
+            found[x.group, s].append((p, d))
+    for k, (dest, _, place, data) in enumerate(sent):
+        for g in np.unique(dest).tolist():
+            assert found[g, k] == [(p, d) for p, d in zip(place[dest == g].tolist(), data[dest == g].tolist(), strict=True)]
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(1)
     for most in (10, 10**6, 1 << 62):
@@ -301,9 +332,9 @@ def _brute_repeats(rows, length):
 @pytest.mark.parametrize("hot", [64, 0])
 def test_repeats(docs_of, sample, hot, monkeypatch):
     monkeypatch.setattr(op8_suffix_dedup, "STEP", 3000)
-    rows = [r for r in sample if r[0] != 90]
-    got = op8_suffix_dedup.repeats(docs_of(rows), hot=hot, carried=("source", "size"))
-    assert got.columns[-2:] == ["source", "size"]
+    monkeypatch.setattr(common, "FAN", 5 if hot else 128)
+    rows = [r for r in sample if r[0] != 90] + [(95, "x" * 60 + "\0" * 80 + "y" * 60), (96, "\0" * 130 + "z" * 30)]
+    got = op8_suffix_dedup.repeats(docs_of(rows), hot=hot)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == _brute_repeats(rows, 50)
 
 
@@ -319,7 +350,12 @@ def test_anchors_are_set_by_content():
 
 def test_multikey_groups():
     rows = np.random.default_rng(5).integers(0, 3, (500, 4), dtype=np.uint64)
-    group = op8_suffix_dedup.multikey(rows)
+    order, prefix = suffixes.multikey(rows)
+    ordered = list(map(tuple, rows[order].tolist()))
+    assert ordered == sorted(ordered)
+    want = [next((c for c in range(4) if a[c] != b[c]), 4) for a, b in zip(ordered, ordered[1:], strict=False)]
+    assert prefix.tolist() == [0, *want]
+    group = suffixes.groups(rows)
     by = defaultdict(set)
     for g, x in zip(group.tolist(), map(tuple, rows.tolist()), strict=True):
         by[x].add(g)

@@ -20,18 +20,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shards for each shuffle partition at most, so that hashing shards to partitions stays even.
-SHARDS_PER_PARTITION = 4
-#: Input bytes that are worth a shard of their own, and shards that any input may have: small inputs in many
-#: partitions don't make a blob for each pair of partitions.
-SHARD_BYTES, FEW_SHARDS = 2 << 20, 64
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Input bytes (as stored) of a shard, and shards that a small input has.
+SHARD_BYTES, FEW_SHARDS = 4 << 20, 64
+PARTITION_BYTES = 128 << 20
+#: Groups among which one exchange deals; more shards than these are reached in further exchanges.
+FAN = 128
+#: Bytes of packed columns that a task opens at once on the way.
+OPEN = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one in local mode and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -62,11 +65,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def shards(df: DataFrame) -> int:
-    """Shards for a packed exchange of df: they grow with its size, up to a few for each partition."""
-    most = SHARDS_PER_PARTITION * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(most, max(FEW_SHARDS, -(-size // SHARD_BYTES)))
+def shards(df: DataFrame, size: int = SHARD_BYTES) -> int:
+    """Shards for a packed exchange of df: one for each size bytes of it, and a few more where it is small.
+
+    A plan whose size Spark can only guess (joins, local rows) gets at most as many as full partitions of it would.
+    """
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(min(FEW_SHARDS, 4 * partitions), -(-min(bytes_, partitions * PARTITION_BYTES) // size) if bytes_ < 1 << 60 else 0)
 
 
 def texts(df: DataFrame, column: str = "text") -> DataFrame:

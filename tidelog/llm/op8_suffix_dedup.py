@@ -1,16 +1,16 @@
 """Exact substring deduplication over a sparse, distributed suffix array.
 
 Every string of LENGTH bytes has an anchor: the place of its least-hashed GRAM bytes. Equal
-strings have equal anchors at equal places, so only suffixes that start at anchors
-(one byte in ten) are sorted, each with the text around it that the strings it stands for span.
-Splitters sampled from the corpus range-partition the suffixes by their leading GRAM bytes,
-so that equal strings meet in one bucket and none straddles a boundary; a bucket sorts the
-strings by multikey quicksort over 8-byte characters and gives each the least doc_id that has it.
-
-The corpus is first packed into cells, tables of whole documents bucketed by a hash of the id.
+strings have equal anchors at equal places, so a string can only occur twice if its anchor does.
+Round one sends each cell's distinct anchor hashes (one byte in ten has an anchor) and learns which occur elsewhere;
+round two builds the suffix array of the strings that those anchors stand for: splitters sampled from the corpus range-partition them by the leading
+GRAM bytes of their anchors, so that equal strings meet in one bucket and no neighbours across a
+boundary share as much as an anchor; a bucket sorts the suffixes by multikey quicksort over 8-byte characters, compares neighbours, and
+gives each run that shares LENGTH bytes the least doc_id that has it.
+
+The corpus is first packed into cells, tables of whole documents bucketed by a hash of id and text.
 Exact copies of a text with a smaller id are found by a hash of the whole text and take no part
-in what follows: nothing is left of them. Round one sends each cell's distinct anchor hashes and learns which occur in other cells. Round two
-sends the contexts of those, once for each cell and distinct context. What a cell sends of
+in what follows: nothing is left of them. Suffixes travel as contexts, the text that an anchor's strings span, once for each cell and distinct context. What a cell sends of
 any one string is a single entry, so a passage in a third of all documents
 is no larger to its bucket than the number of cells. An anchor that more than HOT cells have is sent as
 its single strings, spread by their hash: a frequent short phrase with ever other
@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidelog.llm import common
-from tidelog.llm.cells import Cells, opened
-from tidelog.llm.common import Written, pack, unpack
+from tidelog.llm.cells import PARCEL, Cells, exchange, opened, parcel_batch, parcels, together
+from tidelog.llm.common import Written, unpack
+from tidelog.llm.suffixes import distinct, groups, row_hash
 
 LENGTH, GRAM = 50, 32
 #: Cells that an anchor may occur in before its strings are spread singly.
@@ -39,6 +40,8 @@ HOT = 64
 SAMPLE = 65_536
 #: Bytes of a text whose anchors are found at once; longer texts go in steps.
 STEP = 1 << 22
+#: Strings that a bucket sorts at once; those of one anchor are never parted.
+SORTED = 1 << 19
 NO_ID = np.iinfo(np.int64).max  # a null doc_id is larger than any other
 
 _BYTE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -84,135 +87,123 @@ def _anchors(text: bytes, length: int, gram: int, at: int) -> tuple[np.ndarray,
 
 
 class Cell:
-    """The documents of a cell and the anchors of them all."""
+    """The documents of a cell, one after the other, and the anchors of them all."""
 
-    def __init__(self, blobs: list[bytes], copies: list[int] | None, length: int, gram: int):
+    def __init__(self, blobs: list[bytes], copies: list | None, length: int, gram: int):
         self.length, self.gram = length, gram
+        self.width = -(-(2 * length - gram) // 8) * 8  # the longest context, in whole characters
         self.ids, self.texts, self.rest = opened(blobs)
-        self.copies = frozenset(copies or ())
+        self.id_of = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
+        least = {bytes(h): i for x in copies or [] for h, i in x}
+        self.copies = {d for d, t in enumerate(self.texts) if least and len(t) >= length and least.get(text_hash(t), NO_ID) < self.id_of[d]}
         found = [anchors(b"" if d in self.copies else t, length, gram) for d, t in enumerate(self.texts)]
         self.doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
         self.h, self.place, self.first, self.last = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(4))
         self.h = self.h.astype(np.uint64) >> np.uint64(16)
-        self.id_of = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
-
-    def grams(self, at: np.ndarray) -> np.ndarray:
         sizes = np.array([len(t) for t in self.texts], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(self.texts) + bytes(self.gram), np.uint8)
-        rows = np.lib.stride_tricks.sliding_window_view(data, self.gram)[begin[self.doc[at]] + self.place[at]]
-        return np.ascontiguousarray(rows).view(f"S{self.gram}").ravel()
+        self.begin = np.cumsum(sizes) - sizes
+        self.data = np.frombuffer(b"".join(self.texts) + bytes(self.width), np.uint8)
+
+    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.data, width)[at] if len(at) else np.empty((0, width), np.uint8)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct anchor hashes, and an anchor that has each."""
-        return np.unique(self.h, return_index=True)
+    def grams(self, anchor: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.rows(self.begin[self.doc[anchor]] + self.place[anchor], self.gram)).view(f"S{self.gram}").ravel()
 
-    def contexts(self, elsewhere: np.ndarray, hot: np.ndarray) -> dict[bytes, tuple[int, int, list[tuple[int, int]]]]:
-        """The contexts of anchors that another document may have: (gram's place in it or -1 if spread singly, least id, (document, start) of all)."""
+    def contexts(self, elsewhere: np.ndarray, hot: np.ndarray) -> Contexts:
+        """The contexts of anchors that another document may have; each string alone where the anchor is hot."""
         order = np.lexsort((self.id_of[self.doc], self.h)) if len(self.h) else np.empty(0, np.int64)
         h, i = self.h[order], self.id_of[self.doc[order]]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
         ends = np.r_[start[1:], len(h)] - 1
         here = h[start[i[start] != i[ends]]] if len(h) else h
         at = np.flatnonzero(np.isin(self.h, np.union1d(elsewhere, here)))
-        single = np.isin(self.h[at], hot)
-        out: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
-        rows = zip(self.doc[at].tolist(), self.place[at].tolist(), self.first[at].tolist(), self.last[at].tolist(), single.tolist(), strict=True)
-        for d, place, first, last, alone in rows:
-            text, i = self.texts[d], int(self.id_of[d])
-            for a, b in ((s, s) for s in range(first, last + 1)) if alone else ((first, last),):
-                e = text[a : b + self.length]
-                if had := out.get(e):
-                    had[2].append((d, a))
-                    if i < had[1]:
-                        out[e] = (had[0], i, had[2])
-                else:
-                    out[e] = (-1 if alone else place - a, i, [(d, a)])
-        return out
-
-
-def multikey(rows: np.ndarray) -> np.ndarray:
-    """The group of each row of 8-byte characters (big-endian uint64): rows are equal iff their groups are.
-
-    Sorts by the first character, then each run of equal ones by the next; rows that stand alone are done.
-    """
-    group = np.zeros(len(rows), np.int64)
-    todo, made = np.arange(len(rows)), 0
-    for c in range(rows.shape[1]):
-        x, g = rows[todo, c], group[todo]
-        order = np.lexsort((x, g))
-        x, g, todo = x[order], g[order], todo[order]
-        new = np.r_[True, (x[1:] != x[:-1]) | (g[1:] != g[:-1])]
-        number = np.cumsum(new) - 1
-        group[todo] = made + number
-        size = np.bincount(number)
-        made += len(size)
-        todo = todo[size[number] > 1]
-        if not len(todo):
-            break
-    return group
-
-
-def _answers(found: list[tuple[int, tuple]], length: int, gram: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each cell the rows (context number, first, end) of strings in a context that a smaller doc_id has too."""
-    least: dict[bytes, int] = {}
-    anchor: dict[bytes, int] = {}
-    entries = []  # (cell, number, context, id)
-    for cell, (numbers, places, ids, sizes, data) in found:
-        data, at = data.tobytes(), 0
-        for n, p, i, s in zip(numbers.tolist(), places.tolist(), ids.tolist(), sizes.tolist(), strict=True):
-            e = data[at : at + s]
-            at += s
-            entries.append((cell, n, e, i))
-            if i < least.get(e, NO_ID + 1):
-                least[e] = i
-            anchor[e] = p
-    by: dict[bytes, list[bytes]] = {}
-    for e, p in anchor.items():
-        if p >= 0:
-            by.setdefault(e[p : p + gram], []).append(e)
-    compared = [e for es in by.values() if len(es) > 1 for e in es]
-    gone: dict[bytes, list[tuple[int, int]]] = {}
-    for part in _portions(compared, by, anchor, gram):
-        sizes = np.array([len(e) for e in part])
-        data = np.frombuffer(b"".join(part) + b"\0" * 8, np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        many = sizes - length + 1
-        of = np.repeat(np.arange(len(part)), many)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        alone = np.isin(self.h[at], hot)
+        many = np.where(alone, self.last[at] - self.first[at] + 1, 1)
+        anchor = np.repeat(at, many)
+        single = np.repeat(alone, many)
+        first = self.first[anchor] + np.where(single, np.arange(len(anchor)) - np.repeat(np.cumsum(many) - many, many), 0)
+        size = np.where(single, self.length, self.last[anchor] - first + self.length)
+        return Contexts(self, self.doc[anchor], first, size, np.where(single, -1, self.place[anchor] - first))
+
+
+class Contexts:
+    """The distinct contexts of a cell, and where each occurs in it."""
+
+    def __init__(self, cell: Cell, doc: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray):
+        rows = masked(cell.rows(cell.begin[doc] + first, cell.width), size)
+        # The size tells apart texts that end in zero bytes; the anchor's place follows from the text.
+        keyed = np.concatenate([rows.view(">u8").astype(np.uint64), size[:, None].astype(np.uint64)], axis=1)
+        one, self.number = distinct(keyed)
+        self.rows, self.size, self.anchor = rows[one], size[one].astype(np.int16), anchor[one].astype(np.int16)
+        self.id = cell.id_of[doc]
+        self.at = cell.begin[doc] + first
+        self.least = np.full(len(one), NO_ID)
+        np.minimum.at(self.least, self.number, self.id)
+
+
+def text_hash(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def masked(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """rows with zeros from each row's size on."""
+    return np.ascontiguousarray(np.where(np.arange(rows.shape[1]) < size[:, None], rows, 0).astype(np.uint8))
+
+
+def _anchor_keys(rows: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
+    """The gram bytes of each row from its anchor on; from its begin where it is a single string."""
+    at = np.maximum(anchor, 0).astype(np.int64)[:, None] + np.arange(gram)
+    return np.ascontiguousarray(np.take_along_axis(rows, at, axis=1))
+
+
+def _judge(rows: np.ndarray, size: np.ndarray, anchor: np.ndarray, ids: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, start) of every string of an entry that a smaller id has too."""
+    keyed = np.concatenate([rows.view(">u8").astype(np.uint64), size[:, None].astype(np.uint64)], axis=1)
+    one, number = distinct(keyed)
+    least = np.full(len(one), NO_ID)
+    np.minimum.at(least, number, ids)
+    # All strings of a context that a smaller id has, and of others those that other contexts of its anchor have.
+    whole = np.flatnonzero(least[number] < ids)
+    many = (size[whole] - length + 1).astype(np.int64)
+    entry = [np.repeat(whole, many)]
+    start = [np.arange(len(entry[0])) - np.repeat(np.cumsum(many) - many, many)]
+    key = np.where(anchor[one] < 0, np.uint64(0), row_hash(_anchor_keys(rows[one], anchor[one], gram).view(np.uint64)) | np.uint64(1))
+    kinds, of = np.unique(key, return_inverse=True)
+    compared = np.flatnonzero((np.bincount(of)[of] > 1) & (key > 0))
+    compared = compared[np.argsort(of[compared], kind="stable")]
+    sizes = size[one][compared].astype(np.int64) - length + 1
+    ends = np.cumsum(sizes)
+    lost_of, lost_at = [], []
+    a = 0
+    while a < len(compared):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SORTED, side="right")))
+        while b < len(compared) and of[compared[b]] == of[compared[b - 1]]:
+            b += 1
+        own = compared[a:b]
+        n = sizes[a:b]
+        context = np.repeat(np.arange(len(own)), n)
+        at = np.arange(len(context)) - np.repeat(np.cumsum(n) - n, n)
         width = -(-length // 8) * 8
-        rows = np.zeros((len(of), width), np.uint8)
-        rows[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[begin[of] + inside]
-        group = multikey(rows.view(">u8").astype(np.uint64))
-        ids = np.array([least[e] for e in part], np.int64)
-        low = np.full(group.max() + 1, NO_ID)
-        np.minimum.at(low, group, ids[of])
-        lost = np.flatnonzero(low[group] < ids[of])
-        for k, s in zip(of[lost].tolist(), inside[lost].tolist(), strict=True):
-            spans = gone.setdefault(part[k], [])
-            if spans and spans[-1][1] == s:
-                spans[-1] = (spans[-1][0], s + 1)
-            else:
-                spans.append((s, s + 1))
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for cell, n, e, i in entries:
-        for a, b in [(0, len(e) - length + 1)] if least[e] < i else gone.get(e, ()):
-            out.setdefault(cell, []).append((n, a, b))
-    for cell, rows in out.items():
-        yield cell, np.array(rows, np.int64)
-
-
-def _portions(compared: list[bytes], by: dict, anchor: dict, gram: int) -> Iterator[list[bytes]]:
-    """The contexts to compare, in portions that keep those of one gram together, some 20,000 at a time."""
-    part: list[bytes] = []
-    for es in by.values():
-        if len(es) > 1:
-            part += es
-            if len(part) > 20_000:
-                yield part
-                part = []
-    if part:
-        yield part
+        strings = np.zeros((len(context), width), np.uint8)
+        strings[:, :length] = np.take_along_axis(rows[one[own]][context], at[:, None] + np.arange(length), axis=1)
+        run = groups(strings.view(">u8").astype(np.uint64))
+        low = np.full(run.max() + 1, NO_ID)
+        np.minimum.at(low, run, least[own][context])
+        lost = low[run] < least[own][context]
+        lost_of.append(own[context[lost]])
+        lost_at.append(at[lost])
+        a = b
+    if lost_of:
+        # back to the entries of each context that keep it, the others lose it whole already
+        lost_of, lost_at = np.concatenate(lost_of), np.concatenate(lost_at)
+        firsts = np.flatnonzero(least[number] == ids)
+        firsts = firsts[np.argsort(number[firsts], kind="stable")]
+        begin, end = np.searchsorted(number[firsts], lost_of), np.searchsorted(number[firsts], lost_of, side="right")
+        times = end - begin
+        entry.append(firsts[np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)])
+        start.append(np.repeat(lost_at, times))
+    return np.concatenate(entry), np.concatenate(start)
 
 
 def _splitters(cells: Cells, n: int, length: int, gram: int) -> np.ndarray:
@@ -234,150 +225,158 @@ def _splitters(cells: Cells, n: int, length: int, gram: int) -> np.ndarray:
                 out += taken[:: max(1, -(-len(taken) // each))]
             yield pa.record_batch([pa.array(out, pa.binary())], ["gram"])
 
-    some = cells.read() if count <= SAMPLE else cells.read().sample(SAMPLE / count, seed=1)
+    some = cells.read() if count <= SAMPLE else cells.read().where(F.pmod(F.xxhash64("cell"), F.lit(count)) < F.lit(SAMPLE))
     sample = np.sort(np.array([bytes(r.gram) for r in some.select("docs").mapInArrow(run, "gram binary").collect()], f"S{gram}"))
     return sample[(np.arange(1, n) * len(sample)) // n] if len(sample) else sample
 
 
-def _copies(cells: Cells, length: int) -> DataFrame:
-    """cell and the place in it of each document whose whole text a smaller id has too."""
+def copies(cells: Cells, length: int = 1) -> DataFrame:
+    """cell and its whole texts, by hash, that another document has too, each with the least id of all. A cell sends a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cell, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids, texts, _ = opened(blobs)
-                rows = [(cell, k, NO_ID if i is None else i, hashlib.blake2b(t, digest_size=16).digest()) for k, (i, t) in enumerate(zip(ids, texts, strict=True)) if len(t) >= length]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["cell", "place", "id", "hash"])
-
-    found = Written(cells.read().select("cell", "docs").mapInArrow(run, "cell int, place int, id long, hash binary"), "texts").read()
-    least = found.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
-    return found.join(least, "hash").where("id > least").groupBy("cell").agg(F.collect_list("place").alias("copies"))  # documents of one cell
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carried: tuple[str, ...] = ()) -> DataFrame:
+                found: dict[bytes, list[int]] = {}
+                for i, t in zip(ids, texts, strict=True):
+                    if len(t) >= length:
+                        i, h = NO_ID if i is None else i, text_hash(t)
+                        had = found.setdefault(h, [i, i])
+                        found[h] = [min(had[0], i), max(had[1], i)]
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([cell] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())],
+                        ["cell", "hash", "low", "high"],
+                    )
+
+    found = Written(cells.read().select("cell", "docs").mapInArrow(run, "cell int, hash binary, low long, high long"), "texts").read()
+    least = found.groupBy("hash").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("hash", "least")
+    return found.join(least, "hash").where("high > least").groupBy("cell").agg(F.collect_list(F.struct("hash", "least")).alias("copies"))  # texts of one cell
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Removes every byte covered by a string of length bytes that also starts in a document with a smaller doc_id.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining
-    bytes as text, without characters that removal has cut) and the carried columns of every row of docs. Needs columns doc_id and text; others are ignored unless
-    carried. A null text is empty. Texts shorter than length lose nothing. Rows with the same
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining
+    bytes as text, without characters that removal has cut) of every row of docs. Needs columns doc_id (bigint) and text; others are ignored.
+    A null text is empty. Texts shorter than length lose nothing. Rows with the same
     id never take from each other; null ids count as larger than all others. Empty tables give empty
     results. Texts of any length are read whole, as UTF-8 bytes.
     """
-    n = common.shards(docs)
-    cells = Cells(docs, n, list(carried))
+    return _repeats(docs, [], length, gram, hot)
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The rows of docs with all their columns, of whatever names and types, text without what repeats() removes, and n_chars, if there, to match.
+
+    A null text becomes an empty one. Rows stay even where nothing is left of their texts.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = _repeats(docs, rest, length, gram, hot)
+    of = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"_{k}") for k, c in enumerate(rest)}
+    if "n_chars" in of:
+        of["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*(of[c].alias(c) for c in docs.columns))
+
+
+def _repeats(docs: DataFrame, carried: list[str], length: int, gram: int, hot: int) -> DataFrame:
+    """repeats() with the carried columns as _0, _1, ... after its own."""
+    n, fan = common.shards(docs), common.FAN
+    cells = Cells(docs, n, carried)
     splitters = _splitters(cells, n, length, gram)
-    copies = Written(_copies(cells, length), "copies").read()
+    copied = Written(copies(cells, length), "copies").read()
 
     def bucket(grams: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splitters, grams, side="right")
-
-    def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "cell", "blob"])
+        return np.searchsorted(splitters, grams, side="right").astype(np.int32)
 
     def sent_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, docs_of, copies_of in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                cell = Cell(docs_of, copies_of, length, gram)
-                h, at = cell.distinct()
-                to = bucket(cell.grams(at))
-                order = np.lexsort((h, to))
-                h, to = h[order], to[order]
-                rows = [(s, number, pack(np.diff(h[at], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy())) for s, at in common.by_shard(to, n)]
-                if rows:
-                    yield blobs(rows)
+                cell = Cell(docs_of, _pairs(copies_of), length, gram)
+                h, at = np.unique(cell.h, return_index=True)
+                yield parcel_batch(parcels([bucket(cell.grams(at)), np.full(len(h), number, np.int32), h], n, fan))
 
     def shared(table: pa.Table) -> pa.Table:
-        cell, found = table.column("cell").to_pylist(), [np.cumsum(np.ascontiguousarray(unpack(x)[0].T).view(np.uint64).ravel(), dtype=np.uint64) for x in table.column("blob").to_pylist()]
-        h = np.concatenate(found)
-        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        _, cell, h = together(table.column("blob").to_pylist())
         order = np.argsort(h, kind="stable")
-        h, of = h[order], of[order]
+        h, cell = h[order], cell[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         many = np.diff(np.r_[start, len(h)])
         often = np.repeat(many, many)
         keep = often > 1
-        h, of, often = h[keep], of[keep], often[keep]
-        out = [(cell[k], pack(h[of == k], often[of == k] > hot)) for k in np.unique(of).tolist()]
-        return pa.table({"cell": pa.array([c for c, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
-
-    def known(cell: Cell, answers: list[bytes] | None) -> dict:
-        parts = [unpack(x) for x in answers or []]
-        h = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
-        spread = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, bool)
+        return pa.Table.from_batches([parcel_batch(parcels([cell[keep], h[keep], often[keep] > hot], n, fan))])
+
+    def known(cell: Cell, answers: list[bytes] | None) -> Contexts:
+        if not answers:
+            return cell.contexts(np.empty(0, np.uint64), np.empty(0, np.uint64))
+        _, h, spread = together(answers)
         return cell.contexts(h, h[spread])
 
     def sent_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, docs_of, copies_of, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                found = known(Cell(docs_of, copies_of, length, gram), answers)
-                if not found:
+                c = known(Cell(docs_of, _pairs(copies_of), length, gram), answers)
+                if not len(c.rows):
                     continue
-                es = list(found)
-                place = np.array([found[e][0] for e in es], np.int16)
-                least = np.array([found[e][1] for e in es], np.int64)
-                to = bucket(np.array([e[max(p, 0) : max(p, 0) + gram] for e, p in zip(es, place.tolist(), strict=True)], f"S{gram}"))
-                for k in np.flatnonzero(place < 0).tolist():
-                    to[k] = xxhash.xxh3_64_intdigest(es[k]) % n
-                order = np.lexsort((np.arange(len(es)), to))
-                rows = []
-                for s, at in common.by_shard(to[order], n):
-                    own = order[at]
-                    data = np.frombuffer(b"".join(es[k] for k in own.tolist()), np.uint8)
-                    rows.append((s, number, pack(own.astype(np.int32), place[own], least[own], np.array([len(es[k]) for k in own.tolist()], np.int32), data, level=3)))
-                yield blobs(rows)
+                to = bucket(_anchor_keys(c.rows, c.anchor, gram).view(f"S{gram}").ravel())
+                to = np.where(c.anchor < 0, (row_hash(c.rows.view(np.uint64)) % np.uint64(n)).astype(np.int32), to)
+                yield parcel_batch(parcels([to, np.full(len(to), number, np.int32), np.arange(len(to), dtype=np.int32), c.anchor, c.least, c.size, c.rows], n, fan, level=3))
 
     def judged(table: pa.Table) -> pa.Table:
-        out = list(_answers([(c, unpack(x)) for c, x in zip(table.column("cell").to_pylist(), table.column("blob").to_pylist(), strict=True)], length, gram))
-        return pa.table({"cell": pa.array([c for c, _ in out], pa.int32()), "blob": pa.array([pack(x) for _, x in out], pa.binary())})
+        _, cell, number, anchor, ids, size, rows = together(table.column("blob").to_pylist())
+        entry, start = _judge(rows, size, anchor, ids, length, gram)
+        return pa.Table.from_batches([parcel_batch(parcels([cell[entry], number[entry], start.astype(np.int16)], n, fan))])
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for docs_of, copies_of, shared_of, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                cell = Cell(docs_of, copies_of, length, gram)
-                found = known(cell, shared_of)
-                marks = [None] * len(cell.ids)
-
-                def cover(d: int, start: int, end: int) -> None:
-                    if marks[d] is None:
-                        marks[d] = np.zeros(len(cell.texts[d]) + 1, np.int32)
-                    marks[d][start] += 1
-                    marks[d][end] -= 1
-
-                occurrences = []
-                for e, (_, least, where) in found.items():
-                    occurrences.append([(d, a) for d, a in where if cell.id_of[d] == least])
-                    for d, a in where:
-                        if cell.id_of[d] > least:
-                            cover(d, a, a + len(e))
-                for x in answers or []:
-                    for k, first, end in unpack(x)[0].tolist():
-                        for d, a in occurrences[k]:
-                            cover(d, a + first, a + end - 1 + length)
+                cell = Cell(docs_of, _pairs(copies_of), length, gram)
+                c = known(cell, shared_of)
+                marks = np.zeros(len(cell.data) + 1, np.int32)
+                later = np.flatnonzero(c.id > c.least[c.number])
+                np.add.at(marks, c.at[later], 1)
+                np.add.at(marks, c.at[later] + c.size[c.number[later]], -1)
+                if answers:
+                    _, number, start = together(answers)
+                    firsts = np.flatnonzero(c.id == c.least[c.number])
+                    firsts = firsts[np.argsort(c.number[firsts], kind="stable")]
+                    begin, end = np.searchsorted(c.number[firsts], number), np.searchsorted(c.number[firsts], number, side="right")
+                    times = end - begin
+                    where = c.at[firsts[np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]] + np.repeat(start, times)
+                    np.add.at(marks, where, 1)
+                    np.add.at(marks, where + length, -1)
+                gone = np.cumsum(marks) > 0
                 rows = []
-                for d, (i, text, mark, rest) in enumerate(zip(cell.ids, cell.texts, marks, cell.rest, strict=True)):
-                    spans, kept = 0, text
+                for d, (i, text, at) in enumerate(zip(cell.ids, cell.texts, cell.begin.tolist(), strict=True)):
+                    spans, kept, own = 0, text, gone[at : at + len(text)]
                     if d in cell.copies:
                         spans, kept = 1, b""
-                    elif mark is not None:
-                        gone = np.cumsum(mark[:-1]) > 0
-                        spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                    rows.append((i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"), *rest))
+                    elif own.any():
+                        spans = int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[0])
+                        kept = np.frombuffer(text, np.uint8)[~own].tobytes()
+                    rows.append((i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carried]
-    types = [pa.int64()] * 4 + [pa.string(), pa.string()] + [pa.int64() if docs.schema[c].dataType.simpleString() == "bigint" else pa.string() for c in carried]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    packed, answer = "bucket int, cell int, blob binary", "cell int, blob binary"
-    with_copies = cells.read().hint("merge").join(copies, "cell", "left")
-    elsewhere = Written(with_copies.select("cell", "docs", "copies").mapInArrow(sent_anchors, packed).groupBy("bucket").applyInArrow(shared, answer), "shared")
+                    found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    rest = [x.combine_chunks() for x in cell.rest.columns] if carried else []
+                    yield pa.RecordBatch.from_arrays(found + rest, names)
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f"_{k}" for k in range(len(carried)))]
+    types = [pa.int64()] * 4 + [pa.string(), pa.string()]
+    own = [StructField(c, LongType()) for c in names[:4]] + [StructField(c, StringType()) for c in names[4:6]]
+    schema = StructType(own + [StructField(f"_{k}", docs.schema[c].dataType) for k, c in enumerate(carried)])
+    with_copies = cells.read().hint("merge").join(copied, "cell", "left")
+    sent = exchange(with_copies.select("cell", "docs", "copies").mapInArrow(sent_anchors, PARCEL), n, fan)
+    elsewhere = Written(sent.groupBy("group").applyInArrow(shared, PARCEL), "shared")
     common.release(docs.sparkSession)
-    contexts = cells.with_answers(elsewhere.read()).join(copies, "cell", "left").select("cell", "docs", "copies", "answers0").mapInArrow(sent_contexts, packed)
-    removed = Written(contexts.groupBy("bucket").applyInArrow(judged, answer), "removed")
+    asked = cells.with_answers(exchange(elsewhere.read(), n, fan)).join(copied, "cell", "left").select("cell", "docs", "copies", "answers0").mapInArrow(sent_contexts, PARCEL)
+    removed = Written(exchange(asked, n, fan).groupBy("group").applyInArrow(judged, PARCEL), "removed")
     common.release(docs.sparkSession)
-    return cells.with_answers(elsewhere.read(), removed.read()).join(copies, "cell", "left").select("docs", "copies", "answers0", "answers1").mapInArrow(applied, schema)
+    answers = cells.with_answers(exchange(elsewhere.read(), n, fan), exchange(removed.read(), n, fan))
+    return answers.join(copied, "cell", "left").select("docs", "copies", "answers0", "answers1").mapInArrow(applied, schema)
+
+
+def _pairs(copies_of: list | None) -> list:
+    return [[(x["hash"], x["least"]) for x in copies_of]] if copies_of else []
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
