@@ -119,6 +119,79 @@ def test_html_repetition_counts_distinct_contents_and_a_share_of_the_host(spark)
     assert {x.page_id: x.text for x in op3_html_text.extract(pages).collect()} == {i: t for i, _, _, t in rows}
 
 
+def test_html_class_words_swallow_no_article(spark):
+    pages = [
+        ('<article><div class="post-header"><h1>Title</h1></div><p>one two</article>', "Title one two"),
+        ('<div class="wrap has-sidebar"><article>one two</article></div>', "one two"),
+        ('<div class="layout with-header"><main>one two</main></div>', "one two"),
+        ('<article><p class="alert">one</p> two</article>', "one two"),
+        ('<article><div class="social-history">one</div> two</article>', "one two"),
+        ('<article><ul class="recipe-menu"><li>one</ul>two</article>', "one two"),
+        ('<div class="header"><article>one</article></div><form><main>two</main><input></form>', "one two"),
+        ('<main>one<article class="comment">first!</article><div id="comments"><article>second!</article></div><aside>more</aside></main>', "one"),
+        ('<body class="ads home"><div class="ad">buy</div><div class="menu">go</div>one two', "one two"),
+    ]
+    rows = [(k, f"http://{k}/", html) for k, (html, _) in enumerate(pages)]
+    got = {x.page_id: x.text for x in op3_html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(pages)}
+
+
+def _brute_text(pages, run, share, article_share):
+    """Texts by counting every run of tokens of every host over its distinct contents."""
+    read = [(op3_html_text._host(u), *op3_html_text.candidates(h or "")) for _, u, h in pages]
+    read = [(host, zone, [t.split() for t in found]) for host, zone, found in read]
+
+    def stream(found):
+        return [w for own in found for w in [*own, None]]
+
+    def keys(found):
+        s, at = stream(found), 0
+        for k in range(len(s) - run + 1):
+            yield k, run, tuple(s[k : k + run])
+        for own in found:
+            if len(own) + 1 < run:
+                yield at, len(own) + 1, (*own, None)
+            at += len(own) + 1
+
+    contents = defaultdict(dict)
+    for host, zone, found in read:
+        contents[host][zone, str(found)] = {x[2] for x in keys(found)}
+    out = []
+    for host, zone, found in read:
+        n = len(contents[host])
+        need = max(op3_html_text.ARTICLE_PAGES, math.ceil(article_share * n)) if zone == "article" else max(op3_html_text.PAGES, math.ceil(share * n))
+        gone = np.zeros(len(stream(found)), bool)
+        for k, size, x in keys(found):
+            if sum(x in c for c in contents[host].values()) >= need:
+                gone[k : k + size] = True
+        covered, at = [], 0
+        for own in found:
+            covered.append(gone[at : at + len(own)])
+            at += len(own) + 1
+        out.append(op3_html_text.without(found, covered, zone))
+    return out
+
+
+@pytest.mark.parametrize("fan", [128, 3])
+def test_html_runs_equal_brute_force(spark, fan, monkeypatch):
+    monkeypatch.setattr(common, "FAN", fan)
+    r = random.Random(11)
+    prose = lambda n: " ".join(r.choice(["al", "be", "ga", "de", "ep"]) + str(r.randrange(12)) for _ in range(n))
+    shared = [prose(n) for n in (1, 2, 3, 5, 6, 7, 12, 25, 40)]
+
+    def page(host):
+        parts = [f"<p>{prose(r.randrange(1, 40))}" if r.random() < 0.5 else f"<div>{r.choice(shared)}</div>" for _ in range(r.randrange(0, 9))]
+        parts.append(f"<p>{prose(20)} {r.choice(shared)} {prose(9)}")
+        return f"<article>{''.join(parts)}</article>" if host % 2 else "".join(parts)
+
+    rows = [(k, f"http://h{k % 5}/{k}", page(k % 5)) for k in range(90)]
+    rows += [(100 + k, f"http://h{k % 5}/again", rows[k][2]) for k in range(10)] + [(200, None, None), (201, "http://h1/", ""), (None, "http://h1/", "<p>" + prose(9)), (5, "http://h1/", "<p>" + prose(6000))]
+    got = op3_html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    want = _brute_text(rows, op3_html_text.RUN, op3_html_text.SHARE, op3_html_text.ARTICLE_SHARE)
+    assert Counter((x.page_id, x.url, x.text, x.n_chars) for x in got) == Counter((i, u, t, len(t)) for (i, u, _), t in zip(rows, want, strict=True))
+    assert any(t != " ".join(op3_html_text.candidates(h or "")[1]) for (_, _, h), t in zip(rows, want, strict=True))
+
+
 def test_mix_takes_from_sources_of_less_than_a_block(docs_of):
     docs = docs_of([(1, "word " * 10, "en", "small"), (2, "word " * 5000, "en", "large"), (3, "", "en", "none")])
     got = {x.doc_id: x for x in op5_mixing.mix(docs).collect()}

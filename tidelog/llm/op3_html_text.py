@@ -1,16 +1,19 @@
-"""Main text of web pages, with boilerplate found by runs that the pages of a host repeat.
-
-A page is read into blocks, each in one of three zones: the article (inside article or
-main), chrome (inside elements that markup or class names mark as navigation, header, footer,
-sidebar, notice, advert, form or reader comment), or open (neither). The article is the
-text. A page without one is judged by repetition: a run of RUN tokens of chrome and open
-blocks that starts on SHARE of a host's distinct pages is boilerplate. A block
-that such runs cover whole goes, and stretches of LONG tokens of other blocks; what is left
-of the open zone is the text. Pages with the same content are one page.
-
-Runs are dealt to shards by a hash of their tokens and host, so a host of any size
-spreads over all shards. A shard counts the distinct pages of each of its runs and answers the pages
-that ask; a host's distinct pages are counted as those of a run that all of them have.
+"""Main text of web pages, without boilerplate that a suffix array over the pages of a host finds.
+
+A page is read once, into blocks. Tags say what can't be text (scripts, styles, navigation, footers, asides; forms and headers outside articles); class
+words, whole ones only, break ties, and swallow no article or main below them unless they name reader comments or adverts. What is
+left inside article or main elements is the page's candidate text, or all that is left where a page has neither.
+
+The candidate tokens of a host's pages, page after page, form the host's streams. Suffixes of the streams,
+one from each token on, are sorted by their leading RUN tokens, and neighbours that share them are counted by distinct page contents. A
+run on many of a host's pages is boilerplate: on SHARE of them in pages without article or main, on most of them (ARTICLE_SHARE)
+inside articles. A block that boilerplate covers whole goes, and stretches of LONG tokens of other blocks; the unique runs
+are the text. A shorter block is a suffix that ends with it. Pages with the same content count once, and an article of which most is
+repeated is a copy, not boilerplate, and stays.
+
+Suffixes are spread over ranges of their leading tokens' hashes, not over hosts, so a host of any size spreads over all shards,
+and a cell sends a suffix once, with the number of its pages that have it. Only suffixes whose least-hashed pair of
+tokens occurs on another page are sent: equal runs have it at the same place.
 """
 
 from __future__ import annotations
@@ -22,16 +25,23 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import common
+from tidelog.llm.cells import PARCEL, Cells, exchange, opened, parcel_batch, parcels, together
+from tidelog.llm.common import Written
+from tidelog.llm.op8_suffix_dedup import text_hash
+from tidelog.llm.suffixes import distinct, groups, minima, row_hash
 
 #: Tokens of a repeated run, and covered tokens that go from a block of which other tokens stay.
 RUN, LONG = 6, 20
-#: Least share of a host's distinct pages that have a run of boilerplate; two pages at least.
-SHARE = 0.2
+#: Least share of a host's distinct pages that have a run of boilerplate, and least pages: without and with an article.
+SHARE, PAGES = 0.2, 2
+ARTICLE_SHARE, ARTICLE_PAGES = 0.5, 4
+#: An article of which a larger part repeats is a copy.
+COPY = 0.5
+_END = 0xE2D0F0B10C7
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?=[sntit])(?:(script|style|title|textarea)\b.*?(?:</\1\s*>|\Z)|(noscript|template|svg|iframe|select)\b.*?</\2\s*>)"
@@ -44,33 +54,37 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements with optional end tags: they hold no zone unless their class says so.
 _LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option html body".split())
-_CHROME_TAGS = frozenset("nav aside footer form button menu dialog".split())
-_CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_CHROME_TAGS = frozenset("nav aside footer button menu dialog".split())
+_CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
+# Whole class names or ids. The first hold even for an article or main inside, and inside an article; the others in neither case.
+_NEVER_TEXT = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments commentlist comment-list respond disqus".split())
 _CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer copyright share sharing social related recommended comment comments commentlist disqus reply replies respond "
-    "login search pagination pager toolbar widget".split()
+    "promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer "
+    "copyright share sharing share-buttons social related recommended reply replies login search pagination pager toolbar widget".split()
 )
-#: An article element is chrome only where its class says one of these.
-_ARTICLE_CHROME = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended".split())
+#: Of these, those that are no part of an article's own text either.
+_IN_ARTICLE = frozenset("notice promo sidebar nav navbar footer cookie cookies consent gdpr newsletter subscribe share sharing share-buttons related recommended reply replies breadcrumb breadcrumbs pagination pager".split())
 
 
-def _chrome(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _CHROME_TAGS or (tag == "header" and not in_article):
-        return True
-    words = set()
+def _zone(tag: str, attributes: str, zone: str) -> str:
+    """The zone inside an element: never (chrome whatever is inside), chrome, article or open."""
+    words, roles = set(), set()
+    if tag in ("html", "body"):
+        return zone
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next(filter(None, values), "").lower()
-        if name.lower() == "role":
-            if value in _CHROME_ROLES:
-                return True
-        else:
-            words.update(re.split(r"[^a-z]+", value))
-    return bool(words & (_ARTICLE_CHROME if tag in ("article", "main", "body", "html") else _CHROME_WORDS))
+        (roles if name.lower() == "role" else words).update(value.split())
+    if zone == "never" or tag in _CHROME_TAGS or words & _NEVER_TEXT or roles & _CHROME_ROLES:
+        return "never"
+    if tag in ("article", "main"):
+        return "article"
+    if zone == "article":
+        return "chrome" if tag == "form" or words & _IN_ARTICLE else zone
+    return "chrome" if tag in ("form", "header") or words & _CHROME_WORDS else zone
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of the blocks of a page in order; zone is article, chrome or open."""
+    """(zone, text) of the blocks of a page in order; zone is article, chrome, never (chrome too) or open."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, str]] = []  # (tag, zone)
@@ -106,9 +120,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if m[5].endswith("/") and tag not in ("article", "main", "div", "p"):
             continue
-        inner = zone
-        if zone != "chrome":
-            inner = "chrome" if _chrome(tag, m[5], zone == "article") else "article" if tag in ("article", "main") else zone
+        inner = _zone(tag, m[5], zone)
         if inner != zone or (tag not in _LOOSE and tag not in _INLINE) or any(t == tag for t, _ in stack):
             if inner != zone:
                 flush()
@@ -120,6 +132,13 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def candidates(page: str) -> tuple[str, list[str]]:
+    """The zone of a page's candidate text, article or open, and its blocks."""
+    found = blocks(page)
+    zone = "article" if any(z == "article" for z, _ in found) else "open"
+    return zone, [t for z, t in found if z == zone]
+
+
 def _host(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -127,18 +146,6 @@ def _host(url: str | None) -> str:
         return ""
 
 
-def _runs(host: str, found: list[tuple[str, str]], run: int) -> np.ndarray:
-    """The key of the run of tokens that starts at each token of the chrome and open blocks."""
-    tokens = np.array([common.word_hash(w.encode("utf-8", "replace")) for z, t in found if z != "article" for w in t.split()], np.uint64)
-    if len(tokens) < run:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        key = np.full(len(tokens) - run + 1, xxhash.xxh3_64_intdigest(host.encode("utf-8", "replace")), np.uint64)
-        for k in range(run):
-            key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + tokens[k : len(tokens) - run + 1 + k])
-    return key
-
-
 def _lost(covered: np.ndarray, long: int) -> np.ndarray:
     """Of a block's covered tokens those that go: all if the block is covered whole, else stretches of long tokens at least.
 
@@ -153,102 +160,210 @@ def _lost(covered: np.ndarray, long: int) -> np.ndarray:
     return out
 
 
-def _page_key(host: str, found: list[tuple[str, str]]) -> int:
-    """One key for all pages of a host with the same content, under whatever urls and in whatever chrome."""
-    content = [t for z, t in found if z != "chrome"] or [t for _, t in found]
-    return xxhash.xxh3_64_intdigest("\0".join([host, *content]).encode("utf-8", "replace")) >> 1
-
+def without(blocks_of: list[list[str]], covered: list[np.ndarray], zone: str, long: int = LONG) -> str:
+    """The text of a page's blocks (lists of tokens) less the covered tokens that are boilerplate."""
+    lost = [_lost(c, long) for c in covered]
+    if zone == "article" and sum(int(x.sum()) for x in lost) > COPY * sum(map(len, blocks_of)):
+        return " ".join(w for own in blocks_of for w in own)
+    return " ".join(w for own, gone in zip(blocks_of, lost, strict=True) for w, x in zip(own, gone, strict=True) if not x)
+
+
+class Streams:
+    """The candidate tokens of a cell's pages, page after page, each block with an end token."""
+
+    def __init__(self, blobs: list[bytes], copied: list[bytes] | None, run: int):
+        self.run = run
+        self.ids, texts, self.rest = opened(blobs)
+        self.hosts = self.rest.column(1).to_pylist() if self.rest else []
+        self.zones, self.blocks, flat, self.sizes = [], [], [], []
+        number: dict[str, int] = {}
+        seen = set(copied or ())
+        self.counts = []  # whether the page is the first of its content
+        for t, host in zip(texts, self.hosts, strict=True):
+            h = page_hash(host, t)
+            self.counts.append(h not in seen)
+            seen.add(h)
+            zone, *found = t.decode().split("\x1e")
+            found = [x.split(" ") for x in found]
+            self.zones.append(zone)
+            self.blocks.append(found)
+            at = len(flat)
+            for words in found:
+                for w in words:
+                    if w not in number:
+                        number[w] = len(number) + 1
+                flat += map(number.__getitem__, words)
+                flat.append(0)
+            self.sizes.append(len(flat) - at)
+        self.sizes = np.array(self.sizes, np.int64)
+        hashes = np.fromiter((common.word_hash(w.encode()) for w in number), np.uint64, len(number))
+        self.flat = np.array(flat, np.int64)
+        self.tokens = np.r_[np.uint64(_END), hashes][self.flat] if len(flat) else np.empty(0, np.uint64)
+        self.page = np.repeat(np.arange(len(texts)), self.sizes)
+        self.host = np.array([common.word_hash(h.encode("utf-8", "replace")) for h in self.hosts], np.uint64)
+        self.end = np.cumsum(self.sizes)
+        self.counts = np.array(self.counts, bool)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The least pair of every run: its hash with its host, and the first and last start of the runs it stands for."""
+        found = []
+        for p, (end, size) in enumerate(zip(self.end.tolist(), self.sizes.tolist(), strict=True)):
+            t = self.tokens[end - size : end]
+            if size >= self.run:
+                with np.errstate(over="ignore"):
+                    h = common.mix(common.mix(t[:-1] + self.host[p]) * np.uint64(0x9E3779B97F4A7C15) + t[1:])
+                where, first, last = minima(h, self.run - 1)
+                found.append((h[where], first + end - size, last + end - size))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def suffixes(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the suffixes that may repeat, the number of each one's distinct row, the rows, and on how many pages that count each is.
+
+        Starts from len(tokens) on are those of the hosts themselves, a row without tokens for every page.
+        """
+        h, first, last = self.anchors()
+        order = np.lexsort((self.page[first], h))
+        same = (h[order][1:] == h[order][:-1]) & (self.page[first][order][1:] != self.page[first][order][:-1])
+        some = np.flatnonzero(np.isin(h, np.union1d(elsewhere, h[order][1:][same])))
+        many = last[some] - first[some] + 1
+        starts = np.repeat(first[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        ends = np.flatnonzero(self.flat == 0)
+        begins = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+        short = ends - begins + 1 < self.run
+        anchored, starts = starts, np.unique(np.r_[starts, begins[short]])
+        stop = np.minimum(starts + self.run, self.end[self.page[starts]]) if len(starts) else starts
+        is_short = np.isin(starts, begins[short])
+        stop = np.where(is_short, ends[np.searchsorted(ends, starts)] + 1, stop) if len(ends) else stop
+        # a short block is a row of its own, but one from which a whole run starts too is both
+        both = np.intersect1d(anchored, begins[short])
+        starts, stop = np.r_[starts, both], np.r_[stop, both + self.run]
+        tokens = np.r_[self.tokens, np.zeros(self.run, np.uint64)]
+        rows = tokens[starts[:, None] + np.arange(self.run)] if len(starts) else np.empty((0, self.run), np.uint64)
+        rows = np.where(starts[:, None] + np.arange(self.run) < stop[:, None], rows, np.uint64(0))
+        page = np.r_[self.page[starts], np.arange(len(self.ids))] if len(starts) else np.arange(len(self.ids))
+        rows = np.concatenate([rows, np.zeros((len(self.ids), self.run), np.uint64)])
+        rows = np.concatenate([self.host[page][:, None], rows], axis=1) if len(page) else np.empty((0, self.run + 1), np.uint64)
+        one, number = distinct(rows)
+        pairs = np.unique(number * (len(self.ids) + 1) + page) if len(page) else np.empty(0, np.int64)
+        counting = pairs[self.counts[pairs % (len(self.ids) + 1)]] if len(pairs) else pairs
+        self.covers = stop - starts
+        return np.r_[starts, len(self.tokens) + np.arange(len(self.ids))], number, rows[one], np.bincount(counting // (len(self.ids) + 1), minlength=len(one))
+
+
+def page_hash(host: str, text: bytes) -> bytes:
+    return text_hash(host.encode("utf-8", "replace") + b"\0" + text)
+
+
+def _copied(cells: Cells) -> DataFrame:
+    """cell and the page contents in it that an earlier cell has too. A cell sends a content once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, texts, rest = opened(blobs)
+                found = list({page_hash(h, t) for t, h in zip(texts, rest.column(1).to_pylist() if rest else [], strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(found), pa.int32()), pa.array(found, pa.binary())], ["cell", "hash"])
 
-def _host_key(host: str) -> int:
-    """The key of a run that every page of a host has: its pages are the host's."""
-    return xxhash.xxh3_64_intdigest(b"host\0" + host.encode("utf-8", "replace"))
+    found = Written(cells.read().select("cell", "docs").mapInArrow(run, "cell int, hash binary"), "contents").read()
+    first = found.groupBy("hash").agg(F.min("cell").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    return found.join(first, "hash").where("cell > first").groupBy("cell").agg(F.collect_list("hash").alias("copied"))  # contents of one cell
 
 
-def extract(pages: DataFrame, run: int = RUN, long: int = LONG, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, long: int = LONG, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages.
 
     Needs columns page_id, url and html; others are ignored. A null or empty html gives the empty text;
     a null or broken url counts as the host "". Rows of a host with the same content each give their row
     and count as one page, so a page that is found twice keeps its text. Empty tables give
-    empty results. Pages of any length are read whole.
+    empty results. Pages of any length are read whole. Tokens are compared by 64-bit hashes.
     """
-    n = common.shards(pages)
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    n, fan = common.shards(pages), common.FAN
+    id_type = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys, rest = [], [], []
-            for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = blocks(page)
-                text = " ".join(t for z, t in found if z == "article")
-                pending = not text and any(z == "open" for z, _ in found)
-                texts.append(None if pending else text)
-                keys.append(_page_key(_host(url), found) if pending else None)
-                rest.append([f"{z[0]}{t}" for z, t in found if z != "article"] if pending else None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(keys, pa.int64()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "text", "key", "rest"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = ["\x1e".join([zone, *parts]) for zone, parts in map(candidates, b.column(2).to_pylist())]
+            hosts = [_host(u) for u in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([x.encode("utf-8", "replace").decode() for x in found], pa.string()), b.column(1), pa.array(hosts, pa.string())], ["doc_id", "text", "url", "host"])
+
+    parsed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(read, f"doc_id {id_type}, text string, url string, host string")
+    cells = Cells(parsed, n, ["url", "host"])
+    copied = Written(_copied(cells), "copied").read()
+
+    def sent_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, docs, copies in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                h = np.unique(Streams(docs, copies, run).anchors()[0])
+                yield parcel_batch(parcels([(h % np.uint64(n)).astype(np.int32), np.full(len(h), number, np.int32), h], n, fan))
+
+    def shared(table: pa.Table) -> pa.Table:
+        _, cell, h = together(table.column("blob").to_pylist())
+        _, number, times = np.unique(h, return_inverse=True, return_counts=True)
+        keep = times[number] > 1
+        return pa.Table.from_batches([parcel_batch(parcels([cell[keep], h[keep]], n, fan))])
+
+    def known(docs: list[bytes], copies: list[bytes] | None, answers: list[bytes] | None) -> tuple:
+        streams = Streams(docs, copies, run)
+        return streams, *streams.suffixes(together(answers)[1] if answers else np.empty(0, np.uint64))
+
+    def sent_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            run_keys, page_keys, asks = [], [], []
-            for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found, host = blocks(page), _host(url)
-                keys = np.r_[np.array([_host_key(host)], np.uint64), np.unique(_runs(host, found, run))]
-                run_keys.append(keys)
-                page_keys.append(np.full(len(keys), _page_key(host, found), np.int64))
-                asks.append(np.full(len(keys), all(z != "article" for z, _ in found)))
-            if not run_keys:
-                continue
-            keys, page_of, ask = np.concatenate(run_keys), np.concatenate(page_keys), np.concatenate(asks)
-            shard = (keys % np.uint64(n)).astype(np.int64)
-            order = np.lexsort((page_of, keys, shard))
-            keys, page_of, ask, shard = keys[order], page_of[order], ask[order], shard[order]
-            out = [(s, common.pack(keys[at], page_of[at], ask[at])) for s, at in common.by_shard(shard, n)]
-            yield pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "blob"])
-
-    def count(table: pa.Table) -> pa.Table:
-        parts = [common.unpack(x) for x in table.column("blob").to_pylist()]
-        keys, page_of, ask = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((~ask, page_of, keys))  # of equal pairs one that asks comes first
-        keys, page_of, ask = keys[order], page_of[order], ask[order]
-        one = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (page_of[1:] != page_of[:-1])])
-        keys, page_of, ask = keys[one], page_of[one], ask[one]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        many = np.diff(np.r_[first, len(keys)])
-        many = np.repeat(many, many)
-        hit = np.flatnonzero(ask & (many > 1))
-        hit = hit[np.argsort(page_of[hit], kind="stable")]
-        pages_at = np.flatnonzero(np.r_[True, page_of[hit][1:] != page_of[hit][:-1]]) if len(hit) else np.empty(0, int)
-        blobs = [np.r_[keys[x], many[x].astype(np.uint64)].tobytes() for x in np.split(hit, pages_at[1:])] if len(hit) else []
-        return pa.table({"key": pa.array(page_of[hit][pages_at], pa.int64()), "runs": pa.array(blobs, pa.binary())})
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number, docs, copies, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                _, _, _, rows, pages_of = known(docs, copies, answers)
+                lead = row_hash(rows[:, :3])  # ranges of the host's and two leading tokens' hash
+                to = ((lead >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+                yield parcel_batch(parcels([to, np.full(len(to), number, np.int32), np.arange(len(to), dtype=np.int32), pages_of.astype(np.int32), np.c_[lead, rows]], n, fan))
+
+    def counted(table: pa.Table) -> pa.Table:
+        _, cell, number, pages_of, rows = together(table.column("blob").to_pylist())
+        run_of = groups(rows)
+        total = np.bincount(run_of, pages_of).astype(np.int64)[run_of]
+        keep = (total > 1) | (rows[:, 2:] == 0).all(1)
+        return pa.Table.from_batches([parcel_batch(parcels([cell[keep], number[keep], total[keep]], n, fan))])
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for url, rest, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                found, host = [("open" if x[0] == "o" else "chrome", x[1:]) for x in rest], _host(url)
-                counted = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in runs or []]
-                keys, many = np.concatenate(counted, axis=1) if counted else np.empty((2, 0), np.uint64)
-                need = max([2, *np.ceil(share * many[keys == np.uint64(_host_key(host))]).tolist()])
-                starts = np.isin(_runs(host, found, run), keys[many >= need])
-                covered = np.zeros(sum(len(t.split()) for _, t in found) + 1, np.int64)
-                np.add.at(covered, np.flatnonzero(starts), 1)
-                np.add.at(covered, np.flatnonzero(starts) + run, -1)
-                gone = np.cumsum(covered) > 0
-                kept, at = [], 0
-                for z, t in found:
-                    own = t.split()
-                    lost = _lost(gone[at : at + len(own)], long)
-                    at += len(own)
-                    kept += [w for w, x in zip(own, lost, strict=True) if z == "open" and not x]
-                texts.append(" ".join(kept))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    page_id = pages.schema["page_id"].dataType.simpleString()
-    parsed = pages.mapInArrow(read, f"page_id {page_id}, url string, text string, key long, rest array<string>")
-    runs = pages.mapInArrow(windows, "shard int, blob binary").groupBy("shard").applyInArrow(count, "key long, runs binary")
-    pending = parsed.where("key is not null").join(runs.groupBy("key").agg(F.collect_list("runs").alias("runs")), "key", "left")
-    judged = pending.select("page_id", "url", "rest", "runs").mapInArrow(keep, f"page_id {page_id}, url string, text string")
-    return parsed.where("key is null").select("page_id", "url", "text").union(judged).withColumn("n_chars", F.length("text").cast("long"))
+            for docs, copies, answers, found in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                s, starts, number, rows, _ = known(docs, copies, answers)
+                total = np.zeros(len(rows), np.int64)
+                if found:
+                    _, at, many = together(found)
+                    total[at] = many
+                total = total[number]
+                of_host = total[len(starts) - len(s.ids) :]  # distinct pages of each page's host
+                article = np.array([z == "article" for z in s.zones], bool)
+                need = np.where(article, np.maximum(ARTICLE_PAGES, np.ceil(article_share * of_host)), np.maximum(PAGES, np.ceil(share * of_host)))
+                starts = starts[: len(s.covers)]
+                hit = total[: len(starts)] >= need[s.page[starts]] if len(starts) else np.empty(0, bool)
+                marks = np.zeros(len(s.tokens) + 1, np.int64)
+                np.add.at(marks, starts[hit], 1)
+                np.add.at(marks, starts[hit] + s.covers[hit], -1)
+                gone = np.cumsum(marks) > 0
+                texts = []
+                for end, size, zone, found_blocks in zip(s.end.tolist(), s.sizes.tolist(), s.zones, s.blocks, strict=True):
+                    if not gone[end - size : end].any():
+                        texts.append(" ".join(w for own in found_blocks for w in own))
+                        continue
+                    covered, at = [], end - size
+                    for own in found_blocks:
+                        covered.append(gone[at : at + len(own)])
+                        at += len(own) + 1
+                    texts.append(without(found_blocks, covered, zone, long))
+                if texts:
+                    yield pa.record_batch([pa.array(s.ids, type=id_arrow), s.rest.column(0).combine_chunks(), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_arrow = to_arrow_type(pages.schema["page_id"].dataType)
+    with_copies = cells.read().hint("merge").join(copied, "cell", "left")
+    anchors = with_copies.select("cell", "docs", "copied").mapInArrow(sent_anchors, PARCEL)
+    elsewhere = Written(exchange(anchors, n, fan).groupBy("group").applyInArrow(shared, PARCEL), "shared")
+    asked = cells.with_answers(exchange(elsewhere.read(), n, fan)).join(copied, "cell", "left").select("cell", "docs", "copied", "answers0").mapInArrow(sent_suffixes, PARCEL)
+    totals = Written(exchange(asked, n, fan).groupBy("group").applyInArrow(counted, PARCEL), "runs")
+    common.release(pages.sparkSession)
+    answers = cells.with_answers(exchange(elsewhere.read(), n, fan), exchange(totals.read(), n, fan)).join(copied, "cell", "left")
+    found = answers.select("docs", "copied", "answers0", "answers1").mapInArrow(applied, f"page_id {id_type}, url string, text string")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tidelog.llm import common
 from tidelog.llm.cells import PARCEL, Cells, exchange, opened, parcel_batch, parcels, together
 from tidelog.llm.common import Written, unpack
-from tidelog.llm.suffixes import distinct, groups, row_hash
+from tidelog.llm.suffixes import distinct, groups, minima, row_hash
 
 LENGTH, GRAM = 50, 32
 #: Cells that an anchor may occur in before its strings are spread singly.
@@ -72,18 +72,8 @@ def _anchors(text: bytes, length: int, gram: int, at: int) -> tuple[np.ndarray,
                 sums = sums[:-width] * _power(width) + sums[width:]
             width *= 2
         h = common.mix(have[: len(text) - gram + 1])
-    place = np.uint64((1 << 24) - 1)
-    least = (h & ~place) | np.arange(len(h), dtype=np.uint64)
-    span, width = length - gram + 1, 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if span > width:
-        least = np.minimum(least[: len(text) - length + 1], least[span - width :])
-    where = (least & place).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    last = np.r_[first[1:], len(where)] - 1
-    return h[where[first]], where[first] + at, first + at, last + at
+    where, first, last = minima(h, length - gram + 1)
+    return h[where], where + at, first + at, last + at
 
 
 class Cell:

@@ -56,3 +56,28 @@ def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     number = np.empty(len(rows), np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
+
+
+#: Places looked at at once by minima(); the place of a minimum takes 24 bits.
+STEP = 1 << 22
+
+
+def minima(h: np.ndarray, span: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the least of every span hashes in a row, each once, and the first and last start of the rows it is the least of."""
+    found = [_minima(h[at : at + step + span - 1], span, at) for at in range(0, max(1, len(h) - span + 1), step)]
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _minima(h: np.ndarray, span: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(h) < span:
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    place, width = np.uint64((1 << 24) - 1), 1
+    least = (h & ~place) | np.arange(len(h), dtype=np.uint64)
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if span > width:
+        least = np.minimum(least[: len(h) - span + 1], least[span - width :])
+    where = (least & place).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+    return where[first] + at, first + at, np.r_[first[1:], len(where)] - 1 + at
