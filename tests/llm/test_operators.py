@@ -311,6 +311,41 @@ def test_mixing(docs_of):
     assert words == Counter({i: n for i, n in ((x.doc_id, sum(y.taken for y in got if y.doc_id == x.doc_id)) for x in got) if n})
 
 
+def test_mix_by_hand(docs_of):
+    """taken, the shards' composition and the first shard, worked out from blocks, draws and permutations."""
+    r = random.Random(9)
+    rows = [(k, " ".join(["w"] * r.randrange(300)), None, r.choice(["a", "b", None])) for k in range(80)]
+    block, shards, d = 16, 7, docs_of(rows)
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    order = ["a", "b", None]
+    totals = [(s, sum(size[i] for i, _, _, x in rows if x == s)) for s in order]
+    goal = op5_mixing.targets(totals)
+    blocks = [-(-n // block) for _, n in totals]
+    wanted = {k: min(2 * blocks[k], op5_mixing.wanted_blocks(n, goal[s], block)) for k, (s, n) in enumerate(totals)}
+    drawn = op5_mixing.draw(wanted, shards)
+    slots = {(x.shard, x.slot, x.source): x["index"] for x in op5_mixing.plan(d, block=block, shards=shards).collect()}
+    assert Counter((shard, source) for shard, _, source in slots) == Counter({(k, s): int(drawn[k][c]) for k in range(shards) for c, s in enumerate(order) if drawn[k][c]})
+    placed = {(x.doc_id): x.start for x in op5_mixing._taken(d, block=block, shards=shards)[0].collect()}
+    taken, first = Counter(), {}
+    for c, s in enumerate(order):
+        of = [i for i, _, _, x in rows if x == s]
+        assert sorted(w for i in of for w in range(placed[i], placed[i] + size[i])) == list(range(totals[c][1]))
+        edges = np.cumsum(drawn[:, c])
+        for slot in range(wanted[c]):
+            shard = int(np.searchsorted(edges, slot, side="right"))
+            index = int(op5_mixing.permuted(np.array([slot % blocks[c]]), blocks[c], op5_mixing.SEED * 1_000_003 + c * 1009 + slot // blocks[c])[0])
+            assert slots[shard, slot, s] == index
+            for i in of:
+                n = min(placed[i] + size[i], (index + 1) * block) - max(placed[i], index * block)
+                if n > 0:
+                    taken[i] += n
+                    first[i] = min(first.get(i, shard), shard)
+    got = op5_mixing.mix(d, block=block, shards=shards).collect()
+    assert {x.doc_id: (x.taken, x.first_shard) for x in got} == {i: (taken[i], first.get(i)) for i in size}
+    out = op5_mixing.mixed(d, sharded=True, block=block, shards=shards).collect()
+    assert {x.doc.doc_id for x in out} == set(first) and len({x.shard for x in out}) == shards
+
+
 def test_targets_and_draws_and_permutations():
     got = op5_mixing.targets([("b", 100), ("a", 10), (None, 50)])
     # a's weight 5 would give it 140.6; it stops at 20 and the rest share 220 by 2 to 1, of which b stops at none.
@@ -323,16 +358,35 @@ def test_targets_and_draws_and_permutations():
     assert op5_mixing.permuted(np.arange(1000), 1000, 5).tolist() != list(range(1000))
 
 
-def test_media(docs_of, sample):
-    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in op6_media.media_columns(docs_of(sample)).collect())
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+def test_media(docs_of, sample, hot):
+    got = Counter(tuple(r) for r in op6_media.media_columns(docs_of(sample), hot=hot).collect())
 
     def one(i, t):
         p = op6_media.padded(text_of(t))
-        return i, len(text_of(t)), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), hashlib.sha256(op6_media.wave_header(len(p)) + p).hexdigest()
+        m = op6_media.wave(p)
+        x = np.frombuffer(p, np.uint8)
+        bins = Counter(b >> 4 for b in p)
+        above = [b >= x.mean() for b in p]
+        feature = f"mean={sum(p) / len(p):.4f};rms={x.std():.4f};crossings={sum(a != b for a, b in zip(above, above[1:], strict=False))};bins={','.join(str(bins[k]) for k in range(16))}"
+        return i, len(text_of(t)), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature
 
     assert got == Counter(one(i, t) for i, t in sample)
 
 
+def test_media_files_are_read_back_whole(docs_of, sample):
+    import io
+    import wave
+
+    store = op6_media.stored(docs_of(sample))
+    for r in store.media().collect():
+        with wave.open(io.BytesIO(bytes(r.media))) as w:
+            assert (w.getnchannels(), w.getsampwidth()) == (1, 1)
+            assert w.readframes(w.getnframes()) in {op6_media.padded(text_of(t)) for i, t in sample if i == r.doc_id}
+    assert store.media().count() == len(sample)
+    store.drop()
+
+
 def test_cuts_follow_content_and_rebuild():
     data = np.random.default_rng(4).integers(97, 120, 200_000, dtype=np.uint8).tobytes()
     parts = list(op6_media.chunks(data))

@@ -5,7 +5,8 @@ blocks of BLOCK words. Each output shard draws how many of its slots each source
 multinomial over what the targets still ask for, so the counts of all shards add up to
 the targets. A source's slots, numbered through all shards, map to its blocks through a
 pseudorandom permutation of block indexes, one permutation after the other, so no block
-is used twice before all are used once. Blocks join documents by (source, index).
+is used twice before all are used once. Blocks join documents by (source, index). The targets fix how much
+of a source the mix takes in all; the draws fix which shard takes which block, and so each shard's composition and the order of the mix.
 
 Streams are never gathered: a document's place follows from sums over hash buckets of its
 source, the buckets' sums from a window over at most BUCKETS rows a source.
@@ -26,8 +27,8 @@ from tidelog.llm.common import Written
 WEIGHTS = (5, 2, 1)
 TOTAL, MOST = 1.5, 2.0  # of all words; of a source's words
 BLOCK = 64
-#: Output shards among which the multinomial draws are made.
-SHARDS = 256
+#: Least output shards among which the multinomial draws are made, and most slots of a shard.
+SHARDS, SHARD_SLOTS = 256, 1 << 22
 BUCKETS = 4096
 SEED = 17
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -108,8 +109,11 @@ def placed(sized: DataFrame) -> DataFrame:
     return local.join(before, ["name", "known", "bucket"]).withColumn("start", F.col("local") + F.col("before")).drop("local", "before", "bucket")
 
 
-def _taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place and target; and the parts of them that are taken: first word, words, times."""
+def _taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their place and target; the parts of them that are taken: first word, words, and the slots (shard, slot) that take it; and all slots.
+
+    A source's slots are numbered through all shards; slot n is a block's (n div blocks)-th use.
+    """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
@@ -120,6 +124,7 @@ def _taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
     order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
     blocks = [-(-n // block) for _, n in order]
     wanted = {k: min(int(most) * blocks[k], wanted_blocks(n, goal[s], block)) for k, (s, n) in enumerate(order)}
+    shards = max(shards, -(-sum(wanted.values()) // SHARD_SLOTS))
     drawn = draw(wanted, shards, seed)
     ends = np.cumsum(drawn, axis=0)
     facts = [(s or "", s is not None, k, int(n), float(goal[s]), blocks[k]) for k, (s, n) in enumerate(order)]
@@ -130,62 +135,80 @@ def _taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for source, start, end, n in zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True):
+            for source, shard, start, end, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for a in range(start, end, 1 << 20):
                     slot = np.arange(a, min(end, a + (1 << 20)))
                     index = np.empty(len(slot), np.int64)
                     for turn in np.unique(slot // n).tolist():
                         of = slot // n == turn
                         index[of] = permuted(slot[of] % n, n, seed * 1_000_003 + source * 1009 + turn)
-                    yield pa.record_batch([pa.array(np.full(len(slot), source)), pa.array(index)], ["source", "index"])
+                    yield pa.record_batch([pa.array(np.full(len(slot), source)), pa.array(np.full(len(slot), shard)), pa.array(slot), pa.array(index)], ["source", "shard", "slot", "index"])
 
     listed = spark.createDataFrame(spans, "source long, shard long, start long, end long, blocks long")
     listed = listed.repartition(max(1, min(len(spans), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    used = listed.mapInArrow(slots, "source long, index long").groupBy("source", "index").agg(F.count("*").alias("times"))
+    every = listed.mapInArrow(slots, "source long, shard long, slot long, index long")
+    used = every.groupBy("source", "index").agg(F.sort_array(F.collect_list(F.struct("slot", "shard"))).alias("slots"))  # one for each pass, most at most
 
     d = placed(sized.read()).join(facts, ["name", "known"])
     spread = d.where("size > 0").select("doc_id", "row", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"))
     words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("start"), F.col("index") * block)
     first = F.greatest(F.lit(0), F.col("index") * block - F.col("start"))
-    return d, spread.join(used, ["source", "index"]).select("doc_id", "row", "source", "start", first.alias("first"), words.alias("words"), "times")
+    return d, spread.join(used, ["source", "index"]).select("doc_id", "row", "source", "start", first.alias("first"), words.alias("words"), "slots"), every.join(facts.select("source", "name", "known"), "source")
+
+
+def plan(docs: DataFrame, **settings: object) -> DataFrame:
+    """Which block of which source each slot of each output shard takes: shard, slot (numbered through a source's shards), source, index."""
+    every = _taken(docs, **settings)[2]
+    return every.select("shard", "slot", F.when(F.col("known"), F.col("name")).alias("source"), "index")
 
 
 def mix(docs: DataFrame, **settings: object) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of docs.
+    """doc_id, size, source_size, target, taken and first_shard of every row of docs.
 
-    taken counts the words that the mix takes from the document, repeats counted. A source's
+    taken counts the words that the mix takes from the document, repeats counted; first_shard is the least output shard that
+    takes any, null if none does. A source's
     taken words differ from its target by less than a block, or by what the last, shorter
     block of its stream lacks. Needs columns doc_id, text and source; others are ignored. A null or empty
     text has size 0 and gives nothing; a null source is one source, last in order. Repeated rows
     each take part. Empty tables give empty results. Sources are few (their totals are
     gathered); documents, words and blocks are not. settings are those of _taken.
     """
-    d, parts = _taken(docs, **settings)
-    taken = parts.groupBy("doc_id", "row", "source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    taken = taken.select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "row", "source", "start")), "taken")
+    d, parts, _ = _taken(docs, **settings)
+    taken = parts.groupBy("doc_id", "row", "source", "start").agg(F.sum(F.col("words") * F.size("slots")).alias("taken"), F.min(F.array_min("slots.shard")).alias("first_shard"))
+    taken = taken.select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "row", "source", "start")), "taken", "first_shard")
     on = F.expr("of_doc_id <=> doc_id and of_row = row and of_source = source and of_start = start and size > 0")
-    return d.join(taken, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return d.join(taken, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
-def mixed(docs: DataFrame, **settings: object) -> DataFrame:
+def mixed(docs: DataFrame, sharded: bool = False, **settings: object) -> DataFrame:
     """The mix itself, with the columns of docs: for each document and pass over its source, the words that the pass takes.
 
     A text taken whole stays as it is; of others the taken words remain, in order, with single
-    spaces; n_chars follows. What no pass takes is gone.
+    spaces; n_chars, if there, follows. What no pass takes is gone, as are null and empty texts. Null ids and sources, repeated rows and empty tables
+    are as in mix(); further columns may have any name and type. With sharded, rows are a struct doc of these columns and the
+    output shard that they belong to, the one that drew the first of the row's blocks.
     """
-    _, parts = _taken(docs, **settings)
+    _, parts, _ = _taken(docs, **settings)
     which = Window.partitionBy("doc_id", "row").orderBy("start")
-    lists = parts.groupBy("doc_id", "row", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))  # blocks of one document
-    lists = lists.withColumn("copy", F.row_number().over(which)).select(F.col("doc_id").alias("of_doc_id"), F.col("row").alias("of_row"), F.col("copy").alias("of_copy"), "parts")
+    lists = parts.groupBy("doc_id", "row", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "slots"))).alias("parts"))  # blocks of one document
+    lists = lists.withColumn("copy", F.row_number().over(which)).select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), F.col("copy").alias("of_copy"), "parts")
+    # The row travels as a struct, so that no column of docs can meet one of these names.
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_row", F.xxhash64(text)).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(F.lit(0))))
-    joined = rows.join(lists, F.expr("of_doc_id <=> doc_id and of_row = _row and of_copy = _copy"))
-    joined = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("parts", lambda p: p["times"])))))
-    joined = joined.withColumn("_parts", F.filter("parts", lambda p: p["times"] >= F.col("_pass"))).withColumn("_words", F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""))
-    some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.size("_words")
-    out = joined.withColumn("_text", F.when(whole, F.col("text")).otherwise(some))
-    return out.withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("row"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "row").orderBy(F.lit(0))))
+    joined = rows.join(lists, F.expr("of_id <=> id and of_row = row and of_copy = copy"))
+    joined = joined.withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: F.size(p["slots"]))))))
+    joined = joined.withColumn("taken", F.filter("parts", lambda p: F.size(p["slots"]) >= F.col("pass"))).withColumn("words", F.array_remove(F.split("doc.text", "[\\x20\\x09-\\x0D]+"), ""))
+    some = F.array_join(F.flatten(F.transform("taken", lambda p: F.slice("words", (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    whole = F.aggregate("taken", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.size("words")
+    out = joined.withColumn("left", F.when(whole, F.col("doc.text")).otherwise(some))
+    of = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("left")}
+    if "n_chars" in of:
+        of["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    if not sharded:
+        return out.select(*(x.alias(c) for c, x in of.items()))
+    first = F.array_min(F.transform("taken", lambda p: F.element_at(p["slots"], F.col("pass")))).getField("shard")
+    return out.select(F.struct(*(x.alias(c) for c, x in of.items())).alias("doc"), first.alias("shard"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Media columns over a store of content-defined chunks.
 
-A payload is cut where a rolling gear hash of its last 32 bytes has its top bits clear,
+The media form of a payload is a WAVE file of 8-bit samples. It is cut, header and all, where a rolling gear hash of its last 32 bytes has its top bits clear,
 so an edit moves only the cuts near it. Chunks are named by their SHA-256 digest, and a
 digest exchange keeps one compressed copy of each in the chunk store, a table bucketed
-by digest. A manifest is the ordered list of a payload's digests, kept once for each distinct
-payload. Reading back joins manifests with the store, puts the chunks in order, checks the
-payload's digest and only then computes features.
+by digest. A manifest is the ordered list of a file's digests, kept once for each distinct
+file. Reading back joins manifests with the store, puts the chunks in order, checks the
+file's digest and only then takes the payload and its features from the stored bytes.
 
-Chunks move twice (into the store, out to their payloads), compressed both times; the
-bucketed store spares the join an exchange. Payloads that repeat are read back once.
+Chunks move twice (into the store, out to their files), compressed both times; the
+bucketed store spares the join an exchange. Files that repeat are read back once. A chunk of more than HOT
+files is joined under several salted keys, with as many copies of it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,10 @@ SAMPLE_RATE = 8000
 #: Chunk sizes in bytes: cuts are looked for beyond LEAST, one in 2**AVERAGE_BITS bytes is one, MOST forces one.
 LEAST, AVERAGE_BITS, MOST = 1024, 12, 16384
 #: Compression: level, and chunks from which the dictionary is made (its only input; results don't depend on it).
-LEVEL, SAMPLE, DICTIONARY = 9, 2048, 112_640
+LEVEL, SAMPLE, DICTIONARY = 15, 2048, 112_640
+#: Distinct files that have a chunk under one key of the join.
+HOT = 1 << 16
+HEADER = 44
 _GEAR = np.random.default_rng(0x6EA5).integers(0, 1 << 32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << AVERAGE_BITS) - 1) << (32 - AVERAGE_BITS))
 
@@ -47,6 +52,11 @@ def wave_header(n: int) -> bytes:
     return b"RIFF" + struct.pack("<I", (36 + n) & 0xFFFFFFFF) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8) + b"data" + struct.pack("<I", n & 0xFFFFFFFF)
 
 
+def wave(payload: bytes) -> bytes:
+    """The media form: a WAVE file whose samples are the payload's bytes."""
+    return wave_header(len(payload)) + payload
+
+
 def cuts(payload: bytes) -> list[int]:
     """The ends of the payload's chunks."""
     n = len(payload)
@@ -107,14 +117,14 @@ class ChunkStore:
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """doc_id, content (SHA-256 of the padded payload), n_bytes and the ordered chunk digests of every row."""
+    """doc_id, content (SHA-256 of the media form), n_bytes and the ordered chunk digests of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in common.chunks(batches, 4 << 20):
-            payloads = [padded(t) for t in found]
-            digests = [[hashlib.sha256(c).digest() for c in chunks(p)] for p in payloads]
+            files = [wave(padded(t)) for t in found]
+            digests = [[hashlib.sha256(c).digest() for c in chunks(f)] for f in files]
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.list_(pa.binary()))],
+                [pa.array(ids, pa.int64()), pa.array([hashlib.sha256(f).digest() for f in files], pa.binary()), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.list_(pa.binary()))],
                 ["doc_id", "content", "n_bytes", "digests"],
             )
 
@@ -126,7 +136,7 @@ def dictionary(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in common.chunks(batches, 4 << 20):
-            yield pa.record_batch([pa.array([c for t in found for c in chunks(padded(t))], pa.binary())], ["chunk"])
+            yield pa.record_batch([pa.array([c for t in found for c in chunks(wave(padded(t)))], pa.binary())], ["chunk"])
 
     some = docs.sample(min(1.0, sample / max(1, docs.count())), seed=6)
     found = [bytes(r.chunk) for r in common.texts(some).mapInArrow(run, "chunk binary").limit(sample).collect()]
@@ -144,7 +154,7 @@ def chunk_rows(docs: DataFrame, common_parts: bytes = b"") -> DataFrame:
         compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(common_parts)).compress
         for _, found in common.chunks(batches, 4 << 20):
             digests, data = [], []
-            for c in (c for t in found for c in chunks(padded(t))):
+            for c in (c for t in found for c in chunks(wave(padded(t)))):
                 d = hashlib.sha256(c).digest()
                 if d[:16] not in seen:
                     seen.add(d[:16])
@@ -157,10 +167,21 @@ def chunk_rows(docs: DataFrame, common_parts: bytes = b"") -> DataFrame:
     return common.texts(docs).mapInArrow(run, "digest binary, data binary")
 
 
-def read_back(store: ChunkStore, found: DataFrame, common_parts: bytes = b"") -> DataFrame:
-    """What the stored bytes of each distinct content say: content, payload and media columns, feature.
+def _with_data(parts: DataFrame, store: ChunkStore, hot: int) -> DataFrame:
+    """parts (content, pos, digest) with data. Digests of more than hot parts are joined under salted keys, so that no task gets all of one."""
+    often = common.Written(parts.groupBy("digest").count().where(F.col("count") > hot).select("digest", F.ceil(F.col("count") / hot).cast("int").alias("salts")), "hot").read()
+    if often.isEmpty():
+        return parts.join(store.read().hint("merge"), "digest").select("content", "pos", "data")
+    plain = parts.join(often, "digest", "left_anti").join(store.read().hint("merge"), "digest").select("content", "pos", "data")
+    salted = parts.join(often, "digest").withColumn("salt", F.pmod(F.xxhash64("content", "pos"), F.col("salts")).cast("int"))
+    copies = store.read().join(often, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return plain.unionByName(salted.join(copies, ["digest", "salt"]).select("content", "pos", "data"))
+
 
-    Raises if a payload does not have the digest it was stored under.
+def read_back(store: ChunkStore, found: DataFrame, common_parts: bytes = b"", hot: int = HOT, whole: bool = False) -> DataFrame:
+    """What the stored bytes of each distinct file say: content, payload and media columns, feature, and with whole the bytes themselves (media).
+
+    Raises if a file does not have the digest it was stored under.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,41 +189,67 @@ def read_back(store: ChunkStore, found: DataFrame, common_parts: bytes = b"") ->
         for b in batches:
             rows = []
             for content, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                payload = b"".join(expand(p["data"]) for p in sorted(parts, key=lambda p: p["pos"]))
-                digest = hashlib.sha256(payload)
+                media = b"".join(expand(p["data"]) for p in sorted(parts, key=lambda p: p["pos"]))
+                digest = hashlib.sha256(media)
                 if digest.digest() != content:
-                    raise ValueError(f"stored payload {content.hex()} reads back as {digest.hexdigest()}")
-                header = wave_header(len(payload))
-                media = hashlib.sha256(header)
-                media.update(payload)
-                rows.append((content, len(payload), digest.hexdigest(), zlib.crc32(payload[-64:]), len(header) + len(payload), media.hexdigest(), features(payload)))
+                    raise ValueError(f"stored file {content.hex()} reads back as {digest.hexdigest()}")
+                payload = media[HEADER:]
+                rows.append((content, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), digest.hexdigest(), features(payload), *([media] if whole else [])))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["content", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * whole
+    names = ["content", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * whole
     once = found.groupBy("content").agg(F.first("digests").alias("digests"))
-    parts = once.select("content", F.posexplode("digests").alias("pos", "digest")).join(store.read().hint("merge"), "digest")
+    parts = _with_data(once.select("content", F.posexplode("digests").alias("pos", "digest")), store, hot)
     ordered = parts.groupBy("content").agg(F.collect_list(F.struct("pos", "data")).alias("parts"))
-    return ordered.mapInArrow(run, "content binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return ordered.mapInArrow(run, "content binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * whole)
+
 
+@dataclass
+class MediaTable:
+    """Documents stored as media files: one manifest for each row, and the chunks that they share."""
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores every text as 8-bit samples, reads it back, and returns what the stored bytes say.
+    store: ChunkStore
+    manifests: DataFrame
+    common_parts: bytes
+
+    def columns(self, hot: int = HOT) -> DataFrame:
+        """What the stored bytes say, for every row: media_columns()."""
+        read = common.Written(read_back(self.store, self.manifests, self.common_parts, hot), "media").read()
+        out = self.manifests.select("doc_id", "content", "n_bytes").join(read, "content")
+        return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+    def media(self, hot: int = HOT) -> DataFrame:
+        """doc_id and media, the stored file's bytes, of every row."""
+        return self.manifests.select("doc_id", "content").join(read_back(self.store, self.manifests, self.common_parts, hot, whole=True), "content").select("doc_id", "media")
+
+    def drop(self) -> None:
+        self.store.drop()
+
+
+def stored(docs: DataFrame) -> MediaTable:
+    """Stores every text's media form in the shared folder. Cases are those of media_columns()."""
+    common_parts = dictionary(docs)
+    store = ChunkStore(chunk_rows(docs, common_parts))
+    common.release(docs.sparkSession)
+    return MediaTable(store, common.Written(manifests(docs), "manifests").read(), common_parts)
+
+
+def media_columns(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Stores every text as a file of 8-bit samples, reads it back, and returns what the stored bytes say.
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature; one row for each row of docs. Needs columns doc_id and text;
+    media_sha256, feature; one row for each row of docs. Needs columns doc_id (bigint) and text;
     others are ignored. A null or empty text is a payload of 64 zero bytes. Null ids and repeated
-    rows keep their rows; equal texts have equal values. Empty tables give empty results.
+    rows keep their rows; equal texts have equal values. Empty tables give empty results. The chunks are dropped once
+    all are read back; stored() keeps them.
     """
-    spark = docs.sparkSession
-    common_parts = dictionary(docs)
-    store = ChunkStore(chunk_rows(docs, common_parts))
-    common.release(spark)
-    found = common.Written(manifests(docs), "manifests")
-    read = common.Written(read_back(store, found.read(), common_parts), "media")
-    store.drop()
-    common.release(spark)
-    out = found.read().select("doc_id", "content", "n_bytes").join(read.read(), "content")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    table = stored(docs)
+    out = table.columns(hot)
+    table.drop()
+    common.release(docs.sparkSession)
+    return out
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
