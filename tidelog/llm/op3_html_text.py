@@ -12,8 +12,9 @@ are the text. A shorter block is a suffix that ends with it. Pages with the same
 repeated is a copy, not boilerplate, and stays.
 
 Suffixes are spread over ranges of their leading tokens' hashes, not over hosts, so a host of any size spreads over all shards,
-and a cell sends a suffix once, with the number of its pages that have it. Only suffixes whose least-hashed pair of
-tokens occurs on another page are sent: equal runs have it at the same place.
+and a cell sends a suffix once, with the number of its pages that have it. Only suffixes whose anchor, their least-hashed pair of
+tokens, occurs on as many pages as boilerplate must are sent: equal runs have it at the same place, so a first exchange
+counts the anchors' pages and the hosts' own.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tidelog.llm.op8_suffix_dedup import text_hash
 from tidelog.llm.suffixes import distinct, groups, minima, row_hash
 
 #: Tokens of a repeated run, and covered tokens that go from a block of which other tokens stay.
-RUN, LONG = 6, 20
+RUN, LONG = 8, 20
 #: Least share of a host's distinct pages that have a run of boilerplate, and least pages: without and with an article.
 SHARE, PAGES = 0.2, 2
 ARTICLE_SHARE, ARTICLE_PAGES = 0.5, 4
@@ -204,50 +205,74 @@ class Streams:
         self.end = np.cumsum(self.sizes)
         self.counts = np.array(self.counts, bool)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The least pair of every run: its hash with its host, and the first and last start of the runs it stands for."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first and last start, and end of what anchors stand for: runs by their least pair (end -1), and blocks too short for one."""
         found = []
-        for p, (end, size) in enumerate(zip(self.end.tolist(), self.sizes.tolist(), strict=True)):
-            t = self.tokens[end - size : end]
-            if size >= self.run:
-                with np.errstate(over="ignore"):
+        with np.errstate(over="ignore"):
+            for p, (end, size) in enumerate(zip(self.end.tolist(), self.sizes.tolist(), strict=True)):
+                t = self.tokens[end - size : end]
+                if size >= self.run:
                     h = common.mix(common.mix(t[:-1] + self.host[p]) * np.uint64(0x9E3779B97F4A7C15) + t[1:])
-                where, first, last = minima(h, self.run - 1)
-                found.append((h[where], first + end - size, last + end - size))
-        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def suffixes(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the suffixes that may repeat, the number of each one's distinct row, the rows, and on how many pages that count each is.
-
-        Starts from len(tokens) on are those of the hosts themselves, a row without tokens for every page.
-        """
-        h, first, last = self.anchors()
-        order = np.lexsort((self.page[first], h))
-        same = (h[order][1:] == h[order][:-1]) & (self.page[first][order][1:] != self.page[first][order][:-1])
-        some = np.flatnonzero(np.isin(h, np.union1d(elsewhere, h[order][1:][same])))
-        many = last[some] - first[some] + 1
-        starts = np.repeat(first[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        ends = np.flatnonzero(self.flat == 0)
-        begins = np.r_[0, ends[:-1] + 1] if len(ends) else ends
-        short = ends - begins + 1 < self.run
-        anchored, starts = starts, np.unique(np.r_[starts, begins[short]])
-        stop = np.minimum(starts + self.run, self.end[self.page[starts]]) if len(starts) else starts
-        is_short = np.isin(starts, begins[short])
-        stop = np.where(is_short, ends[np.searchsorted(ends, starts)] + 1, stop) if len(ends) else stop
-        # a short block is a row of its own, but one from which a whole run starts too is both
-        both = np.intersect1d(anchored, begins[short])
-        starts, stop = np.r_[starts, both], np.r_[stop, both + self.run]
+                    where, first, last = minima(h, self.run - 1)
+                    found.append((h[where], first + end - size, last + end - size, np.full(len(where), -1)))
+            ends = np.flatnonzero(self.flat == 0)
+            begins = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+            short = ends - begins + 1 < self.run
+            begins, ends = begins[short], ends[short]
+            found.append((row_hash(self.rows(begins, ends + 1), 2), begins, begins, ends + 1))
+        h, first, last, stop = map(np.concatenate, zip(*found, strict=True))
+        return h >> np.uint64(16), first, last, stop
+
+    def rows(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The host and the tokens of each suffix, run of them at most, zeros from its stop on."""
         tokens = np.r_[self.tokens, np.zeros(self.run, np.uint64)]
-        rows = tokens[starts[:, None] + np.arange(self.run)] if len(starts) else np.empty((0, self.run), np.uint64)
-        rows = np.where(starts[:, None] + np.arange(self.run) < stop[:, None], rows, np.uint64(0))
-        page = np.r_[self.page[starts], np.arange(len(self.ids))] if len(starts) else np.arange(len(self.ids))
-        rows = np.concatenate([rows, np.zeros((len(self.ids), self.run), np.uint64)])
-        rows = np.concatenate([self.host[page][:, None], rows], axis=1) if len(page) else np.empty((0, self.run + 1), np.uint64)
+        at = starts[:, None] + np.arange(self.run)
+        host = self.host[self.page[starts]] if len(starts) else np.empty(0, np.uint64)
+        return np.concatenate([host[:, None], np.where(at < stops[:, None], tokens[at], np.uint64(0))], axis=1)
+
+    def pages_of(self, key: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys, and on how many pages that count each is."""
+        order = np.lexsort((page, key))
+        key, page = key[order], page[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+        one = new | np.r_[True, page[1:] != page[:-1]] if len(key) else new
+        number = np.cumsum(new) - 1
+        return key[new], np.bincount(number[one & self.counts[page]], minlength=int(new.sum())) if len(key) else np.empty(0, np.int64)
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and pages of the cell's anchors and hosts, and which are hosts."""
+        h, first, _, _ = self.anchors()
+        keys, many = self.pages_of(h, self.page[first]) if len(h) else (h, np.empty(0, np.int64))
+        hosts, own = self.pages_of(self.host_key(), np.arange(len(self.ids)))
+        return np.r_[keys, hosts], np.r_[many, own].astype(np.int32), np.r_[np.zeros(len(keys), np.uint8), np.ones(len(hosts), np.uint8)]
+
+    def host_key(self) -> np.ndarray:
+        return common.mix(self.host) >> np.uint64(16)
+
+    def suffixes(self, h: np.ndarray, total: np.ndarray, is_host: np.ndarray, share: float, article_share: float) -> tuple[np.ndarray, ...]:
+        """Starts and stops of the suffixes that may be boilerplate, the number of each one's distinct row, the rows, and on how many pages that count each is.
+
+        h, total and is_host are the answers to asked(); need becomes the pages that boilerplate of each page must be on.
+        """
+
+        def answer(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+            order = np.argsort(h[of], kind="stable")
+            known, many = h[of][order], total[of][order]
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            return np.where(known[at] == keys, many[at], 1) if len(known) else np.ones(len(keys), np.int64)
+
+        of_host = answer(self.host_key(), is_host == 1)
+        article = np.array([z == "article" for z in self.zones], bool)
+        self.need = np.where(article, np.maximum(ARTICLE_PAGES, np.ceil(article_share * of_host)), np.maximum(PAGES, np.ceil(share * of_host)))
+        key, first, last, stop = self.anchors()
+        some = np.flatnonzero(answer(key, is_host == 0) >= self.need[self.page[first]]) if len(key) else np.empty(0, np.int64)
+        first, last, stop = first[some], last[some], stop[some]
+        many = last - first + 1
+        starts = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        stops = np.where(np.repeat(stop, many) < 0, starts + self.run, np.repeat(stop, many))
+        rows = self.rows(starts, stops)
         one, number = distinct(rows)
-        pairs = np.unique(number * (len(self.ids) + 1) + page) if len(page) else np.empty(0, np.int64)
-        counting = pairs[self.counts[pairs % (len(self.ids) + 1)]] if len(pairs) else pairs
-        self.covers = stop - starts
-        return np.r_[starts, len(self.tokens) + np.arange(len(self.ids))], number, rows[one], np.bincount(counting // (len(self.ids) + 1), minlength=len(one))
+        return starts, stops, number, rows[one], self.pages_of(number, self.page[starts])[1] if len(starts) else np.empty(0, np.int64)
 
 
 def page_hash(host: str, text: bytes) -> bytes:
@@ -293,23 +318,25 @@ def extract(pages: DataFrame, run: int = RUN, long: int = LONG, share: float = S
     def sent_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, docs, copies in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                h = np.unique(Streams(docs, copies, run).anchors()[0])
-                yield parcel_batch(parcels([(h % np.uint64(n)).astype(np.int32), np.full(len(h), number, np.int32), h], n, fan))
+                h, many, is_host = Streams(docs, copies, run).asked()
+                yield parcel_batch(parcels([(h % np.uint64(n)).astype(np.int32), np.full(len(h), number, np.int32), h, many, is_host], n, fan))
 
-    def shared(table: pa.Table) -> pa.Table:
-        _, cell, h = together(table.column("blob").to_pylist())
-        _, number, times = np.unique(h, return_inverse=True, return_counts=True)
-        keep = times[number] > 1
-        return pa.Table.from_batches([parcel_batch(parcels([cell[keep], h[keep]], n, fan))])
+    def anchored(table: pa.Table) -> pa.Table:
+        _, cell, h, many, is_host = together(table.column("blob").to_pylist())
+        _, number = np.unique(h << np.uint64(1) | is_host, return_inverse=True)  # h has 48 bits
+        total = np.bincount(number, many).astype(np.int64)[number]
+        keep = total >= PAGES
+        return pa.Table.from_batches([parcel_batch(parcels([cell[keep], h[keep], total[keep], is_host[keep]], n, fan))])
 
     def known(docs: list[bytes], copies: list[bytes] | None, answers: list[bytes] | None) -> tuple:
         streams = Streams(docs, copies, run)
-        return streams, *streams.suffixes(together(answers)[1] if answers else np.empty(0, np.uint64))
+        h, total, is_host = together(answers)[1:] if answers else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8))
+        return streams, *streams.suffixes(h, total, is_host, share, article_share)
 
     def sent_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, docs, copies, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                _, _, _, rows, pages_of = known(docs, copies, answers)
+                _, _, _, _, rows, pages_of = known(docs, copies, answers)
                 lead = row_hash(rows[:, :3])  # ranges of the host's and two leading tokens' hash
                 to = ((lead >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
                 yield parcel_batch(parcels([to, np.full(len(to), number, np.int32), np.arange(len(to), dtype=np.int32), pages_of.astype(np.int32), np.c_[lead, rows]], n, fan))
@@ -318,26 +345,21 @@ def extract(pages: DataFrame, run: int = RUN, long: int = LONG, share: float = S
         _, cell, number, pages_of, rows = together(table.column("blob").to_pylist())
         run_of = groups(rows)
         total = np.bincount(run_of, pages_of).astype(np.int64)[run_of]
-        keep = (total > 1) | (rows[:, 2:] == 0).all(1)
+        keep = total >= PAGES
         return pa.Table.from_batches([parcel_batch(parcels([cell[keep], number[keep], total[keep]], n, fan))])
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for docs, copies, answers, found in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                s, starts, number, rows, _ = known(docs, copies, answers)
+                s, starts, stops, number, rows, _ = known(docs, copies, answers)
                 total = np.zeros(len(rows), np.int64)
                 if found:
                     _, at, many = together(found)
                     total[at] = many
-                total = total[number]
-                of_host = total[len(starts) - len(s.ids) :]  # distinct pages of each page's host
-                article = np.array([z == "article" for z in s.zones], bool)
-                need = np.where(article, np.maximum(ARTICLE_PAGES, np.ceil(article_share * of_host)), np.maximum(PAGES, np.ceil(share * of_host)))
-                starts = starts[: len(s.covers)]
-                hit = total[: len(starts)] >= need[s.page[starts]] if len(starts) else np.empty(0, bool)
+                hit = total[number] >= s.need[s.page[starts]] if len(starts) else np.empty(0, bool)
                 marks = np.zeros(len(s.tokens) + 1, np.int64)
                 np.add.at(marks, starts[hit], 1)
-                np.add.at(marks, starts[hit] + s.covers[hit], -1)
+                np.add.at(marks, stops[hit], -1)
                 gone = np.cumsum(marks) > 0
                 texts = []
                 for end, size, zone, found_blocks in zip(s.end.tolist(), s.sizes.tolist(), s.zones, s.blocks, strict=True):
@@ -357,7 +379,7 @@ def extract(pages: DataFrame, run: int = RUN, long: int = LONG, share: float = S
     id_arrow = to_arrow_type(pages.schema["page_id"].dataType)
     with_copies = cells.read().hint("merge").join(copied, "cell", "left")
     anchors = with_copies.select("cell", "docs", "copied").mapInArrow(sent_anchors, PARCEL)
-    elsewhere = Written(exchange(anchors, n, fan).groupBy("group").applyInArrow(shared, PARCEL), "shared")
+    elsewhere = Written(exchange(anchors, n, fan).groupBy("group").applyInArrow(anchored, PARCEL), "anchors")
     asked = cells.with_answers(exchange(elsewhere.read(), n, fan)).join(copied, "cell", "left").select("cell", "docs", "copied", "answers0").mapInArrow(sent_suffixes, PARCEL)
     totals = Written(exchange(asked, n, fan).groupBy("group").applyInArrow(counted, PARCEL), "runs")
     common.release(pages.sparkSession)
