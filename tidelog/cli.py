@@ -56,13 +56,15 @@ def main(args: list[str] | None = None) -> int:
             print(f"{r.invariant}: {r.detail}")
         return int(bool(rows))
     if found.command == "manifest":
-        manifest(edit_log.read(spark, found.paths[0], binary=False)).show(10_000, truncate=False)
+        rows = manifest(edit_log.read(spark, found.paths[0], binary=False))
     else:
         rows = {"levels": levels, "dump": dump}[found.command](spark.read.parquet(found.paths[0]))
-        if rows.isEmpty():
-            print("the tree is empty")
-        else:
-            rows.show(10_000, truncate=False)
+    names, n = rows.columns, 0
+    for r in rows.toLocalIterator():  # a partition at a time, in order
+        print("\t".join(f"{c}={r[c]!r}" for c in names))
+        n += 1
+    if not n and found.command != "manifest":
+        print("the tree is empty")
     return 0
 
 

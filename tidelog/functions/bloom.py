@@ -1,8 +1,8 @@
-"""Bloom filters as DataFrames of set bits.
+"""Bloom filters as DataFrames of bitmaps.
 
-A filter is one row for each set bit, so building is an aggregate and probing a join; neither
-gathers a filter anywhere. Hash values differ from other implementations; what holds is
-that no key that is in is ever reported absent, and the rate of false positives.
+A filter is one row for each 32768 bits of it, built by a bitmap aggregate that combines before its exchange, and probed by
+a join on (file, bucket). Hash values differ from other implementations; what holds is
+that no key that is in is ever reported absent, and the rate of false positives. A file without a filter may contain any key.
 """
 
 from __future__ import annotations
@@ -36,21 +36,33 @@ def positions(key: Column, probes: int, bits: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), step)
 
 
+#: Bits of one row's bitmap: that of bitmap_construct_agg.
+BITMAP = 32_768
+
+
 def build(entries: DataFrame, bits_per_key: int = 10, probes: int = 7) -> DataFrame:
-    """(file_number, bits, bit) for each set bit of each file's filter over its distinct keys."""
+    """(file_number, bits, bucket, bitmap) of each file's filter over its distinct keys."""
     keys = entries.select("file_number", "key").distinct()
     sizes = keys.groupBy("file_number").agg((8 * filter_bytes(F.count("*"), bits_per_key)).alias("bits"))
-    return keys.join(sizes, "file_number").select("file_number", "bits", F.explode(positions(F.col("key"), probes, F.col("bits"))).alias("bit")).distinct()
+    bit = keys.join(sizes, "file_number").select("file_number", "bits", F.explode(positions(F.col("key"), probes, F.col("bits"))).alias("bit"))
+    return bit.groupBy("file_number", "bits", F.floor(F.col("bit") / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % BITMAP).alias("bitmap"))
+
+
+def _is_set(bitmap: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1
 
 
 def probe(filters: DataFrame, candidates: DataFrame, probes: int = 7) -> DataFrame:
-    """The rows (key, file_number) of candidates whose file's filter may contain the key."""
+    """The rows (key, file_number) of candidates whose file's filter may contain the key, those of files without a filter included."""
     sizes = filters.select("file_number", "bits").distinct()
-    asked = candidates.select("key", "file_number").join(sizes, "file_number")
-    bits = asked.withColumn("at", F.array_distinct(positions(F.col("key"), probes, F.col("bits"))))
-    bits = bits.select("key", "file_number", F.size("at").alias("need"), F.explode("at").alias("bit"))
-    have = bits.join(filters, ["file_number", "bit"]).groupBy("key", "file_number", "need").agg(F.count("*").alias("have"))
-    return have.where("have = need").select("key", "file_number")
+    asked = candidates.select("key", "file_number").join(sizes, "file_number", "left")
+    bits = asked.where("bits is not null").withColumn("at", F.explode(F.array_distinct(positions(F.col("key"), probes, F.col("bits")))))
+    by_bucket = bits.groupBy("key", "file_number", F.floor(F.col("at") / BITMAP).alias("bucket")).agg(F.collect_list(F.col("at") % BITMAP).alias("at"))  # probes at most
+    checked = by_bucket.join(filters.select("file_number", "bucket", "bitmap"), ["file_number", "bucket"], "left")
+    hit = F.coalesce(F.forall("at", lambda x: _is_set(F.col("bitmap"), x)), F.lit(False))
+    found = checked.groupBy("key", "file_number").agg(F.bool_and(hit).alias("hit")).where("hit").select("key", "file_number")
+    return found.unionByName(asked.where("bits is null").select("key", "file_number"))
 
 
 def lookups(entries: DataFrame, candidates: DataFrame, filtered: bool = True, bits_per_key: int = 10, probes: int = 7) -> DataFrame:

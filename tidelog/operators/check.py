@@ -14,11 +14,15 @@ def _found(df: DataFrame, invariant: str, *detail: str) -> DataFrame:
 
 
 def version_structure(files: DataFrame) -> DataFrame:
-    """A file in two places, level 0 out of number order by recency of its own list, or ranges below that meet."""
+    """A file in two places, ranges below level 0 that meet, or, where files have their place in level 0's list (position), numbers there that do not fall."""
     twice = files.groupBy("file_number").agg(F.count("*").alias("n")).where("n > 1")
     order = Window.partitionBy("level").orderBy("smallest", "file_number")
     before = files.where("level > 0").withColumn("_before", F.lag("largest").over(order))
-    return _found(twice, "version-structure", "file_number").union(_found(before.where("_before >= smallest"), "version-structure", "level", "file_number"))
+    found = _found(twice, "version-structure", "file_number").union(_found(before.where("_before >= smallest"), "version-structure", "level", "file_number"))
+    if "position" in files.columns:
+        above = F.lag("file_number").over(Window.partitionBy("level").orderBy("position"))
+        found = found.union(_found(files.where("level = 0").withColumn("_above", above).where("_above <= file_number"), "version-structure", "level", "file_number"))
+    return found
 
 
 def file_exists(files: DataFrame, disk: DataFrame) -> DataFrame:
@@ -81,6 +85,31 @@ def metadata_valid(files: DataFrame) -> DataFrame:
     return _found(files.where("smallest > largest or smallest_seq > largest_seq"), "metadata-valid", "file_number")
 
 
+def table_readable(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Files whose Parquet data cannot be read whole: paths (file_number, path). One task reads one file."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs
+        import pyarrow.parquet
+
+        for b in batches:
+            bad = []
+            for number, path in zip(b["file_number"], b["path"], strict=True):
+                try:
+                    system, at = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+                    for _ in pyarrow.parquet.ParquetFile(at, filesystem=system).iter_batches():
+                        pass
+                except (OSError, pyarrow.ArrowException) as e:
+                    bad.append((number, type(e).__name__))
+            yield pd.DataFrame(bad, columns=["file_number", "error"])
+
+    known = files.select("file_number").join(paths.select("file_number", "path"), "file_number")
+    return _found(known.mapInPandas(read, "file_number long, error string"), "table-readable", "file_number")
+
+
 def tombstones_have_no_value(entries: DataFrame) -> DataFrame:
     return _found(entries.where("tombstone <> (value is null)"), "tombstone-value", "file_number", "seq")
 

@@ -6,8 +6,10 @@ the tombstone rule: a tombstone may go only if no file below could hold an older
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,41 +146,84 @@ def accounting(entries: DataFrame, bottom: bool) -> DataFrame:
 
 
 def roll(sorted_keys: DataFrame, threshold: int) -> DataFrame:
-    """file (from 0) of each key when files close as soon as they reach threshold bytes.
+    """file (from 0) of each key when files close as soon as they reach threshold bytes, range by range.
 
-    Column size is a key's bytes. The fold starts anew at each close, which no window expresses: it runs
-    over the keys of one range column (range), collected in order, so ranges bound its memory.
+    Column size is a key's bytes. The fold starts anew at each close, which no window expresses: a task streams the keys
+    of its ranges (column range) in order and holds none of them.
     """
-    rows = sorted_keys.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("key", "size"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("file"), F.array().cast("array<bigint>").alias("files"))
 
-    def step(a: Column, x: Column) -> Column:
-        full = a["held"] >= threshold
-        file = F.when(full, a["file"] + 1).otherwise(a["file"])
-        return F.struct(F.when(full, x["size"]).otherwise(a["held"] + x["size"]).alias("held"), file.alias("file"), F.concat(a["files"], F.array(file)).alias("files"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, file = None, 0, 0
+        for b in batches:
+            files = []
+            for r, size in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if r != now:
+                    now, held, file = r, 0, 0
+                elif held >= threshold:
+                    held, file = 0, file + 1
+                held += size
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(files, pa.int64())], ["range", "key", "file"])
+
+    kind = sorted_keys.schema["key"].dataType.simpleString()
+    range_kind = sorted_keys.schema["range"].dataType.simpleString()
+    rows = sorted_keys.select("range", "key", F.col("size").cast("long")).repartition("range").sortWithinPartitions("range", "key")
+    return rows.mapInArrow(fold, f"range {range_kind}, key {kind}, file long")
+
+
+def rolled(entries: DataFrame, options: Options = Options(), first: int = 0) -> DataFrame:
+    """entries (one version a key) with file_number, numbered from first + 1: files of output_bytes, closed on a change of key.
+
+    The key space is cut into ranges of some files each, so that ranges are rolled side by side; a range's last file may be smaller.
+    """
+    from tidelog.operators.ranks import cuts, range_of
+
+    sized = entries.drop("file_number").withColumn("_size", entry_size(F.col("key"), F.col("value")))
+    total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    ranges = max(1, total // (FILES_A_RANGE * options.output_bytes))
+    cut = sized.withColumn("_range", range_of("key", cuts(sized, "key", ranges)))
+    files = roll(cut.select(F.col("_range").alias("range"), "key", F.col("_size").alias("size")), options.output_bytes)
+    last = files.groupBy("range").agg((F.max("file") + 1).alias("n"))
+    before = last.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
+    numbered = files.join(F.broadcast(before), "range").select("key", (F.lit(first + 1) + F.col("before") + F.col("file")).cast("long").alias("file_number"))
+    return cut.drop("_range", "_size").join(numbered, "key")
+
+
+#: Output files that one task rolls.
+FILES_A_RANGE = 64
 
-    folded = rows.withColumn("f", F.aggregate("rows", start, step, lambda a: a["files"]))
-    return folded.select("range", F.explode(F.arrays_zip("rows", "f")).alias("x")).select("range", F.col("x.rows.key").alias("key"), F.col("x.f").alias("file"))
 
+def settle(entries: DataFrame, options: Options = Options(), most: int = 1024) -> DataFrame:
+    """Compacts until no level is over budget; entries carry level and file_number. A tree that most rounds don't settle is an error."""
+    from tidelog.sources.scratch import written
 
-def settle(entries: DataFrame, options: Options = Options(), most: int = 64) -> DataFrame:
-    """Compacts until no level is over budget; entries carry level and file_number. most bounds the rounds."""
     pointers: dict = {}
     for _ in range(most):
-        files = layout.file_metadata(entries)
+        files = written(layout.file_metadata(entries), "files")
         plan = pick(files, options, pointers)
         if plan is None:
-            break
+            return entries
         numbers = plan.inputs.select("level", "file_number")
-        chosen = entries.join(F.broadcast(numbers), ["level", "file_number"], "left_semi")
-        rest = entries.join(F.broadcast(numbers), ["level", "file_number"], "left_anti")
+        chosen = entries.join(numbers, ["level", "file_number"], "left_semi")
+        rest = entries.join(numbers, ["level", "file_number"], "left_anti")
         last = files.agg(F.max("file_number")).first()[0]
-        merged = run(chosen, plan.bottom)
-        size = merged.agg(F.coalesce(F.sum(entry_size(F.col("key"), F.col("value"))), F.lit(0))).first()[0]
-        out = layout.assign_levels(merged, max(1, -(-size // options.output_bytes)))
-        out = out.withColumn("file_number", F.col("file_number") + last).withColumn("level", F.lit(plan.level + 1))
-        entries = rest.unionByName(out.select(*rest.columns)).checkpoint()
-    return entries
+        out = rolled(run(chosen, plan.bottom), options, last).withColumn("level", F.lit(plan.level + 1))
+        entries = written(rest.unionByName(out.select(*rest.columns)), "entries")
+    raise RuntimeError(f"the tree is not settled after {most} compactions")
+
+
+def commit(plan_inputs: DataFrame, outputs: DataFrame, edit_id: int, path: str | None = None) -> DataFrame:
+    """The one edit that replaces a compaction's inputs by its outputs and moves the file counter beyond them; appended to the log at path in one job.
+
+    outputs are the files' metadata, so they are written before the edit names them: a crash between leaves orphans, never missing files.
+    """
+    rows = edit_rows(plan_inputs, outputs, edit_id)
+    top = plan_inputs.select("file_number").unionByName(outputs.select("file_number")).agg((F.max("file_number") + 1).alias("counter_value"), F.count("*").alias("n"))
+    counter = top.select(*(F.lit("SET_NEXT_FILE_NUMBER").alias(c) if c == "kind" else F.lit(edit_id).cast("long").alias(c) if c == "edit_id" else F.col("n").cast("int").alias(c) if c == "ordinal" else F.col(c) if c == "counter_value" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    every = rows.unionByName(counter)
+    if path:
+        every.coalesce(1).write.mode("append").parquet(path)
+    return every
 
 
 def edit_rows(plan_inputs: DataFrame, outputs: DataFrame, edit_id: int) -> DataFrame:

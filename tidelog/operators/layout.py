@@ -52,11 +52,15 @@ def overlapping(files: DataFrame, low: str | bytes, high: str | bytes) -> DataFr
     return files.where((F.col("largest") >= F.lit(low)) & (F.col("smallest") <= F.lit(high)))
 
 
-def overlap_pairs(files: DataFrame) -> DataFrame:
-    """(level, a, b) for files a < b of a level whose key ranges meet."""
-    a = files.select("level", F.col("file_number").alias("a"), F.col("smallest").alias("a_low"), F.col("largest").alias("a_high"))
-    b = files.select("level", F.col("file_number").alias("b"), F.col("smallest").alias("b_low"), F.col("largest").alias("b_high"))
-    return a.join(b, "level").where("a < b and a_low <= b_high and b_low <= a_high").select("level", "a", "b")
+def overlap_pairs(files: DataFrame, bins: int = 256) -> DataFrame:
+    """(level, a, b) for files a < b of a level whose key ranges meet. Files meet in the bin where the later one of the two begins."""
+    from tidelog.operators.ranks import cuts, range_of
+
+    at = cuts(files, "smallest", bins)
+    a = files.select("level", F.col("file_number").alias("x"), F.col("smallest").alias("x_low"), F.col("largest").alias("x_high"), F.explode(F.sequence(range_of("smallest", at), range_of("largest", at))).alias("bin"))
+    b = files.select("level", F.col("file_number").alias("y"), F.col("smallest").alias("y_low"), range_of("smallest", at).alias("bin"))
+    later = "(x_low < y_low or (x_low = y_low and x < y)) and x_high >= y_low and x <> y"
+    return a.join(b, ["level", "bin"]).where(later).select("level", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def candidates(keys: DataFrame, files: DataFrame, bins: int = 256) -> DataFrame:
@@ -65,13 +69,11 @@ def candidates(keys: DataFrame, files: DataFrame, bins: int = 256) -> DataFrame:
     The key space is cut at sampled file bounds into at most bins ranges. A key is in one bin, a file
     in each that it meets, and they join by bin: keys are paired with the files near them, not with all.
     """
-    from tidelog.operators.ranks import _string_cuts
+    from tidelog.operators.ranks import cuts, range_of
 
-    cuts = sorted(set(_string_cuts(files, "smallest", bins)))
-    edges = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<string>")
-    bin_of = lambda c: F.size(F.filter(edges, lambda e: e <= F.col(c))) if cuts else F.lit(0)
-    spread = files.select("level", "file_number", "smallest", "largest", F.explode(F.sequence(bin_of("smallest"), bin_of("largest"))).alias("bin"))
-    placed = keys.select("key", bin_of("key").alias("bin"))
+    at = cuts(files, "smallest", bins)
+    spread = files.select("level", "file_number", "smallest", "largest", F.explode(F.sequence(range_of("smallest", at), range_of("largest", at))).alias("bin"))
+    placed = keys.select("key", range_of("key", at).alias("bin"))
     return placed.join(spread, "bin").where("key >= smallest and key <= largest").select("key", "level", "file_number")
 
 
@@ -90,6 +92,22 @@ def bad_deletes(edits: DataFrame) -> DataFrame:
     return moves.withColumn("_before", F.lag("kind").over(order)).where("kind = 'DELETE' and coalesce(_before, 'DELETE') = 'DELETE'").select("edit_id", "level", "file_number")
 
 
+KINDS = ("ADD", "DELETE", "SET_LAST_SEQUENCE", "SET_NEXT_FILE_NUMBER", "SET_LOG_NUMBER")
+
+
+def unknown_kinds(edits: DataFrame) -> DataFrame:
+    """Rows of the edit log of no known kind: corruption."""
+    return edits.where(F.col("kind").isNull() | ~F.col("kind").isin(*KINDS)).select("edit_id", "ordinal", "kind")
+
+
+def replay_strict(edits: DataFrame) -> DataFrame:
+    """replay(), refused with an error where the log has unknown kinds or deletes files that are not live."""
+    for what, bad in (("kinds", unknown_kinds(edits)), ("deletes", bad_deletes(edits))):
+        if row := bad.first():
+            raise ValueError(f"corrupt edit log: bad {what}, first {row.asDict()}")
+    return replay(edits)
+
+
 def counters(edits: DataFrame) -> DataFrame:
     """(kind, value): the last value set of each counter."""
     sets = edits.where(F.col("kind").startswith("SET_"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import ENTRY_OVERHEAD, user_bytes
-from tidelog.operators import compact, layout
+from tidelog.operators import compact, layout, ranks
 from tidelog.operators.state import live, newest
 
 
@@ -74,8 +74,13 @@ def write_amplification(flushed: DataFrame, compacted: DataFrame, log: DataFrame
 
 
 def read_amplification(lookups: DataFrame, files: DataFrame) -> DataFrame:
-    """Tables opened a lookup, if each candidate file is opened; every row of lookups counts."""
-    opened = layout.candidates(lookups.select("key"), files).agg(F.count("*").alias("table_reads"))
+    """Tables opened a lookup, if each candidate file is opened; every row of lookups counts.
+
+    A file's lookups are those not above its largest key less those below its smallest: counts from one ordered pass, no pairs.
+    """
+    edges = files.select(F.explode(F.array(F.struct(F.col("largest").alias("bound"), F.lit(True).alias("inclusive")), F.struct(F.col("smallest").alias("bound"), F.lit(False).alias("inclusive")))).alias("x")).select("x.*")
+    below = ranks.counted_below(lookups, "key", edges)
+    opened = below.agg(F.coalesce(F.sum(F.when(F.col("inclusive"), F.col("n")).otherwise(-F.col("n"))), F.lit(0)).alias("table_reads"))
     one = lookups.agg(F.count("*").alias("gets")).crossJoin(opened)  # a row each
     return one.select("gets", "table_reads", ratio(F.col("table_reads"), F.col("gets")).alias("read_amplification"))
 

@@ -46,23 +46,32 @@ def exists(log: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("key").join(live(wanted).select("key"), "key").agg(F.count("*").alias("n"))
 
 
-def delete_effects(log: DataFrame) -> DataFrame:
+def delete_effects(log: DataFrame, parts: int = 64) -> DataFrame:
     """deletes and existed: tombstones in the log, and those that hit a live key.
 
-    Whether the version before was alive is a matter of neighbours in seq order: the
-    last of a key's versions below. Keys are bounded groups only if versions of a key are; for keys with
-    many, compact the log first.
+    Whether the version before was alive is a matter of neighbours in seq order. A key's versions are cut at its sequences' quantiles into parts
+    at most, in place of one window over all of them: a part looks back within itself, and its first version at
+    the last one of the parts before, a row for each part.
     """
     from pyspark.sql import Window
 
-    before = F.lag("tombstone").over(Window.partitionBy("key").orderBy("seq"))
-    rows = log.select("key", "seq", "tombstone").withColumn("before", before).where("tombstone")
-    return rows.agg(F.count("*").alias("deletes"), F.count_if(~F.col("before")).alias("existed"))
+    from tidelog.operators.ranks import cuts, range_of
 
+    rows = log.select("key", "seq", "tombstone").withColumn("part", range_of("seq", cuts(log, "seq", parts)))
+    last = rows.groupBy("key", "part").agg(F.max_by("tombstone", "seq").alias("last"))
+    earlier = last.withColumn("earlier", F.lag("last").over(Window.partitionBy("key").orderBy("part"))).select("key", "part", "earlier")  # parts rows a key at most
+    before = F.lag("tombstone").over(Window.partitionBy("key", "part").orderBy("seq"))
+    found = rows.withColumn("before", before).where("tombstone").join(earlier, ["key", "part"])
+    return found.agg(F.count("*").alias("deletes"), F.count_if(~F.coalesce("before", "earlier")).alias("existed"))
 
-def put(log: DataFrame, rows: DataFrame) -> DataFrame:
-    """The log with rows (key, value) appended in key order, after its highest sequence."""
-    return _append(log, rows.select("key", "value", F.lit(False).alias("tombstone")))
+
+def put(log: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
+    """The log with rows (key, value) appended after its highest sequence, in the order of the column order.
+
+    Without one, rows follow by key, and rows of one key by value, so that the largest value is the newest whatever way the rows lie.
+    """
+    columns = ["key", "value", *([order] if order else [])]
+    return _append(log, rows.select(*columns).withColumn("tombstone", F.lit(False)), order)
 
 
 def delete(log: DataFrame, keys: DataFrame) -> DataFrame:
@@ -70,11 +79,11 @@ def delete(log: DataFrame, keys: DataFrame) -> DataFrame:
     return _append(log, keys.select("key", F.lit(None).cast(log.schema["value"].dataType).alias("value"), F.lit(True).alias("tombstone")))
 
 
-def _append(log: DataFrame, rows: DataFrame) -> DataFrame:
+def _append(log: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
     from tidelog.operators.ranks import ranked
 
     last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    new = ranked(rows, "key", "place").join(F.broadcast(last), F.lit(True))  # one row
+    new = ranked(rows, order or "key", "place", then=("key", "value")).join(F.broadcast(last), F.lit(True))  # one row
     new = new.withColumn("seq", F.col("last") + F.col("place"))
     return log.select("key", "seq", "tombstone", "value").unionByName(new.select("key", "seq", "tombstone", "value"))
 
