@@ -25,6 +25,16 @@ def _rows(found, columns):
     return sorted(rows, key=repr)
 
 
+@pytest.mark.parametrize("name", [n for n in sorted(registry.oracle_sql()) if n.startswith("check_") and n != "check_healthy"])
+def test_checks_find_damage(spark, name):
+    """On a layout of enough files every check has something to find."""
+    sf = SF.replace("0.001", "0.01")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = sorted(c.execute(registry.oracle_sql()[name]).fetchall())
+    assert want and sorted(map(tuple, registry.queries()[name](spark, sf).collect())) == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     found = registry.queries()[name](spark, SF)
@@ -56,8 +66,31 @@ def test_rotations_fold_the_whole_log_of_each_level(spark):
     found = metrics.rotations(spark.createDataFrame(rows, "level int, seq long, key string, value string").repartition(3), 1000)
     assert sorted(x.rotations for x in found.collect()) == sorted(want)
     assert "collect_list" not in found._jdf.queryExecution().toString()
-    whole = registry.queries()["rotation_fold_all"](spark, SF).first()[0]
-    assert whole > registry.queries()["rotation_fold"](spark, SF).first()[0] > 0
+    held = n = 0
+    events = sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: r.event_id)
+    for e in events:
+        held, n = (0, n + 1) if held >= 4096 else (held, n)
+        held += len(f"user:{e.user_id:06d}") + (0 if e.event_type == "error" else len(e.props)) + ENTRY_OVERHEAD
+    assert registry.queries()["rotation_fold"](spark, SF).first()[0] == n
+
+
+def test_lru_by_hand(spark):
+    from collections import OrderedDict
+
+    from pyspark.sql import functions as F
+    from tidelog.operators import cache_sim
+
+    trace = registry._accesses(spark, SF)
+    placed = trace.withColumn("shard", F.pmod(F.xxhash64("file", "offset"), F.lit(cache_sim.SHARDS))).orderBy("access_id").collect()
+    held, hits = [OrderedDict() for _ in range(cache_sim.SHARDS)], 0
+    for r in placed:
+        blocks, block = held[r.shard], (r.file, r.offset)
+        hits += block in blocks
+        blocks[block] = blocks.pop(block, None)
+        if len(blocks) * 4096 > (4 << 20) // cache_sim.SHARDS:
+            blocks.popitem(last=False)
+    found = registry.queries()["lru_hit_rate"](spark, SF).first()
+    assert (found.hits, found.misses) == (hits, len(placed) - hits)
 
 
 def test_entry(spark):

@@ -304,3 +304,74 @@ def test_filters_reject_absent_keys(spark):
     asked = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).cast("long").alias("file_number"))
     r = bloom.lookups(entries, asked).first()
     assert (r.probes, r.found) == (1000, 500) and 480 <= r.rejects <= 500
+
+
+def test_ranges_in_two_thousand_parts(spark):
+    rows = spark.range(5000).selectExpr("lpad(cast(id * 7 % 5000 as string), 5, '0') as key", "id")
+    got = ranks.ranked(rows, "key", "place", parts=2000)
+    assert got.where("cast(key as int) + 1 <> place").count() == 0 and got.count() == 5000
+    at = ["b", "d", "f", "h", "j"]
+    keys = spark.createDataFrame([(k,) for k in ["a", "b", "c", "d", "e", "i", "j", "z", None]], "key string")
+    found = {r.key: r.n for r in keys.withColumn("n", ranks.range_of("key", at)).collect()}
+    assert found == {k: sum(c <= k for c in at) if k else 0 for k in found}
+
+
+def test_counts_below_bounds(spark):
+    r = random.Random(5)
+    rows = [(f"k{r.randrange(40):03d}",) for _ in range(500)]
+    bounds = [(f"k{k:03d}", bool(k % 2)) for k in range(-1, 45, 3)]
+    got = ranks.counted_below(spark.createDataFrame(rows, "key string"), "key", spark.createDataFrame(bounds, "bound string, inclusive boolean"), parts=7)
+    assert {(x.bound, x.inclusive): x.n for x in got.collect()} == {(b, i): sum(k < b or (i and k == b) for (k,) in rows) for b, i in bounds}
+
+
+def test_puts_of_one_key_follow_their_order(spark):
+    log = make(spark, [("a", 1, False, "0")])
+    rows = [("a", str(v), n) for n, v in enumerate([3, 9, 1, 7, 2, 5])]
+    for parts in (1, 3, 6):
+        new = spark.createDataFrame(rows, "key string, value string, n int").repartition(parts)
+        assert state.get(state.put(log, new, "n"), "a").first().value == "5"
+        assert state.get(state.put(log, new.drop("n")), "a").first().value == "9"
+
+
+def test_strict_replay_and_level_zero_order(spark):
+    columns = "edit_id long, ordinal int, kind string, level int, file_number long, size long, smallest string, largest string, smallest_seq long, largest_seq long, counter_value long"
+    row = lambda e, kind, f: (e, 0, kind, 0, f, 1, "a", "b", 1, 2, None)
+    for bad in ([row(1, "ADD", 1), row(2, "DELETE", 9)], [row(1, "RENAME", 1)]):
+        with pytest.raises(ValueError, match="corrupt edit log"):
+            layout.replay_strict(spark.createDataFrame(bad, columns))
+    assert layout.replay_strict(spark.createDataFrame([row(1, "ADD", 1), row(2, "DELETE", 1)], columns)).count() == 0
+    files = spark.createDataFrame([(0, n, k, "a", "b") for k, n in enumerate([9, 7, 8, 3])], "level int, file_number long, position int, smallest string, largest string")
+    assert [r.detail for r in check.version_structure(files).collect()] == ["0:8"]
+
+
+def test_table_readable(spark, tmp_path):
+    make(spark, [("a", 1, False, "x")]).coalesce(1).write.parquet(str(tmp_path / "t"))
+    good = str(next((tmp_path / "t").glob("*.parquet")))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 nothing PAR1")
+    paths = spark.createDataFrame([(1, good), (2, str(tmp_path / "bad.parquet")), (3, str(tmp_path / "none.parquet"))], "file_number long, path string")
+    assert {r.detail for r in check.table_readable(paths.select("file_number"), paths).collect()} == {"2", "3"}
+
+
+def test_a_file_without_a_filter_may_hold_any_key(spark):
+    entries = spark.createDataFrame([(1, "a"), (1, "b")], "file_number long, key string")
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (2, "q")], "file_number long, key string")
+    assert {(r.key, r.file_number) for r in bloom.probe(bloom.build(entries), asked).collect()} == {("a", 1), ("a", 2), ("q", 2)}
+
+
+def test_rolled_files_end_at_the_threshold(spark):
+    log = make(spark, [(f"k{n:04d}", n + 1, False, "v" * (n % 50)) for n in range(2000)]).withColumn("file_number", F.lit(1)).withColumn("level", F.lit(0))
+    options = compact.Options(output_bytes=1000)
+    files = layout.file_metadata(compact.rolled(log, options, 40)).orderBy("smallest").collect()
+    assert [f.file_number for f in files] == list(range(41, 41 + len(files)))
+    assert all(a.largest < b.smallest for a, b in zip(files, files[1:], strict=False))
+    assert all(f.size < 1000 + 200 for f in files) and sum(f.size >= 1000 for f in files) >= len(files) - 4
+
+
+def test_delete_effects_across_parts(spark):
+    rows = seeded(600, 5, 8, 0.5)
+    alive, existed = set(), 0
+    for key, _, dead, _ in rows:
+        existed += dead and key in alive
+        (alive.discard if dead else alive.add)(key)
+    for parts in (1, 7, 64):
+        assert state.delete_effects(make(spark, rows), parts).first() == (sum(r[2] for r in rows), existed)

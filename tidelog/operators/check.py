@@ -76,7 +76,7 @@ def sequence_bounds(entries: DataFrame, files: DataFrame) -> DataFrame:
 
 def l0_recency(files: DataFrame) -> DataFrame:
     """On level 0 a higher number never has a lower largest sequence."""
-    order = Window.partitionBy("level").orderBy("file_number")
+    order = Window.partitionBy("level").orderBy("file_number", "largest_seq")
     rows = files.where("level = 0").withColumn("_before", F.lag("largest_seq").over(order))
     return _found(rows.where("_before > largest_seq"), "l0-number-tracks-recency", "file_number")
 

@@ -103,13 +103,13 @@ def decode_batch(payload: bytes) -> list[tuple[bytes, int, bool, bytes | None]]:
     return out
 
 
-def frame(records: list[bytes]) -> bytes:
-    """The bytes of a log of records."""
+def frame(records: list[bytes], begin: int = 0) -> bytes:
+    """The bytes of records that follow begin bytes of a log."""
     out = bytearray()
     for record in records:
         rest, first = record, True
         while first or rest:
-            room = BLOCK - len(out) % BLOCK
+            room = BLOCK - (begin + len(out)) % BLOCK
             if room < HEADER:
                 out += bytes(room)
                 room = BLOCK
@@ -187,3 +187,42 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(found, columns=["key", "seq", "tombstone", "value"])
 
     return rows.mapInPandas(run, "key binary, seq long, tombstone boolean, value binary")
+
+
+def write(entries: DataFrame, path: str) -> None:
+    """entries as write-ahead logs under path, one NNNNNN.wal for each file_number; a run of sequences is a batch.
+
+    A task streams its files' entries in sequence order and writes a file when its last entry has passed, under
+    its final name in one rename, so a task that runs again replaces what it wrote.
+    """
+    from itertools import groupby
+    from operator import itemgetter
+
+    from pyspark.sql.types import BinaryType
+
+    as_binary = lambda c: F.col(c) if isinstance(entries.schema[c].dataType, BinaryType) else F.col(c).cast("binary")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs
+
+        system, at = pyarrow.fs.FileSystem.from_uri(path) if ":/" in path else (pyarrow.fs.LocalFileSystem(), path)
+        system.create_dir(at)
+        rows = (r for b in batches for r in zip(b["file_number"], b["seq"], b["key"], b["tombstone"], b["value"], strict=True))
+        for number, own in groupby(rows, itemgetter(0)):
+            name = f"{at}/{number:06d}"
+            with system.open_output_stream(f"{name}.tmp") as out:
+                size, batch, first = 0, [], None
+                for _, seq, key, dead, value in [*own, (None,) * 5]:
+                    if batch and (seq is None or seq != first + len(batch) or len(batch) == 64):
+                        data = frame([encode_batch(first, batch)], size)
+                        out.write(data)
+                        size, batch = size + len(data), []
+                    if seq is not None:
+                        if not batch:
+                            first = seq
+                        batch.append((DELETE if dead else SET, bytes(key), b"" if dead else bytes(value)))
+            system.move(f"{name}.tmp", f"{name}.wal")
+            yield pd.DataFrame({"number": [number]})
+
+    rows = entries.select("file_number", "seq", as_binary("key").alias("key"), "tombstone", as_binary("value").alias("value"))
+    rows.repartition("file_number").sortWithinPartitions("file_number", "seq").mapInPandas(run, "number long").write.format("noop").mode("overwrite").save()
