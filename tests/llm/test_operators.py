@@ -25,15 +25,25 @@ def tokenizer():
     return Tokenizer.from_file(op1_token_counts.vocabulary_path())
 
 
-def test_token_counts(docs_of, sample, tokenizer):
-    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in op1_token_counts.token_counts(docs_of(sample)).collect())
+@pytest.mark.parametrize("head", [1 << 18, 40, 0])
+def test_token_counts(docs_of, sample, tokenizer, head):
+    sample = [*sample, (97, "Hello, hello. HELLO,world!! naïve Ångström. " + "w" * 300 + " x" * 70)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in op1_token_counts.token_counts(docs_of(sample), head=head).collect())
     n = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids)
     assert got == Counter((i, len(text_of(t)), n(t), n(t) > 2048) for i, t in sample)
 
 
+def test_pretoken_table_counts_each_once(docs_of, sample, tokenizer):
+    rows = op1_token_counts.pretoken_table(docs_of(sample), op1_token_counts.vocabulary_path()).collect()
+    assert len({r.part for r in rows}) == len(rows)
+    assert all(r.pieces == len(tokenizer.encode(r.part, add_special_tokens=False).ids) for r in rows)
+    assert sum(r.uses * r.pieces for r in rows) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in sample)
+
+
 def test_packing_round_trip(docs_of, sample, tokenizer):
     rows = [r for r in sample if r[0] is not None and r[0] != 8]
-    got = op9_packing.pack(docs_of(rows)).collect()
+    got = op9_packing.pack(docs_of(rows), with_ids=True).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:

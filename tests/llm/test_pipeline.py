@@ -53,3 +53,30 @@ def test_near_dedup_drops_no_unlinked_row_of_a_null_or_repeated_id(spark, docs_o
 
 def test_run_equals_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, sample):
+    """Names that operators use inside, and types of all kinds; null and shared ids; distinct texts survive the near-duplicates."""
+    import datetime
+
+    more = "kept int, n_bytes double, parts array<int>, _text boolean, _host timestamp, host string, hash struct<a: int>, cell map<string, int>, row date, pass binary, times int, doc string, id int"
+    extra = (7, 0.5, [1, None], True, datetime.datetime(2024, 1, 2), "h", (3,), {"a": 1}, datetime.date(2024, 1, 2), b"x", None, "d", 9)
+    unlike = [(i, " ".join(f"{c}{k * k % 97}" for k in range(60)), "en", "s", 1) for i, c in ((None, "a"), (None, "b"), (7, "c"), (7, "d"))]
+    rows = [(i, t, "en", "s" if k % 2 else None, None) for k, (i, t) in enumerate(sample)] + unlike
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        found = out.collect()
+        assert found and all(r.parts == [1, None] and r.hash.a == 3 and r["pass"] == b"x" and r["_host"].year == 2024 for r in found), name
+        docs = spark.createDataFrame(found, docs.schema)
+        if name != "mix_to_weights":
+            assert {t for _, t, *_ in unlike} <= {r.text for r in found}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_stages_of_an_empty_table(spark, docs_of):
+    docs = docs_of([(1, "x")]).where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0

@@ -67,7 +67,7 @@ class Cells:
 
         text = F.coalesce("text", F.lit("")).cast("binary")
         cell = F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("cell")
-        packed = docs.select(cell, "doc_id", text, *(F.col(f"`{c}`") for c in carried)).mapInArrow(run, "cell int, blob binary")
+        packed = docs.select(cell, F.col("doc_id").alias("id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried))).mapInArrow(run, "cell int, blob binary")
         whole = packed.groupBy("cell").agg(F.collect_list("blob").alias("docs"))
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         whole.write.bucketBy(buckets, "cell").option("path", self.path).option("compression", "none").saveAsTable(self.name)

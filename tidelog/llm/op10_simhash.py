@@ -226,17 +226,20 @@ def survivors(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot
 
     A null id comes after all others. Groups are of texts, whatever ids their rows have: rows that share an
     id, or have none, but not a fingerprint's neighbourhood all stay. Rows with equal texts are one group's; of those
-    that have its least id too, one stays.
+    that have its least id too, one stays. A null or empty text has fingerprint zero and groups like any other. Empty tables give
+    empty results; further columns may have any name and type.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     marked = Written(fingerprints(docs.select(text.alias("doc_id"), "text"), shingle), "fingerprints")  # an id for each text
     nodes = _rooted(marked, radius, hot).select("h", "root")
     ids = docs.groupBy(text.alias("doc_id")).agg(F.min("doc_id").alias("least"))
     found = marked.read().distinct().join(nodes, "h").join(ids, "doc_id")
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h", F.col("doc_id").alias("_text")))
-    stay = found.groupBy("root").agg(first.alias("x")).select(F.col("x._text").alias("_stays"), F.col("x.least").alias("_least"))
-    kept = docs.withColumn("_text", text).join(stay, F.expr("_text = _stays and doc_id <=> _least"), "left_semi")
-    return kept.dropDuplicates(["_text"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h", F.col("doc_id").alias("text")))
+    stay = found.groupBy("root").agg(first.alias("x")).select(F.col("x.text").alias("stays"), F.col("x.least").alias("least"))
+    # The row travels as a struct, so that no column of docs can meet one of these names.
+    rows = docs.select(text.alias("hash"), F.col("doc_id").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    kept = rows.join(stay, F.expr("hash = stays and id <=> least"), "left_semi").dropDuplicates(["hash"])
+    return kept.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,7 +153,8 @@ def _taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
     spread = d.where("size > 0").select("doc_id", "row", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"))
     words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("start"), F.col("index") * block)
     first = F.greatest(F.lit(0), F.col("index") * block - F.col("start"))
-    return d, spread.join(used, ["source", "index"]).select("doc_id", "row", "source", "start", first.alias("first"), words.alias("words"), "slots"), every.join(facts.select("source", "name", "known"), "source")
+    # Blocks grow with the corpus: a merge join, as small shuffle files are no bound on what a broadcast would hold.
+    return d, spread.join(used.hint("merge"), ["source", "index"]).select("doc_id", "row", "source", "start", first.alias("first"), words.alias("words"), "slots"), every.join(facts.select("source", "name", "known"), "source")
 
 
 def plan(docs: DataFrame, **settings: object) -> DataFrame:

@@ -105,18 +105,24 @@ def quality(docs: DataFrame, limit: int = LIMIT, keep: float = KEEP) -> DataFram
 
 
 def cleaned(docs: DataFrame, limit: int = LIMIT, keep: float = KEEP) -> DataFrame:
-    """The rows of docs that quality() keeps, all columns, with boilerplate lines removed from text and n_chars to match.
+    """The rows of docs that quality() keeps, all columns, with boilerplate lines removed from text and n_chars, if there, to match.
 
-    A verdict is one for each text of a host, so verdicts join rows by these.
+    A verdict is one for each text of a host, so verdicts join rows by these. Nulls, repeated rows, ties and empty tables are as in
+    quality(); further columns may have any name and type.
     """
     removed = boilerplate(docs, limit).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone"))  # lines of one text
     one = base_metrics(docs).groupBy("host", "text_hash").agg(F.max("base_failed").alias("base_failed"), F.max("line_words").alias("line_words"))
     kept = ~F.col("base_failed") & (F.col("line_words") - F.coalesce("removed_words", F.lit(0)) >= keep * F.col("line_words"))
-    verdicts = one.join(removed, ["host", "text_hash"], "left").where(kept).select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    on = (F.coalesce("source", F.lit("\0")) == F.col("_host")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(F.trim(F.regexp_replace(x, SPACE, " ")))))
-    out = docs.join(verdicts, on).withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    return out.withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}).select(*docs.columns)
+    verdicts = one.join(removed, ["host", "text_hash"], "left").where(kept).select("host", "text_hash", "gone")
+    # The row travels as a struct, so that no column of docs can meet one of these names.
+    host, text_hash = F.coalesce("source", F.lit("\0")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    rows = docs.select(host, text_hash, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    left = F.filter(F.split("doc.text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(F.trim(F.regexp_replace(x, SPACE, " ")))))
+    out = rows.join(verdicts, ["host", "text_hash"]).withColumn("left", F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n")))
+    of = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("left")}
+    if "n_chars" in of:
+        of["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(x.alias(c) for c, x in of.items()))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ class WordIds(dict):
 class Packer:
     """Packs documents, given as id bytes, into sequences; bounded by the pool of remainders it holds."""
 
-    def __init__(self, window: int, first_sequence: int):
-        self.window, self.sequence = window, first_sequence
+    def __init__(self, window: int, first_sequence: int, with_ids: bool = False):
+        self.window, self.sequence, self.with_ids = window, first_sequence, with_ids
         self.pool: dict[int, deque] = defaultdict(deque)  # length: (document, start) of each remainder
         self.waiting = 0
         self.rows: list[tuple] = []
@@ -82,7 +82,8 @@ class Packer:
     def emit(self, pieces: list[tuple]) -> None:
         at = 0
         for (doc_id, ids), start, n in pieces:
-            self.rows.append((doc_id, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), len(ids) // 4, self.sequence, at))
+            piece = memoryview(ids)[4 * start : 4 * (start + n)]
+            self.rows.append((doc_id, start, n, zlib.crc32(piece), len(ids) // 4, self.sequence, at, *([bytes(piece)] if self.with_ids else [])))
             at += n
         self.sequence += 1
 
@@ -132,7 +133,7 @@ class Packer:
             self.emit(pieces)
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence of at most window tokens.
 
     A document's tokens are its text's ids and end_id. Every token is in one piece;
@@ -142,18 +143,19 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     Needs columns doc_id and text; others are ignored. A null or empty text has
     one token, end_id. Repeated rows and null ids are packed like any other. An empty
     table gives no rows. Texts of any length are packed whole. Sequence ids are the
-    partition's number times 2**32 and a running number, alike in reruns over the same files.
+    partition's number times 2**32 and a running number, alike in reruns over the same files. With
+    with_ids a last column ids has each piece's tokens, little-endian unsigned 32-bit: the packed sequences themselves.
     """
-    path = path or vocabulary_path()
+    path, schema = path or vocabulary_path(), SCHEMA + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _ids.get(path) or _ids.setdefault(path, WordIds(path))
         end = array("I", [end_id]).tobytes()
-        packer = Packer(window, TaskContext.get().partitionId() << 32)
+        packer = Packer(window, TaskContext.get().partitionId() << 32, with_ids)
 
         def rows() -> pa.RecordBatch:
             out, packer.rows = packer.rows, []
-            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+            return pa.record_batch([pa.array(c, pa.int64() if k < 7 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], [c.split()[0] for c in schema.split(", ")])
 
         for ids, found in common.chunks(batches, 4 << 20):
             for i, t in zip(ids, found, strict=True):
@@ -165,7 +167,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
         if packer.rows:
             yield rows()
 
-    return common.texts(docs).mapInArrow(run, SCHEMA)
+    return common.texts(docs).mapInArrow(run, schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

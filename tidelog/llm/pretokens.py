@@ -42,6 +42,18 @@ class PreTokens:
     def whole(self, chunk: str) -> bytes:
         return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def parts(self, chunk: str) -> tuple[str, ...]:
+        """The pre-tokens of a chunk: a run of letters in lower case and the mark after it; a chunk of any other kind is its own part."""
+        m = self.plain and _PLAIN.fullmatch(chunk)
+        return (chunk,) if not m else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+
+    def count(self, part: str) -> int:
+        """How many pieces one of parts() has; no ids are made of a run of letters."""
+        m = self.plain and _PLAIN.fullmatch(part)
+        if not m or m[2]:
+            return len(self.library.encode(part, add_special_tokens=False))
+        return len(self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)))
+
     def of(self, chunk: str) -> bytes:
         """The ids of a chunk, 4 bytes each."""
         m = self.plain and _PLAIN.fullmatch(chunk)
