@@ -553,7 +553,7 @@ _DAMAGE = {
     "lo": "CASE WHEN fno % 4 = 2 THEN 'user:000020' ELSE lo END",
     "hi": "CASE WHEN fno % 5 = 3 THEN 'user:000010' ELSE hi END",
     "slo": "CASE WHEN fno % 6 = 4 THEN slo + 3 ELSE slo END",
-    "shi": "CASE WHEN fno % 7 = 6 THEN shi - 1100 ELSE shi END",
+    "shi": "CASE WHEN fno % 7 = 6 THEN shi - 1700 ELSE shi END",
 }
 _DAMAGED = ", d AS (SELECT " + ", ".join(f"{x} AS {c}" for c, x in _DAMAGE.items()) + """ FROM files),
 cut AS (SELECT (SELECT max(seq) - 10 FROM log) AS last),
