@@ -423,11 +423,11 @@ def test_quality_equals_sql_and_brute_force(docs_of, sample):
     rows = [(i, t, None, "s" if k % 3 else None) for k, (i, t) in enumerate(sample)] + [(200, "a b c d e f " * 4, None, "s"), (201, "x\nx\n\nx y\n #<", None, "s")]
     rows += [(300 + k, "A line that all of these share\nA line that all of these share", None, "s") for k in range(2)]
     d = docs_of(rows)
-    got = [r.asDict() for r in op7_quality.quality(d, limit=5).collect()]
+    got = [r.asDict() for r in op7_quality.quality(d, share=0, floor=5).collect()]
     pdf = d.toPandas()
     c = duckdb.connect()
     c.register("mine", pdf)
-    found = c.execute(op7_quality.sql("mine", limit=5))
+    found = c.execute(op7_quality.sql("mine", share=0, floor=5))
     names = [x[0] for x in found.description]
     want = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
     norm = lambda rs: Counter(tuple(None if r[n] is None or r[n] != r[n] else int(r[n]) for n in sorted(names)) for r in rs)
@@ -440,12 +440,28 @@ def test_quality_equals_sql_and_brute_force(docs_of, sample):
             assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), _repeat_words(w))
             assert r["n_symbols"] == sum(t.count(x) for x in "#*$%&|<>")
     kept = {r["doc_id"] for r in got if r["kept"]}
-    out = op7_quality.cleaned(d, limit=5)
+    out = op7_quality.cleaned(d, share=0, floor=5)
     assert out.columns == d.columns and {r.doc_id for r in out.collect()} == kept
     # The first document that has the line keeps it; the others lose it.
     assert sum("A line that all of these share" in r.text for r in out.collect() if r.source == "s") == 1
 
 
+def test_line_limits_are_a_share_of_the_host(docs_of):
+    """Production parameters: a footer of every seventh text goes, a line of one text in a hundred stays; copies of a text are one text."""
+    own = lambda k, n: "\n".join(" ".join(f"w{k}x{j}x{i}" for i in range(12)) for j in range(n))
+    footer, quoted, copied = "subscribe to our letter now", "a line that a few of them quote", "nothing but this one line of twelve words in all its many copies"
+    rows = [(k, own(k, 3) + (f"\n{footer}" if k % 7 == 0 else "") + (f"\n{quoted}" if k % 100 == 0 else ""), None, "big") for k in range(1400)]
+    rows += [(2000 + k, copied, None, "big") for k in range(300)] + [(3000 + k, f"{own(3000 + k, 1)}\n{footer}", None, "small") for k in range(10)]
+    notice = " ".join(f"f{i}" for i in range(40))
+    rows += [(4000 + k, own(k, 5) + f"\n{notice}", None, "thin") for k in range(12)] + [(6000, f"{notice}\nx", None, "thin")]
+    got = {r.doc_id: r for r in op7_quality.quality(docs_of(rows)).collect()}
+    assert all(got[k].removed_words == (5 if k % 7 == 0 and k else 0) and got[k].kept for k in range(1400))
+    assert all(got[k].removed_words == 0 and got[k].kept for k in [*range(2000, 2300), *range(3000, 3010), 4000])
+    assert got[4001].removed_words == got[6000].removed_words == 40 and got[4001].kept and not got[6000].kept
+    left = {r.doc_id: r.text for r in op7_quality.cleaned(docs_of(rows)).collect()}
+    assert left[0] == rows[0][1] and footer not in left[7] and quoted in left[700] and left[700].startswith(own(700, 3)) and 6000 not in left
+
+
 def _brute_repeats(rows, length):
     seen, out = defaultdict(lambda: None), []
     key = lambda i: op8_suffix_dedup.NO_ID if i is None else i

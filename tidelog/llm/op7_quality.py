@@ -2,8 +2,8 @@
 
 Base rules look at one document: too few words, or too many words in repeated
 five-word windows. The cross-document rule hashes normalised lines, counts the distinct
-texts of each host (column source) that have a line, and calls lines in more than LIMIT texts
-boilerplate. Boilerplate is removed from every text but the first (by doc_id) that has
+texts of each host (column source) that have a line, and calls lines in more than a SHARE of
+the host's distinct texts, and in more than FLOOR texts, boilerplate. Boilerplate is removed from every text but the first (by doc_id) that has
 it, so content that many documents share survives once. A document that keeps less than
 KEEP of its distinct lines' words is depleted and rejected.
 
@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A line in more distinct texts of one host is boilerplate.
-LIMIT = 100
+#: A line in more than this share of a host's distinct texts, and in more than FLOOR of them, is boilerplate.
+SHARE, FLOOR = 0.02, 10
 #: Least share of words that must be left once boilerplate lines are removed.
 KEEP = 0.2
 WINDOW = 5
@@ -78,18 +78,21 @@ def base_metrics(docs: DataFrame, *carried: Column) -> DataFrame:
     return d.select("doc_id", "host", "text_hash", "line_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *rest)
 
 
-def boilerplate(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def boilerplate(docs: DataFrame, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
     """host, text_hash, line and words of the lines to remove from each text."""
     d = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
-    d = d.select("doc_id", "host", F.xxhash64("t").alias("text_hash"), F.explode(_lines(F.col("t"))).alias("line"))
-    d = d.select("doc_id", "host", "text_hash", F.xxhash64("line").alias("line"), _count(F.col("line")).alias("words"))
-    once = d.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
+    d = d.withColumn("text_hash", F.xxhash64("t"))
+    lines = d.select("doc_id", "host", "text_hash", F.explode(_lines(F.col("t"))).alias("line"))
+    lines = lines.select("doc_id", "host", "text_hash", F.xxhash64("line").alias("line"), _count(F.col("line")).alias("words"))
+    once = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
     often = once.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    often = often.where(F.col("n") > limit).select("host", "line", F.col("first.text_hash").alias("first"))
+    # Few lines pass the floor, so that the join with the hosts' sizes is small whatever a host's size.
+    sizes = d.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    often = often.where(F.col("n") > floor).join(sizes, "host").where(F.col("n") > share * F.col("texts")).select("host", "line", F.col("first.text_hash").alias("first"))
     return once.join(often, ["host", "line"]).where(F.col("text_hash") != F.col("first")).select("host", "text_hash", "line", "words")
 
 
-def quality(docs: DataFrame, limit: int = LIMIT, keep: float = KEEP) -> DataFrame:
+def quality(docs: DataFrame, share: float = SHARE, floor: int = FLOOR, keep: float = KEEP) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words and kept for every row of docs.
 
     Needs columns doc_id, text and source; others are ignored. A null text is empty and
@@ -98,19 +101,19 @@ def quality(docs: DataFrame, limit: int = LIMIT, keep: float = KEEP) -> DataFram
     with the same smallest doc_id tie by text hash. Empty tables give empty results. Windows, lines
     and texts are compared by 64-bit hashes, within one document or one host.
     """
-    removed = boilerplate(docs, limit).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"))
+    removed = boilerplate(docs, share, floor).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"))
     d = base_metrics(docs).join(removed, ["host", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (F.col("line_words") - F.col("removed_words") >= keep * F.col("line_words"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"))
 
 
-def cleaned(docs: DataFrame, limit: int = LIMIT, keep: float = KEEP) -> DataFrame:
+def cleaned(docs: DataFrame, share: float = SHARE, floor: int = FLOOR, keep: float = KEEP) -> DataFrame:
     """The rows of docs that quality() keeps, all columns, with boilerplate lines removed from text and n_chars, if there, to match.
 
     A verdict is one for each text of a host, so verdicts join rows by these. Nulls, repeated rows, ties and empty tables are as in
     quality(); further columns may have any name and type.
     """
-    removed = boilerplate(docs, limit).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone"))  # lines of one text
+    removed = boilerplate(docs, share, floor).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("gone"))  # lines of one text
     one = base_metrics(docs).groupBy("host", "text_hash").agg(F.max("base_failed").alias("base_failed"), F.max("line_words").alias("line_words"))
     kept = ~F.col("base_failed") & (F.col("line_words") - F.coalesce("removed_words", F.lit(0)) >= keep * F.col("line_words"))
     verdicts = one.join(removed, ["host", "text_hash"], "left").where(kept).select("host", "text_hash", "gone")
@@ -129,7 +132,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def sql(table: str = "documents", limit: int = LIMIT, keep: float = KEEP) -> str:
+def sql(table: str = "documents", share: float = SHARE, floor: int = FLOOR, keep: float = KEEP) -> str:
     """The same rows in DuckDB SQL, by comparing words, lines and texts themselves."""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM {table}),
@@ -141,7 +144,9 @@ h AS (SELECT r, p, count(*) OVER (PARTITION BY r, ws[p], ws[p + 1], ws[p + 2], w
 rep AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest(range(p, p + 5)) AS q FROM h WHERE n > 1) GROUP BY r),
 l AS (SELECT DISTINCT host, t, unnest(lines) AS line FROM w),
 first AS (SELECT host, t, min(doc_id) AS doc_id FROM d GROUP BY host, t),
-o AS (SELECT host, line, count(*) AS n, arg_min(t, doc_id) AS first FROM l JOIN first USING (host, t) GROUP BY host, line HAVING count(*) > {limit}),
+size AS (SELECT host, count(*) AS texts FROM first GROUP BY host),
+o AS (SELECT host, line, count(*) AS n, arg_min(t, doc_id) AS first FROM l JOIN first USING (host, t) JOIN size USING (host)
+  GROUP BY host, line, texts HAVING count(*) > {floor} AND count(*) > {share} * texts),
 gone AS (SELECT l.host, l.t, sum(len(string_split(line, ' '))) AS removed_words FROM l JOIN o USING (host, line) WHERE l.t <> o.first GROUP BY l.host, l.t),
 m AS (SELECT w.*, len(ws) AS n_words, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words,
   coalesce(list_sum(list_transform(lines, lambda x: len(string_split(x, ' ')))), 0) AS line_words
