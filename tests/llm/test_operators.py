@@ -87,12 +87,59 @@ def test_language(docs_of):
     assert op2_language_id.held_out(3) == (zlib.crc32(b"3") % 3 == 1)
 
 
-def test_language_profile_is_the_bundle_of_bound_letters():
-    p = op2_language_id.Profiles(64)
-    codes, counts = np.unique(p.codes("abca"), return_counts=True)
-    letters = [0, 1, 2, 3, 1, 0]
-    want = sum(np.prod([p.places[k][letters[at + k]] for k in range(3)], axis=0) for at in range(4))
-    assert (p.bundles([(codes, counts)])[0] == want).all()
+def _profile(p, text):
+    """Bound and bundled one n-gram at a time."""
+    low = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    line = [0 if c == " " else ord(c) for c in " " + " ".join(low.split()) + " "]
+    vector = {c: p.letters(np.array([c]))[0].astype(int) for c in set(line)}
+    return sum(vector[line[k]] * np.roll(vector[line[k + 1]], 1) * np.roll(vector[line[k + 2]], 2) for k in range(len(line) - 2))
+
+
+def test_language_profile_is_the_bundle_of_bound_letters(monkeypatch):
+    for most in (op2_language_id.LETTERS, 30):  # with few letter vectors kept they are made again
+        monkeypatch.setattr(op2_language_id, "LETTERS", most)
+        p = op2_language_id.Profiles(64)
+        texts = ["abca", "Ünï  1 \n Ça", "їжак і Ґава", "日本語の文", "x", "ǅ İ"]
+        counted = [np.unique(p.codes(t), return_counts=True) for t in texts]
+        assert (p.bundles(counted) == [_profile(p, t) for t in texts]).all()
+        assert all((p.bundle(*c) == _profile(p, t)).all() for c, t in zip(counted, texts, strict=True))
+
+
+def test_every_letter_has_a_vector_of_its_own():
+    p = op2_language_id.Profiles()
+    points = np.unique(p.lower)
+    some = points[points < 0x600]
+    vectors = p.letters(some).astype(int)
+    near = vectors @ vectors.T - len(vectors[0]) * np.eye(len(some), dtype=int)
+    assert abs(near).max() < 220 and len({v.tobytes() for v in np.packbits(p.letters(points[:20_000]) > 0, axis=1)}) == 20_000
+
+
+def test_languages_equal_brute_force(docs_of, monkeypatch):
+    """Prototypes, prediction and score by hand, two languages that differ in one letter, a tie, and tables too small to hold a task's n-grams."""
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    make = {"l1": "абвгдеі", "l2": "абвгдеи", "l3": "日月火水木金土", "same as l3": None}
+    rows = [(k, " ".join(word(make[x]) for _ in range(30)), x) for k, x in enumerate(["l1", "l2", "l3"] * 12)]
+    rows += [(i + 1000, t, "same as l3") for i, t, x in rows if x == "l3"]
+    p = op2_language_id.profiles(op2_language_id.DIMENSIONS, 3)
+    sums = {x: sum(_profile(p, t) for _, t, lang in rows if lang == x) for x in make}
+    for pending in (op2_language_id.PENDING, 100):
+        monkeypatch.setattr(op2_language_id, "PENDING", pending)
+        found = op2_language_id.train(docs_of(rows))
+        assert found.keys() == sums.keys() and all((found[x] == sums[x]).all() for x in sums)
+    new = [(k, " ".join(word(make[x]) for _ in range(20)), x) for k, x in enumerate(["l1", "l2", "l3"] * 30)]
+    cosine = lambda a, b: (a @ b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    for x in op2_language_id.predict(docs_of(new), found).collect():
+        mine = {lang: cosine(_profile(p, new[x.doc_id][1]).astype(float), sums[lang].astype(float)) for lang in sums}
+        assert x.lang_pred == max(sorted(mine), key=lambda lang: round(mine[lang], 6)) == new[x.doc_id][2]  # a tie goes to l3, the first by name
+        assert abs(x.score - mine[x.lang_pred]) < 1e-4
+
+
+def test_held_out_languages_of_the_test_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text rlike '[a-z]{3}'")
+    found = op2_language_id.op2_language_id(spark, sf).where("held_out").select("doc_id", "lang_pred").join(docs, "doc_id").collect()
+    assert len(found) > 200 and sum(r.lang_pred == r.lang for r in found) > 0.97 * len(found)
 
 
 PAGES = [

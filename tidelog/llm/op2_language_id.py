@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its
+Every letter has a random vector of +1 and -1, made from its code point. An n-gram's vector binds (multiplies) its
 letters' vectors, each permuted (rotated) by its place; a text's profile bundles (adds)
 the vectors of its n-grams; a language's prototype bundles the profiles of its
 training texts. A text gets the language whose prototype has the largest cosine with
@@ -23,25 +23,23 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
+#: A multiple of 64.
 DIMENSIONS = 1024
+#: Letters of an n-gram, 3 at most: a code has 21 bits for each.
 N = 3
 SEED = 20_240_601
-#: Letters beyond a-z are hashed into so many symbols in all; symbol 0 is the gap between words.
-SYMBOLS = 64
 #: Texts whose profiles are computed by one matrix product.
 BLOCK = 64
+#: n-grams that training counts before it bundles them, and letter vectors that a worker keeps; results don't depend on either.
+PENDING, LETTERS = 1 << 21, 1 << 14
+BITS, MASK = 21, (1 << 21) - 1
 
 _models: dict[tuple[int, int], Profiles] = {}
 
 
-def _symbols() -> np.ndarray:
-    """The symbol of every code point: 0 no letter, 1 to 26 a to z, above that a hash of the lower-case letter."""
-    table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            low = ord(chr(c).lower()[0])
-            table[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 2_654_435_761 >> 7) % (SYMBOLS - 27)
-    return table
+def _letters() -> np.ndarray:
+    """The lower-case code point of every letter, 0 of what is no letter."""
+    return np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
 class Profiles:
@@ -49,35 +47,66 @@ class Profiles:
 
     def __init__(self, dimensions: int = DIMENSIONS, n: int = N):
         self.n, self.dimensions = n, dimensions
-        self.symbols = _symbols()
-        letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, dimensions))
-        self.places = [np.roll(letters, place, axis=1) for place in range(n)]
+        self.lower = _letters()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row = np.full(0x110000, -1, np.int32)  # of a letter in places
+        self.places = [np.empty((0, self.dimensions), np.int8)] * self.n
+
+    def letters(self, points: np.ndarray) -> np.ndarray:
+        """The vector of each code point (0: the gap between words), a function of nothing else."""
+        words = np.arange(self.dimensions // 64, dtype=np.uint64) + np.uint64(SEED << 8)
+        bits = common.mix(common.mix(words) ^ common.mix(points.astype(np.uint64) + np.uint64(1))[:, None])
+        return (np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * 2 - 1).reshape(len(points), self.dimensions)
 
     def codes(self, text: str) -> np.ndarray:
         """The n-gram codes of a text: letters, with one gap between words and at both ends."""
-        letters = self.symbols[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        letters = self.lower[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
         gap = letters == 0
-        letters = np.r_[np.uint8(0), letters[~gap | np.r_[False, ~gap[:-1]]], np.uint8(0)].astype(np.int32)
+        letters = np.r_[np.uint32(0), letters[~gap | np.r_[False, ~gap[:-1]]], np.uint32(0)].astype(np.int64)
         if not letters.any():
-            return np.empty(0, np.int32)
+            return np.empty(0, np.int64)
         codes = letters[: len(letters) - self.n + 1]
         for k in range(1, self.n):
-            codes = codes * SYMBOLS + letters[k : len(letters) - self.n + 1 + k]
+            codes = codes << BITS | letters[k : len(letters) - self.n + 1 + k]
         return codes
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        out = np.ones((len(codes), self.dimensions), np.float32)
-        for place in range(self.n):
-            out *= self.places[place][codes // SYMBOLS ** (self.n - 1 - place) % SYMBOLS]
+        """The bound vector of each code, of 4096 distinct codes or so at a time."""
+        points = [codes >> BITS * (self.n - 1 - place) & MASK for place in range(self.n)]
+        new = np.unique(np.concatenate([p[self.row[p] < 0] for p in points]))
+        if len(new):
+            if len(new) + len(self.places[0]) > LETTERS:
+                self._clear()
+                new = np.unique(np.concatenate(points))
+            self.row[new] = np.arange(len(new)) + len(self.places[0])
+            made = self.letters(new)
+            self.places = [np.concatenate([rows, np.roll(made, place, axis=1)]) for place, rows in enumerate(self.places)]
+        out = self.places[0][self.row[points[0]]]
+        for place in range(1, self.n):
+            out *= self.places[place][self.row[points[place]]]
         return out
 
+    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of counts x vectors, exact below 2**53."""
+        total = np.zeros(self.dimensions)
+        for k in range(0, len(codes), 4096):
+            total += counts[k : k + 4096] @ self.vectors(codes[k : k + 4096]).astype(np.float64)
+        return total
+
     def bundles(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The profile of each text, given its distinct codes and their counts."""
-        every = np.unique(np.concatenate([c for c, _ in counted])) if counted else np.empty(0, np.int32)
-        weights = np.zeros((len(counted), len(every)), np.float32)
-        for k, (codes, n) in enumerate(counted):
-            weights[k, np.searchsorted(every, codes)] = n
-        return weights @ self.vectors(every)
+        every = np.unique(np.concatenate([c for c, _ in counted]))
+        out = np.zeros((len(counted), self.dimensions), np.float32)
+        for k in range(0, len(every), 4096):
+            some = every[k : k + 4096]
+            weights = np.zeros((len(counted), len(some)), np.float32)
+            for i, (codes, n) in enumerate(counted):
+                part = slice(*np.searchsorted(codes, (some[0], some[-1] + 1)))
+                weights[i, np.searchsorted(some, codes[part])] = n[part]
+            out += weights @ self.vectors(some).astype(np.float32)
+        return out
 
 
 def profiles(dimensions: int, n: int) -> Profiles:
@@ -93,21 +122,24 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, n: int = N) -> dict[str
     """The prototype of each language in docs (columns text, lang); rows without text or lang teach nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, totals = profiles(dimensions, n), {}
+        model, totals, pending, held = profiles(dimensions, n), {}, {}, 0
+
+        def bundled() -> None:
+            for lang, parts in pending.items():
+                totals[lang] = totals.get(lang, 0) + model.bundle(*np.unique(np.concatenate(parts), return_counts=True))
+            pending.clear()
+
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if lang not in totals:
-                    totals[lang] = np.zeros(SYMBOLS**n, np.int64)
                 codes = model.codes(text)
-                if len(codes) > 20_000:
-                    totals[lang] += np.bincount(codes, minlength=SYMBOLS**n)
-                else:
-                    np.add.at(totals[lang], codes, 1)
+                pending.setdefault(lang, []).append(codes)
+                held += len(codes)
+                if held > PENDING:
+                    bundled()
+                    held = 0
+        bundled()
         for lang, total in totals.items():
-            bundle, some = np.zeros(dimensions), np.flatnonzero(total)
-            for k in range(0, len(some), 4096):
-                bundle += total[some[k : k + 4096]] @ model.vectors(some[k : k + 4096]).astype(np.float64)
-            yield pa.record_batch([pa.array([lang]), pa.array([bundle.tolist()], pa.list_(pa.float64()))], ["lang", "bundle"])
+            yield pa.record_batch([pa.array([lang]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
     parts = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, bundle array<double>")
     sums = parts.select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("xs"))
