@@ -3,7 +3,7 @@
 A text is cut at ASCII white space, which no token crosses, and its chunks into pre-tokens. The distinct pre-tokens of
 all documents are a table, and the pieces of each are counted once. A document's count is the join of its
 pre-token frequencies with that table, summed. The join is in two parts, as frequencies are most of a corpus: the HEAD most
-frequent pre-tokens, of SHORT bytes at most, are a table of bounded size that every task holds; the others' frequencies
+frequent pre-tokens, of SHORT bytes at most, are a table of bounded size that every task holds (by classes of uses, counted over the whole table, so that no task sends candidates); the others' frequencies
 go to the distributed table by key, and only their sums come back.
 """
 
@@ -72,6 +72,17 @@ def pretoken_table(docs: DataFrame, path: str) -> DataFrame:
     return distinct.mapInArrow(counted, "part string, uses long, pieces long")
 
 
+def _head(table: DataFrame, most: int) -> DataFrame:
+    """The most frequent short pre-tokens, most at most: all of the highest classes of uses that fit whole. An eighth of a doubling is a class."""
+    known = table.where(F.octet_length("part") <= SHORT).withColumn("often", F.floor(F.log2("uses") * 8))
+    room, least = most, 1 << 10
+    for r in sorted(known.groupBy("often").count().collect(), reverse=True):  # 512 classes at most
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r.often
+    return known.where(F.col("often") >= least).select("part", "pieces")
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs.
 
@@ -82,8 +93,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, h
     """
     path, spark = path or vocabulary_path(), docs.sparkSession
     table = Written(pretoken_table(docs, path), "pretokens").read()
-    often = table.where(F.octet_length("part") <= SHORT).orderBy(F.desc("uses"), "part").limit(head).select("part", "pieces")
-    known = spark.sparkContext.broadcast({r.part: r.pieces for r in often.collect()})  # HEAD entries of SHORT bytes at most
+    often = _head(table, head).toArrow()  # HEAD entries of SHORT bytes at most
+    known = spark.sparkContext.broadcast(dict(zip(often["part"].to_pylist(), often["pieces"].to_pylist(), strict=True)))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, pieces_of = _pretokens(path).parts, known.value
