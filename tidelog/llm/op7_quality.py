@@ -30,10 +30,14 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _lines(text: Column) -> Column:
-    """The distinct lines with a word, trimmed, with single spaces."""
-    one = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
-    return F.array_distinct(F.filter(one, lambda x: x != ""))
+def _raw_lines(text: Column) -> Column:
+    """The lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def _lines(raw: Column) -> Column:
+    """The distinct ones of lines with a word, trimmed, with single spaces."""
+    return F.array_distinct(F.transform(raw, lambda x: F.trim(F.regexp_replace(x, SPACE, " "))))
 
 
 def _count(line: Column) -> Column:
@@ -46,9 +50,9 @@ def _repeated(hashes: Column) -> Column:
     Sorting brings equal hashes side by side; the sorted positions p of repeated ones
     cover WINDOW words each, less what the next one covers too.
     """
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     same = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+    at = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
     return F.aggregate(
         at,
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
@@ -60,7 +64,7 @@ def _repeated(hashes: Column) -> Column:
 def base_metrics(docs: DataFrame, *carried: Column) -> DataFrame:
     """One row for each document with the base counts, host, text hash, the words of its distinct lines and what is carried."""
     d = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("host"), F.coalesce("text", F.lit("")).alias("t"), *carried)
-    d = d.withColumns({"words": _words(F.col("t")), "raw": F.filter(F.split("t", "\n"), lambda x: F.trim(F.translate(x, "\t\r\v\f", "    ")) != ""), "lines": _lines(F.col("t")), "text_hash": F.xxhash64("t")})
+    d = d.withColumns({"words": _words(F.col("t")), "raw": _raw_lines(F.col("t")), "text_hash": F.xxhash64("t")}).withColumn("lines", _lines(F.col("raw")))
     w = F.col("words")
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
     d = d.withColumns({
@@ -82,7 +86,7 @@ def boilerplate(docs: DataFrame, share: float = SHARE, floor: int = FLOOR) -> Da
     """host, text_hash, line and words of the lines to remove from each text."""
     d = docs.select("doc_id", F.coalesce("source", F.lit("\0")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("text_hash", F.xxhash64("t"))
-    lines = d.select("doc_id", "host", "text_hash", F.explode(_lines(F.col("t"))).alias("line"))
+    lines = d.select("doc_id", "host", "text_hash", F.explode(_lines(_raw_lines(F.col("t")))).alias("line"))
     lines = lines.select("doc_id", "host", "text_hash", F.xxhash64("line").alias("line"), _count(F.col("line")).alias("words"))
     once = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
     often = once.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
