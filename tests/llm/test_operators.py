@@ -538,6 +538,25 @@ def test_repeats(docs_of, sample, hot, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == _brute_repeats(rows, 50)
 
 
+def test_judging_holds_little_more_than_its_contexts():
+    """Of 400,000 strings that share their anchors, a bucket holds no index of all their bytes."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    n, length, gram = 20_000, 50, op8_suffix_dedup.GRAM
+    rows = np.zeros((2 * n, 72), np.uint8)
+    rows[:n, :68] = rows[n:, :68] = r.integers(97, 123, (n, 68))
+    rows[n:, 0] = 1  # all but the first string of each are shared
+    size, anchor, ids = np.full(2 * n, 59, np.int16), np.full(2 * n, 9, np.int16), np.r_[np.arange(n), n + np.arange(n)]
+    rows[:, 59:] = 0
+    tracemalloc.start()
+    entry, start = op8_suffix_dedup._judge(rows, size, anchor, ids, length, gram)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(entry.tolist(), start.tolist(), strict=True)) == [(n + k, s) for k in range(n) for s in range(1, 10)]
+    assert peak < 64 << 20
+
+
 def test_anchors_are_set_by_content():
     r = np.random.default_rng(2)
     a = r.integers(97, 101, 400, dtype=np.uint8).tobytes()

@@ -50,10 +50,14 @@ def row_hash(rows: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An index of each distinct row, and the number of its distinct row for every row; rows are told apart by 128 bits."""
-    a, b = row_hash(rows), row_hash(rows, 1)
+    return numbered(row_hash(rows), row_hash(rows, 1))
+
+
+def numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """distinct() of rows of which only two hashes are at hand."""
     order = np.lexsort((b, a))
     new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])] if len(order) else np.empty(0, bool)
-    number = np.empty(len(rows), np.int64)
+    number = np.empty(len(a), np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
 
