@@ -538,6 +538,25 @@ def test_repeats(docs_of, sample, hot, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == _brute_repeats(rows, 50)
 
 
+@pytest.mark.parametrize("hot", [64, 0])
+def test_contexts_that_outgrow_the_corpus_go_in_passes(docs_of, sample, hot, monkeypatch):
+    """No exchange holds all contexts where they are more than the corpus, and results are those of one pass."""
+    monkeypatch.setattr(op8_suffix_dedup, "PASS", 0.05, raising=False)
+    monkeypatch.setattr(common, "FAN", 5)
+    exchanged, exchange = [], op8_suffix_dedup.exchange
+
+    def noted(sent, n, *args, **settings):
+        columns = [cells.unpacked_columns(bytes(x.blob)) for x in sent.collect()]
+        exchanged.append(sum(len(c[0]) for c in columns if len(c) == 7))  # contexts have seven columns
+        return exchange(sent, n, *args, **settings)
+
+    monkeypatch.setattr(op8_suffix_dedup, "exchange", noted)
+    rows = [r for r in sample if r[0] != 90]
+    got = op8_suffix_dedup.repeats(docs_of(rows), hot=hot)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == _brute_repeats(rows, 50)
+    assert 0 < max(exchanged) < sum(exchanged) / 2
+
+
 def test_judging_holds_little_more_than_its_contexts():
     """Of 400,000 strings that share their anchors, a bucket holds no index of all their bytes."""
     import tracemalloc

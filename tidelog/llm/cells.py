@@ -78,6 +78,11 @@ class Cells:
     def read(self) -> DataFrame:
         return self.table
 
+    def stored(self) -> int:
+        """Bytes of the table."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def with_answers(self, *answers: DataFrame) -> DataFrame:
         """Cells with a list of what came for each from every one of answers (cell or group, blob)."""
         out = self.read().hint("merge")
@@ -134,7 +139,7 @@ def parcel_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["group", "blob"])
 
 
-def exchange(sent: DataFrame, n: int, fan: int | None = None) -> DataFrame:
+def exchange(sent: DataFrame, n: int, fan: int | None = None, level: int = 1) -> DataFrame:
     """Parcels (group, blob) dealt on until group is the shard. sent has the parcels that parcels() gives with the same n and fan."""
     fan = fan or common.FAN
     partitions = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -145,12 +150,12 @@ def exchange(sent: DataFrame, n: int, fan: int | None = None) -> DataFrame:
             for b in batches:
                 for g, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     if held and (g != group or size > common.OPEN):
-                        yield parcel_batch(parcels(together(held), n, fan, width=width))
+                        yield parcel_batch(parcels(together(held), n, fan, level, width))
                         held, size = [], 0
                     held.append(blob)
                     group, size = g, size + len(blob)
             if held:
-                yield parcel_batch(parcels(together(held), n, fan, width=width))
+                yield parcel_batch(parcels(together(held), n, fan, level, width))
 
         salted = sent.repartition(partitions, "group", F.pmod(F.xxhash64("blob"), F.lit(max(1, partitions // fan))))
         sent = salted.sortWithinPartitions("group").mapInArrow(run, PARCEL)

@@ -14,13 +14,16 @@ in what follows: nothing is left of them. Suffixes travel as contexts, the text
 any one string is a single entry, so a passage in a third of all documents
 is no larger to its bucket than the number of cells. An anchor that more than HOT cells have is sent as
 its single strings, spread by their hash: a frequent short phrase with ever other
-surroundings does not gather in one bucket. The last step applies the answers to the cells.
+surroundings does not gather in one bucket. Where the contexts of all buckets are more than PASS times the cells as stored, ranges of
+buckets take their turns: a pass makes the contexts of its own anchors only, and what it has sent goes before the next.
+The last step applies the answers to the cells.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +32,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidelog.llm import common
-from tidelog.llm.cells import PARCEL, Cells, exchange, opened, parcel_batch, parcels, together
+from tidelog.llm.cells import PARCEL, Cells, exchange, opened, parcel_batch, parcels, together, widths
 from tidelog.llm.common import Written, unpack
-from tidelog.llm.suffixes import groups, minima, numbered, row_hash
+from tidelog.llm.suffixes import groups, least_places, numbered, row_hash
 
 LENGTH, GRAM = 50, 32
 #: Cells that an anchor may occur in before its strings are spread singly.
 HOT = 64
 #: Anchors from which splitters are taken, over all cells.
 SAMPLE = 65_536
-#: Bytes of a text whose anchors are found at once; longer texts go in steps.
-STEP = 1 << 22
+#: Bytes whose anchors are found at once.
+STEP = 1 << 16
 #: Strings that a bucket sorts at once; those of one anchor are never parted.
 SORTED = 1 << 17
 #: Contexts whose bytes are held twice at once.
 ROWS = 1 << 15
+#: Bytes that a context takes when packed; contexts that a pass sends, all rounds together, as a share of the cells as stored; slices of which passes are made.
+CONTEXT, PASS, SLICES = 34, 1.8, 64
 NO_ID = np.iinfo(np.int64).max  # a null doc_id is larger than any other
+SHARED_NAMES = ["group", "blob", "part", "sent"]
 WHOLE = -1  # instead of a start: all strings of a context
 
 _BYTE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -57,15 +63,29 @@ def _power(n: int) -> np.uint64:
 
 def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The anchors of a text: hash, place, and the first and last start of the strings that each stands for."""
-    found = [_anchors(text[at : at + STEP + length - 1], length, gram, at) for at in range(0, max(1, len(text) - length + 1), STEP)]
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
+    return _anchors(np.frombuffer(text, np.uint8), np.ones(max(0, len(text) - length + 1), bool), length, gram)
+
+
+def _anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """anchors() of the strings that begin where starts is true."""
+    found = []
+    for at in range(0, len(starts), STEP):
+        own = np.flatnonzero(starts[at : at + STEP])
+        if len(own):
+            h = _gram_hashes(data[at : at + STEP + length - 1], gram)
+            where = least_places(h, length - gram + 1)[own]
+            new = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            found.append((h[where[new]], where[new] + at, own[new] + at, own[np.r_[new[1:], len(own)] - 1] + at))
+    if not found:
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+    h, place, first, last = map(np.concatenate, zip(*found, strict=True))
+    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # an anchor's strings may begin in two steps
+    return h[new], place[new], first[new], last[np.r_[new[1:], len(place)] - 1]
 
 
-def _anchors(text: bytes, length: int, gram: int, at: int) -> tuple[np.ndarray, ...]:
-    if len(text) < length:
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        one = _BYTE[np.frombuffer(text, np.uint8)]
+        one = _BYTE[data]
         sums, width, have, parts = one, 1, None, 0
         while width <= gram:  # hashes of 1, 2, 4 ... bytes make up those of gram bytes
             if gram & width:
@@ -74,9 +94,7 @@ def _anchors(text: bytes, length: int, gram: int, at: int) -> tuple[np.ndarray,
             if 2 * width <= gram:
                 sums = sums[:-width] * _power(width) + sums[width:]
             width *= 2
-        h = common.mix(have[: len(text) - gram + 1])
-    where, first, last = minima(h, length - gram + 1)
-    return h[where], where + at, first + at, last + at
+        return common.mix(have[: len(data) - gram + 1])
 
 
 class Cell:
@@ -89,28 +107,33 @@ class Cell:
         self.id_of = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
         least = {bytes(h): i for x in copies or [] for h, i in x}
         self.copies = {d for d, t in enumerate(self.texts) if least and len(t) >= length and least.get(text_hash(t), NO_ID) < self.id_of[d]}
-        found = [anchors(b"" if d in self.copies else t, length, gram) for d, t in enumerate(self.texts)]
-        self.doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-        self.h, self.place, self.first, self.last = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(4))
-        self.h = self.h.astype(np.uint64) >> np.uint64(16)
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.begin = np.cumsum(sizes) - sizes
         self.data = np.frombuffer(b"".join(self.texts) + bytes(self.width), np.uint8)
+        own = np.flatnonzero((sizes >= length) & ~np.isin(np.arange(len(sizes)), list(self.copies)))
+        edges = np.zeros(len(self.data), np.int8)
+        edges[self.begin[own]] = 1
+        edges[self.begin[own] + sizes[own] - length + 1] = -1
+        self.h, self.place, self.first, self.last = _anchors(self.data, np.cumsum(edges, dtype=np.int8) > 0, length, gram)
+        self.h >>= np.uint64(16)
+        self.doc = np.searchsorted(self.begin, self.first, side="right") - 1
 
     def rows(self, at: np.ndarray, width: int) -> np.ndarray:
         return np.lib.stride_tricks.sliding_window_view(self.data, width)[at] if len(at) else np.empty((0, width), np.uint8)
 
     def grams(self, anchor: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(self.rows(self.begin[self.doc[anchor]] + self.place[anchor], self.gram)).view(f"S{self.gram}").ravel()
+        return np.ascontiguousarray(self.rows(self.place[anchor], self.gram)).view(f"S{self.gram}").ravel()
 
-    def contexts(self, elsewhere: np.ndarray, hot: np.ndarray) -> Contexts:
-        """The contexts of anchors that another document may have; each string alone where the anchor is hot."""
+    def contexts(self, elsewhere: np.ndarray, hot: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Contexts:
+        """The contexts of anchors that another document may have, of wanted grams only; each string alone where the anchor is hot."""
         order = np.lexsort((self.id_of[self.doc], self.h)) if len(self.h) else np.empty(0, np.int64)
         h, i = self.h[order], self.id_of[self.doc[order]]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
         ends = np.r_[start[1:], len(h)] - 1
         here = h[start[i[start] != i[ends]]] if len(h) else h
         at = np.flatnonzero(np.isin(self.h, np.union1d(elsewhere, here)))
+        if wanted:
+            at = at[wanted(self.grams(at))]
         alone = np.isin(self.h[at], hot)
         many = np.where(alone, self.last[at] - self.first[at] + 1, 1)
         anchor = np.repeat(at, many)
@@ -124,7 +147,7 @@ class Contexts:
     """The distinct contexts of a cell, and where each occurs in it."""
 
     def __init__(self, cell: Cell, doc: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray):
-        self.cell, self.id, self.at = cell, cell.id_of[doc], cell.begin[doc] + first
+        self.cell, self.id, self.at = cell, cell.id_of[doc], first
         parts = [slice(k, k + ROWS) for k in range(0, len(doc), ROWS)]
         found = [_hashes(masked(cell.rows(self.at[p], cell.width), size[p]), size[p]) for p in parts]
         one, self.number = numbered(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -291,6 +314,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 def _repeats(docs: DataFrame, carried: list[str], length: int, gram: int, hot: int) -> DataFrame:
     """repeats() with the carried columns as _0, _1, ... after its own."""
     n, fan = common.shards(docs), common.FAN
+    slices, passes = min(n, SLICES), []  # passes are known when the anchors are counted
     cells = Cells(docs, n, carried)
     splitters = _splitters(cells, n, length, gram)
     copied = Written(copies(cells, length), "copies").read()
@@ -307,56 +331,78 @@ def _repeats(docs: DataFrame, carried: list[str], length: int, gram: int, hot: i
 
     def shared(table: pa.Table) -> pa.Table:
         _, cell, h = together(table.column("blob").to_pylist())
+        part = table.column("group")[0].as_py() * slices // n
         order = np.argsort(h, kind="stable")
         h, cell = h[order], cell[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         many = np.diff(np.r_[start, len(h)])
         often = np.repeat(many, many)
         keep = often > 1
-        return pa.Table.from_batches([parcel_batch(parcels([cell[keep], h[keep], often[keep] > hot], n, fan))])
-
-    def known(cell: Cell, answers: list[bytes] | None) -> Contexts:
-        if not answers:
-            return cell.contexts(np.empty(0, np.uint64), np.empty(0, np.uint64))
-        _, h, spread = together(answers)
-        return cell.contexts(h, h[spread])
-
-    def sent_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, docs_of, copies_of, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                c = known(Cell(docs_of, _pairs(copies_of), length, gram), answers)
-                if not len(c.begin):
-                    continue
-                rows = c.rows()
-                to = bucket(_anchor_keys(rows, c.anchor, gram).view(f"S{gram}").ravel())
-                to = np.where(c.anchor < 0, (row_hash(rows.view(np.uint64)) % np.uint64(n)).astype(np.int32), to)
-                yield parcel_batch(parcels([to, np.full(len(to), number, np.int32), np.arange(len(to), dtype=np.int32), c.anchor, c.least, c.size, rows], n, fan, level=3))
-
-    def judged(table: pa.Table) -> pa.Table:
-        _, cell, number, anchor, ids, size, rows = together(table.column("blob").to_pylist())
-        entry, start = _judge(rows, size, anchor, ids, length, gram)
-        return pa.Table.from_batches([parcel_batch(parcels([cell[entry], number[entry], start], n, fan))])
+        out = parcel_batch(parcels([cell[keep], h[keep], often[keep] > hot, np.full(int(keep.sum()), part, np.uint8)], n, fan))
+        # a hot anchor's ten strings or so go singly
+        sent = [int(keep.sum() + 9 * (often > hot).sum()) if k == 0 else 0 for k in range(len(out))]
+        return pa.Table.from_arrays([*out.columns, pa.array([part] * len(out), pa.int32()), pa.array(sent, pa.int64())], SHARED_NAMES)
+
+    def range_of(k: int) -> tuple[int, int]:
+        """The buckets of pass k."""
+        return tuple(-(-at * n // slices) for at in passes[k])
+
+    def known(cell: Cell, answers: list[bytes] | None, k: int) -> Contexts:
+        """The contexts of pass k."""
+        h, spread = np.empty(0, np.uint64), np.empty(0, bool)
+        if answers:
+            _, h, spread, part = together(answers)
+            own = (part >= passes[k][0]) & (part < passes[k][1])
+            h, spread = h[own], spread[own]
+        lo, hi = range_of(k)
+        return cell.contexts(h, h[spread], (lambda grams: (bucket(grams) >= lo) & (bucket(grams) < hi)) if len(passes) > 1 else None)
+
+    def sent_contexts(k: int) -> Callable:
+        lo, hi = range_of(k)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for number, docs_of, copies_of, answers in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                    c = known(Cell(docs_of, _pairs(copies_of), length, gram), answers, k)
+                    if not len(c.begin):
+                        continue
+                    rows = c.rows()
+                    to = bucket(_anchor_keys(rows, c.anchor, gram).view(f"S{gram}").ravel()) - lo
+                    to = np.where(c.anchor < 0, row_hash(rows.view(np.uint64)) % np.uint64(hi - lo), to).astype(np.int32)
+                    yield parcel_batch(parcels([to, np.full(len(to), number, np.int32), np.arange(len(to), dtype=np.int32), c.anchor, c.least, c.size, rows], hi - lo, fan, level=3))
+
+        return run
+
+    def judged(k: int) -> Callable:
+        def run(table: pa.Table) -> pa.Table:
+            _, cell, number, anchor, ids, size, rows = together(table.column("blob").to_pylist())
+            entry, start = _judge(rows, size, anchor, ids, length, gram)
+            return pa.Table.from_batches([parcel_batch(parcels([cell[entry], np.full(len(entry), k, np.uint8), number[entry], start], n, fan))])
+
+        return run
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for docs_of, copies_of, shared_of, answers in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 cell = Cell(docs_of, _pairs(copies_of), length, gram)
-                c = known(cell, shared_of)
                 marks = np.zeros(len(cell.data) + 1, np.int32)
-                later = np.flatnonzero(c.id > c.least[c.number])
-                np.add.at(marks, c.at[later], 1)
-                np.add.at(marks, c.at[later] + c.size[c.number[later]], -1)
-                if answers:
-                    _, number, start = together(answers)
-                    firsts = np.flatnonzero(c.id == c.least[c.number])
-                    firsts = firsts[np.argsort(c.number[firsts], kind="stable")]
-                    begin, end = np.searchsorted(c.number[firsts], number), np.searchsorted(c.number[firsts], number, side="right")
-                    times = end - begin
-                    place = firsts[np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                    start = np.repeat(start, times)
-                    where = c.at[place] + np.maximum(start, 0)
-                    np.add.at(marks, where, 1)
-                    np.add.at(marks, where + np.where(start == WHOLE, c.size[c.number[place]], length), -1)
+                lost = together(answers)[1:] if answers else None
+                for k in range(len(passes)):
+                    c = known(cell, shared_of, k)
+                    later = np.flatnonzero(c.id > c.least[c.number])
+                    np.add.at(marks, c.at[later], 1)
+                    np.add.at(marks, c.at[later] + c.size[c.number[later]], -1)
+                    if lost:
+                        number, start = (x[lost[0] == k] for x in lost[1:])
+                        firsts = np.flatnonzero(c.id == c.least[c.number])
+                        firsts = firsts[np.argsort(c.number[firsts], kind="stable")]
+                        begin, end = np.searchsorted(c.number[firsts], number), np.searchsorted(c.number[firsts], number, side="right")
+                        times = end - begin
+                        place = firsts[np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                        start = np.repeat(start, times)
+                        where = c.at[place] + np.maximum(start, 0)
+                        np.add.at(marks, where, 1)
+                        np.add.at(marks, where + np.where(start == WHOLE, c.size[c.number[place]], length), -1)
                 gone = np.cumsum(marks) > 0
                 rows = []
                 for d, (i, text, at) in enumerate(zip(cell.ids, cell.texts, cell.begin.tolist(), strict=True)):
@@ -378,15 +424,33 @@ def _repeats(docs: DataFrame, carried: list[str], length: int, gram: int, hot: i
     schema = StructType(own + [StructField(f"_{k}", docs.schema[c].dataType) for k, c in enumerate(carried)])
     with_copies = cells.read().hint("merge").join(copied, "cell", "left")
     sent = exchange(with_copies.select("cell", "docs", "copies").mapInArrow(sent_anchors, PARCEL), n, fan)
-    elsewhere = Written(sent.groupBy("group").applyInArrow(shared, PARCEL), "shared")
-    common.release(docs.sparkSession)
-    asked = cells.with_answers(exchange(elsewhere.read(), n, fan)).join(copied, "cell", "left").select("cell", "docs", "copies", "answers0").mapInArrow(sent_contexts, PARCEL)
-    removed = Written(exchange(asked, n, fan).groupBy("group").applyInArrow(judged, PARCEL), "removed")
+    elsewhere = Written(sent.groupBy("group").applyInArrow(shared, f"{PARCEL}, part int, sent long"), "shared")
     common.release(docs.sparkSession)
-    answers = cells.with_answers(exchange(elsewhere.read(), n, fan), exchange(removed.read(), n, fan))
+    counts = {r.part: r.sent for r in elsewhere.read().groupBy("part").agg(F.sum("sent").alias("sent")).collect()}  # a row for each slice
+    passes += _passes([CONTEXT * len(widths(n, fan)) * counts.get(k, 0) for k in range(slices)], PASS * cells.stored())
+    removed = []
+    for k, (a, b) in enumerate(passes):
+        lo, hi = range_of(k)
+        own = elsewhere.read().where(F.col("part").between(a, b - 1)).select("group", "blob")
+        asked = cells.with_answers(exchange(own, n, fan)).join(copied, "cell", "left").select("cell", "docs", "copies", "answers0").mapInArrow(sent_contexts(k), PARCEL)
+        removed.append(Written(exchange(asked, hi - lo, fan, level=3).groupBy("group").applyInArrow(judged(k), PARCEL), "removed"))
+        common.release(docs.sparkSession)
+    every = reduce(DataFrame.unionByName, [x.read() for x in removed])
+    answers = cells.with_answers(exchange(elsewhere.read().select("group", "blob"), n, fan), exchange(every, n, fan))
     return answers.join(copied, "cell", "left").select("docs", "copies", "answers0", "answers1").mapInArrow(applied, schema)
 
 
+def _passes(sizes: list[float], most: float) -> list[tuple[int, int]]:
+    """Ranges of neighbouring slices, of at most so many bytes together; a slice that has more is a pass of its own."""
+    cuts, held = [0], 0.0
+    for k, x in enumerate(sizes):
+        if held and held + x > most:
+            cuts.append(k)
+            held = 0.0
+        held += x
+    return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True))
+
+
 def _pairs(copies_of: list | None) -> list:
     return [[(x["hash"], x["least"]) for x in copies_of]] if copies_of else []
 

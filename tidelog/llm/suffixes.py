@@ -75,6 +75,13 @@ def minima(h: np.ndarray, span: int, step: int = STEP) -> tuple[np.ndarray, np.n
 def _minima(h: np.ndarray, span: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(h) < span:
         return tuple(np.empty(0, np.int64) for _ in range(3))
+    where = least_places(h, span)
+    first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+    return where[first] + at, first + at, np.r_[first[1:], len(where)] - 1 + at
+
+
+def least_places(h: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of the span hashes from each place on."""
     place, width = np.uint64((1 << 24) - 1), 1
     least = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     while 2 * width <= span:
@@ -82,6 +89,4 @@ def _minima(h: np.ndarray, span: int, at: int) -> tuple[np.ndarray, np.ndarray,
         width *= 2
     if span > width:
         least = np.minimum(least[: len(h) - span + 1], least[span - width :])
-    where = (least & place).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    return where[first] + at, first + at, np.r_[first[1:], len(where)] - 1 + at
+    return (least & place).astype(np.int64)
