@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from tidelog.llm import op10_simhash
+from tidelog.llm import cells, op8_suffix_dedup, op10_simhash
 
 
 def test_stages(spark, docs_of, tmp_path):
@@ -75,6 +75,23 @@ def test_stages_keep_columns_of_any_name_and_type(spark, sample):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
 
 
+def test_suffix_stage_in_passes_bounds_what_it_sends(spark, docs_of, sample, monkeypatch):
+    """Stage three with contexts that outgrow its cells: no exchange has them all, and rows with all their columns are those of one pass."""
+    docs = docs_of([(i, t, "en", f"s{k % 3}") for k, (i, t) in enumerate(sample) if i != 90])
+    want = Counter(map(tuple, corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()))
+    sent, exchange = [], op8_suffix_dedup.exchange
+
+    def noted(parcels, *args, **settings):
+        columns = [cells.unpacked_columns(bytes(x.blob)) for x in parcels.collect()]
+        sent.append(sum(len(c[0]) for c in columns if len(c) == 7))  # contexts have seven columns
+        return exchange(parcels, *args, **settings)
+
+    monkeypatch.setattr(op8_suffix_dedup, "exchange", noted)
+    monkeypatch.setattr(op8_suffix_dedup, "PASS", 0.05, raising=False)
+    assert Counter(map(tuple, corpus_pipeline.suffix_array_dedup(spark, docs, "").collect())) == want
+    assert 0 < max(sent) < sum(sent) / 2
+
+
 def test_stages_of_an_empty_table(spark, docs_of):
     docs = docs_of([(1, "x")]).where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
