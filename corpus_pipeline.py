@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import op5_mixing, op7_quality, op8_suffix_dedup, op9_packing, op10_simhash
-from tidelog.llm.common import Written, release
+from tidelog.llm.common import Written, folders, release, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents; each result is written to the shared folder and read again."""
+    """Applies all stages to documents; each result is written to the shared folder and read again, and then the tables that its stage has read go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (_, last) = STAGES
     written = None
     for name, stage in before:
-        new = Written(stage(spark, docs, sf_dir), name)
+        with folders() as made:
+            new = Written(stage(spark, docs, sf_dir), name)
+        for path in made:
+            if path != new.path:
+                remove(spark, path)
         if written:
             written.drop()
         written, docs = new, new.read()

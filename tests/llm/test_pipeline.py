@@ -2,9 +2,10 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
-from tidelog.llm import cells, op8_suffix_dedup, op10_simhash
+from tidelog.llm import cells, common, op8_suffix_dedup, op10_simhash
 
 
 def test_stages(spark, docs_of, tmp_path):
@@ -92,6 +93,41 @@ def test_suffix_stage_in_passes_bounds_what_it_sends(spark, docs_of, sample, mon
     assert 0 < max(sent) < sum(sent) / 2
 
 
+def test_run_leaves_no_table_of_a_stage_that_is_done(spark):
+    """The tables between phases, cells among them, go once their stage's result is written; the last one is still read."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    had = set(shared.iterdir())
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = sorted(x.name.partition("-")[0] for x in set(shared.iterdir()) - had)
+    assert left == ["mix_to_weights"] and found.count() > 0
+
+
+def test_shuffle_files_go_once_a_stage_is_written(spark, docs_of, sample):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    for _ in range(3):
+        common.release(spark)  # what other tests have left
+    had = files()
+    written = common.Written(corpus_pipeline.quality_rules(spark, docs_of(sample), ""), "quality")
+    assert files() > had
+    common.release(spark)
+    assert files() <= had and written.read().count() > 0
+
+
+def test_mixing_stage_shuffles_texts_once(spark, docs_of, sample):
+    """Also where rows repeat and ids are null: every word of a source that is asked for twice comes twice."""
+    rows = [(i, t, "en", "s") for i, t in sample] + [(7, "a b c", "en", "s")] * 3 + [(None, "d e", "en", None)] * 3
+    out = corpus_pipeline.mix_to_weights(spark, docs_of(rows), "")
+    nodes, dealt = [out._jdf.queryExecution().executedPlan().initialPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        columns = [node.output().apply(k).name() for k in range(node.output().size())]
+        dealt += node.nodeName() == "Exchange" and "doc" in columns
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    assert dealt == 1
+    taken = Counter(w for x in out.collect() if x.source is None for w in x.text.split())
+    assert taken == {"d": 6, "e": 6}
+
+
 def test_stages_of_an_empty_table(spark, docs_of):
     docs = docs_of([(1, "x")]).where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:

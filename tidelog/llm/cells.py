@@ -51,6 +51,7 @@ class Cells:
     def __init__(self, docs: DataFrame, n: int, carried: list[str] = ()):
         self.spark, self.name = docs.sparkSession, f"cells_{uuid.uuid4().hex}"
         self.path = f"{common.shared_dir(self.spark)}/{self.name}"
+        common.made(self.path)
         names = [str(k) for k in range(len(carried))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,11 @@ from __future__ import annotations
 import gc
 import pickle
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +43,38 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def folders() -> Iterator[list[str]]:
+    """The folders of all tables that are made meanwhile, in order."""
+    token = _MADE.set([])
+    try:
+        yield _MADE.get()
+    finally:
+        _MADE.reset(token)
+
+
+def made(path: str) -> None:
+    if (at := _MADE.get()) is not None:
+        at.append(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table's folder; only after the last read of it has run."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Written:
     """A table written to the shared folder: it cuts lineage and survives lost executors."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        made(self.path)
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
 
@@ -54,15 +83,15 @@ class Written:
 
     def drop(self) -> None:
         """Removes the files; only after the last read of them has run."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner remove shuffle files of plans that nothing refers to any more; the JVM hears only after a while what Python has let go, hence two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shards(df: DataFrame, size: int = SHARD_BYTES) -> int:

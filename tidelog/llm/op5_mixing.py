@@ -190,14 +190,15 @@ def mixed(docs: DataFrame, sharded: bool = False, **settings: object) -> DataFra
     output shard that they belong to, the one that drew the first of the row's blocks.
     """
     _, parts, _ = _taken(docs, **settings)
-    which = Window.partitionBy("doc_id", "row").orderBy("start")
     lists = parts.groupBy("doc_id", "row", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "slots"))).alias("parts"))  # blocks of one document
-    lists = lists.withColumn("copy", F.row_number().over(which)).select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), F.col("copy").alias("of_copy"), "parts")
-    # The row travels as a struct, so that no column of docs can meet one of these names.
+    copies = F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("copies")  # rows of one id and text
+    lists = lists.groupBy(F.struct("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(copies)
+    # The row travels as a struct, so that no column of docs can meet one of these names. Copies are counted and joined by the same keys, null ids
+    # as equal structs, so that texts are shuffled once.
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("row"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.struct("doc_id").alias("id"), F.xxhash64(text).alias("row"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "row").orderBy(F.lit(0))))
-    joined = rows.join(lists, F.expr("of_id <=> id and of_row = row and of_copy = copy"))
+    joined = rows.join(lists, F.expr("of_id = id and of_row = row")).withColumn("parts", F.get("copies", F.col("copy") - 1)["parts"]).where("parts is not null").drop("copies")
     joined = joined.withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: F.size(p["slots"]))))))
     joined = joined.withColumn("taken", F.filter("parts", lambda p: F.size(p["slots"]) >= F.col("pass"))).withColumn("words", F.array_remove(F.split("doc.text", "[\\x20\\x09-\\x0D]+"), ""))
     some = F.array_join(F.flatten(F.transform("taken", lambda p: F.slice("words", (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
