@@ -12,6 +12,7 @@ from tidelog.functions import bloom
 from tidelog.functions.keys import BadPattern, CommandError, KeyTooLarge, check_key, glob_to_regex, shared_prefix
 from tidelog.operators import cache_sim, check, compact, layout, metrics, ranks, scan, state, workload
 from tidelog.operators.merge import merge, ordered
+from tidelog.plans import registry
 from tidelog.sources import edits as edit_log
 from tidelog.sources import log as logs
 from tidelog.sources import wal
@@ -375,3 +376,19 @@ def test_delete_effects_across_parts(spark):
         (alive.discard if dead else alive.add)(key)
     for parts in (1, 7, 64):
         assert state.delete_effects(make(spark, rows), parts).first() == (sum(r[2] for r in rows), existed)
+
+
+def test_unfiltered_lookups_make_no_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(f"k{r.randrange(60):02d}", s, False, "v", s // 20, 0) for s in range(1, 300)]
+    log = make(spark, rows, ", file_number long, level int")
+    files = layout.file_metadata(log.where("file_number % 4 > 0 or key between 'k20' and 'k30'"))
+    keys = spark.createDataFrame([(f"k{n:02d}",) for n in range(0, 70, 3)] + [(None,)], "key string")
+    want = bloom.lookups(log, layout.candidates(keys, files), filtered=False)
+    got = metrics.unfiltered_lookups(log, keys, files)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) != []
+    asked = {f.file_number: sum(f.smallest <= k <= f.largest for k in ("k03", "k03", "k21", "z")) for f in files.collect()}
+    repeated = spark.createDataFrame([("k03",), ("k03",), ("k21",), ("z",)], "key string")
+    assert {x.file_number: x.probes for x in metrics.unfiltered_lookups(log, repeated, files).collect()} == {f: n for f, n in asked.items() if n}
+    monkeypatch.delattr(layout, "candidates")
+    assert registry.queries()["lookups_unfiltered"](spark, "/root/testdata/sf0.001").count() > 0

@@ -77,6 +77,20 @@ def candidates(keys: DataFrame, files: DataFrame, bins: int = 256) -> DataFrame:
     return placed.join(spread, "bin").where("key >= smallest and key <= largest").select("key", "level", "file_number")
 
 
+def candidate_counts(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """(level, file_number, n): of each file, how many rows candidates() has, 0 included.
+
+    They are the keys not above its largest less those below its smallest: counts from one ordered pass over keys and distinct bounds, no pairs.
+    """
+    from tidelog.operators.ranks import counted_below
+
+    edge = lambda c, inclusive: F.struct(F.col(c).alias("bound"), F.lit(inclusive).alias("inclusive"))
+    edges = files.select("level", "file_number", F.explode(F.array(edge("largest", True), edge("smallest", False))).alias("x")).select("level", "file_number", "x.*")
+    below = counted_below(keys.where("key is not null"), "key", edges.select("bound", "inclusive").distinct())
+    counted = edges.join(below, ["bound", "inclusive"]).groupBy("level", "file_number")
+    return counted.agg(F.sum(F.when(F.col("inclusive"), F.col("n")).otherwise(-F.col("n"))).alias("n"))
+
+
 def replay(edits: DataFrame) -> DataFrame:
     """The live files after all edits: of each file the last action, deletes of an edit before its adds."""
     moves = edits.where(F.col("kind").isin("ADD", "DELETE"))

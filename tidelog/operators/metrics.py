@@ -85,6 +85,19 @@ def read_amplification(lookups: DataFrame, files: DataFrame) -> DataFrame:
     return one.select("gets", "table_reads", ratio(F.col("table_reads"), F.col("gets")).alias("read_amplification"))
 
 
+def unfiltered_lookups(entries: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
+    """bloom.lookups() without filters, of every row of keys in each file whose range has it. No pairs are made.
+
+    Without a filter each probe opens its file, so probes and opened are counts below the file's bounds. Found are the keys of a file's own entries that
+    are asked, once for each row that asks. Files that nobody asks have no row.
+    """
+    asked = layout.candidate_counts(keys, files).where("n > 0").select("file_number", F.col("n").alias("probes"), F.lit(0).cast("long").alias("rejects"), F.col("n").alias("opened"))
+    times = keys.groupBy("key").agg(F.count("*").alias("_times"))
+    has = entries.select("key", "file_number").distinct().join(files.select("file_number", "smallest", "largest"), "file_number").where("key >= smallest and key <= largest")
+    found = has.join(times, "key").groupBy("file_number").agg(F.sum("_times").alias("found"))
+    return asked.join(found, "file_number", "left").select("file_number", "probes", "rejects", "opened", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+
+
 def hit_rate(trace: DataFrame) -> DataFrame:
     """hits, misses and hit_rate of a replayed trace (column hit)."""
     return trace.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).withColumn("hit_rate", ratio(F.col("hits"), F.col("hits") + F.col("misses")))
