@@ -1,6 +1,7 @@
 """The store against dict models: state, scans, merges, compaction, files, filters, caches, logs, streams."""
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -392,3 +393,16 @@ def test_unfiltered_lookups_make_no_pairs(spark, monkeypatch):
     assert {x.file_number: x.probes for x in metrics.unfiltered_lookups(log, repeated, files).collect()} == {f: n for f, n in asked.items() if n}
     monkeypatch.delattr(layout, "candidates")
     assert registry.queries()["lookups_unfiltered"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_candidates_of_wide_files_spread_over_tasks(spark, monkeypatch):
+    """Files that hold any key make many pairs of two small tables; no task joins more than a share of them."""
+    monkeypatch.setattr(layout, "PAIRS_A_TASK", 1000)
+    monkeypatch.setattr(layout, "KEYS_A_BIN", 50)
+    keys = [f"k{n:03d}" for n in range(400)]
+    bounds = [(0, n, keys[n % 7], keys[-1 - n % 5]) for n in range(120)] + [(1, 500 + n, keys[50 * n], keys[50 * n + 49]) for n in range(8)]
+    files = spark.createDataFrame(bounds, "level int, file_number long, smallest string, largest string")
+    found = layout.candidates(spark.createDataFrame([(k,) for k in keys] + [(None,)], "key string"), files)
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.key, r.level, r.file_number) for r in got) == sorted((k, level, n) for level, n, low, high in bounds for k in keys if low <= k <= high)
+    assert max(Counter(r.task for r in got).values()) < len(got) / 4

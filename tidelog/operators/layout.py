@@ -63,18 +63,34 @@ def overlap_pairs(files: DataFrame, bins: int = 256) -> DataFrame:
     return a.join(b, ["level", "bin"]).where(later).select("level", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def candidates(keys: DataFrame, files: DataFrame, bins: int = 256) -> DataFrame:
+#: Keys of a bin at least, pairs that a task compares about, and tasks at most.
+KEYS_A_BIN, PAIRS_A_TASK, MOST_TASKS = 64, 1_000_000, 4096
+
+
+def candidates(keys: DataFrame, files: DataFrame, bins: int = 1024) -> DataFrame:
     """(key, level, file_number) for every file whose range has the key.
 
-    The key space is cut at sampled file bounds into at most bins ranges. A key is in one bin, a file
-    in each that it meets, and they join by bin: keys are paired with the files near them, not with all.
+    The key space is cut at sampled keys into at most bins ranges. A key is in one bin, a file in each that it meets, and they join by bin: keys are
+    paired with the files near them, not with all. Files of level 0 may hold any key, so that there are nearly keys x files pairs from two small
+    tables: a bin's files are dealt into shares that meet the bin's keys apart, and as many tasks join as the pairs need, whatever the bytes that they read.
     """
     from tidelog.operators.ranks import cuts, range_of
 
-    at = cuts(files, "smallest", bins)
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.select("key").where("key is not null").repartition(parts, "key")  # both tables grow in the next steps, which few tasks would do otherwise
+    files = files.select("level", "file_number", "smallest", "largest").repartition(parts, "level", "file_number")
+    at = cuts(keys, "key", max(1, min(bins, keys.count() // KEYS_A_BIN)))
+    placed = keys.withColumn("bin", range_of("key", at))
     spread = files.select("level", "file_number", "smallest", "largest", F.explode(F.sequence(range_of("smallest", at), range_of("largest", at))).alias("bin"))
-    placed = keys.select("key", range_of("key", at).alias("bin"))
-    return placed.join(spread, "bin").where("key >= smallest and key <= largest").select("key", "level", "file_number")
+    sizes = placed.groupBy("bin").agg(F.count("*").alias("k")).join(spread.groupBy("bin").agg(F.count("*").alias("f")), "bin").collect()  # a row for each bin
+    shares, pairs = [1] * (len(at) + 1), sum(x.k * x.f for x in sizes)
+    for x in sizes:
+        shares[x.bin] = min(x.f, -(-x.k * x.f // PAIRS_A_TASK))
+    n = F.element_at(F.array(*map(F.lit, shares)), F.col("bin") + 1)
+    tasks = min(MOST_TASKS, max(parts, -(-pairs // PAIRS_A_TASK)))
+    left = placed.withColumn("share", F.explode(F.sequence(F.lit(0), n - 1))).repartition(tasks, "bin", "share")
+    right = spread.withColumn("share", F.pmod(F.xxhash64("level", "file_number"), n).cast("int")).repartition(tasks, "bin", "share")
+    return left.join(right, ["bin", "share"]).where("key >= smallest and key <= largest").select("key", "level", "file_number")
 
 
 def candidate_counts(keys: DataFrame, files: DataFrame) -> DataFrame:
