@@ -406,3 +406,25 @@ def test_candidates_of_wide_files_spread_over_tasks(spark, monkeypatch):
     got = found.withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r.key, r.level, r.file_number) for r in got) == sorted((k, level, n) for level, n, low, high in bounds for k in keys if low <= k <= high)
     assert max(Counter(r.task for r in got).values()) < len(got) / 4
+
+
+def test_settle_takes_rounds_by_levels_not_by_files(spark):
+    """24 groups of files that don't meet: compactions run side by side, so few rounds settle the tree."""
+    rows = [(f"{s // 60:02d}-{random.Random(s).randrange(25):02d}", s + 1, s % 5 == 0, None if s % 5 == 0 else f"v{s}") for s in range(1440)]
+    log = make(spark, rows).withColumn("file_number", F.floor((F.col("seq") - 1) / 20).cast("long")).withColumn("level", F.lit(0))
+    options = compact.Options(base_bytes=1500, output_bytes=300, multiplier=4)
+    done = compact.settle(log, options, most=8)
+    assert {r.key: r.value for r in state.live(done).collect()} == model(rows)
+    files = layout.file_metadata(done)
+    assert check.report(files, done, files.select("file_number", "size"), 1440).count() == 0
+    assert compact.worst_level(files, options).isEmpty() and files.select("level").distinct().count() > 2
+
+
+def test_rounds_keep_compactions_apart(spark):
+    rows = [(1, 1, 10, "a0", "a9"), (1, 2, 10, "c0", "c9"), (1, 3, 10, "e0", "e9"), (2, 4, 10, "b0", "b9"), (2, 5, 10, "c5", "d0"), (3, 6, 5, "d0", "d1")]
+    files = spark.createDataFrame(rows, "level int, file_number long, size long, smallest string, largest string")
+    every = compact.pick_round(files, compact.Options(base_bytes=1))
+    assert sorted(every.inputs) == [(1, 1, True), (1, 2, False), (1, 3, True), (2, 5, False)] and every.apart == ("c0",)
+    pointers = {1: "c9"}
+    assert compact.pick_round(files, compact.Options(base_bytes=25), pointers).inputs == [(1, 3, True)] and pointers == {1: "e9"}
+    assert compact.pick_round(files, compact.Options(base_bytes=100)) is None

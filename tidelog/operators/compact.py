@@ -6,8 +6,10 @@ the tombstone rule: a tombstone may go only if no file below could hold an older
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -171,17 +173,18 @@ def roll(sorted_keys: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(fold, f"range {range_kind}, key {kind}, file long")
 
 
-def rolled(entries: DataFrame, options: Options = Options(), first: int = 0) -> DataFrame:
+def rolled(entries: DataFrame, options: Options = Options(), first: int = 0, apart: tuple = ()) -> DataFrame:
     """entries (one version a key) with file_number, numbered from first + 1: files of output_bytes, closed on a change of key.
 
     The key space is cut into ranges of some files each, so that ranges are rolled side by side; a range's last file may be smaller.
+    A file has keys of one side only of each key in apart.
     """
     from tidelog.operators.ranks import cuts, range_of
 
     sized = entries.drop("file_number").withColumn("_size", entry_size(F.col("key"), F.col("value")))
     total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     ranges = max(1, total // (FILES_A_RANGE * options.output_bytes))
-    cut = sized.withColumn("_range", range_of("key", cuts(sized, "key", ranges)))
+    cut = sized.withColumn("_range", range_of("key", sorted({*cuts(sized, "key", ranges), *apart})))
     files = roll(cut.select(F.col("_range").alias("range"), "key", F.col("_size").alias("size")), options.output_bytes)
     last = files.groupBy("range").agg((F.max("file") + 1).alias("n"))
     before = last.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
@@ -193,21 +196,85 @@ def rolled(entries: DataFrame, options: Options = Options(), first: int = 0) ->
 FILES_A_RANGE = 64
 
 
+@dataclass
+class Round:
+    """Compactions of a level that run side by side: no two of them meet."""
+
+    level: int
+    inputs: list[tuple[int, int, bool]]  # level, file_number, whether its compaction is bottom-most
+    apart: tuple  # keys that no output file may cross
+
+
+def pick_round(files: DataFrame, options: Options = Options(), pointers: dict | None = None) -> Round | None:
+    """All compactions that the level most over budget needs, or None where no level is. Advances the level's pointer in pointers.
+
+    The base is all of level 0, or below it the files from the level's pointer on, around its end, until the rest is within budget. Its parents are
+    the files one level down that it overlaps, and each chain of overlaps is a compaction. A fold over files, a row each on the driver.
+    """
+    worst = worst_level(files, options).first()
+    if worst is None:
+        return None
+    level, pointers = worst.level, {} if pointers is None else pointers
+    key = lambda k: bytes(k) if isinstance(k, bytearray) else k
+    every = [(f.level, f.file_number, key(f.smallest), key(f.largest), f.size) for f in files.where(F.col("level") >= level).select("level", "file_number", "smallest", "largest", "size").collect()]
+    base = sorted((f for f in every if f[0] == level), key=lambda f: f[2:4] + f[1:2])
+    if level > 0:
+        from_pointer = base if pointers.get(level) is None else sorted(base, key=lambda f: f[3] <= pointers[level])
+        held, n = worst.bytes, 0
+        while held >= worst.target_bytes and n < len(from_pointer):
+            held, n = held - from_pointer[n][4], n + 1
+        pointers[level] = from_pointer[n - 1][3]
+        base = from_pointer[:n]
+    below = [f for f in every if f[0] == level + 1]
+    met = _meeting(below, _islands(base))
+    inputs = [f for f, m in zip(below, met, strict=True) if m] + base
+    hulls = _islands(inputs)
+    deep = _meeting(hulls, _islands([f for f in every if f[0] > level + 1]))
+    stay = _islands([f for f, m in zip(below, met, strict=True) if not m])
+    starts = [h[2] for h in hulls]
+    bottom = [not deep[bisect_right(starts, f[2]) - 1] for f in inputs]
+    apart = tuple(b[2] for a, b in pairwise(hulls) if _meeting([(0, 0, a[3], b[2])], stay)[0])
+    return Round(level, [(f[0], f[1], x) for f, x in zip(inputs, bottom, strict=True)], apart)
+
+
+def _islands(files: list[tuple]) -> list[tuple]:
+    """The ranges (0, 0, smallest, largest) that files cover, in order: chains of overlaps, touching ones included, as islands() has them."""
+    out: list[list] = []
+    for low, high in sorted(f[2:4] for f in files):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return [(0, 0, low, high) for low, high in out]
+
+
+def _meeting(files: list[tuple], ranges: list[tuple]) -> list[bool]:
+    """Whether each file meets one of the ranges, which are in order and apart."""
+    ends = [r[3] for r in ranges]
+    at = [bisect_left(ends, f[2]) for f in files]
+    return [k < len(ranges) and ranges[k][2] <= f[3] for f, k in zip(files, at, strict=True)]
+
+
 def settle(entries: DataFrame, options: Options = Options(), most: int = 1024) -> DataFrame:
-    """Compacts until no level is over budget; entries carry level and file_number. A tree that most rounds don't settle is an error."""
+    """Compacts until no level is over budget; entries carry level and file_number. A tree that most rounds don't settle is an error.
+
+    A round runs all compactions of a level, so there are about as many rounds as levels, whatever the input.
+    """
     from tidelog.sources.scratch import written
 
     pointers: dict = {}
     for _ in range(most):
         files = written(layout.file_metadata(entries), "files")
-        plan = pick(files, options, pointers)
+        plan = pick_round(files, options, pointers)
         if plan is None:
             return entries
-        numbers = plan.inputs.select("level", "file_number")
-        chosen = entries.join(numbers, ["level", "file_number"], "left_semi")
-        rest = entries.join(numbers, ["level", "file_number"], "left_anti")
+        kinds = {c: entries.schema[c].dataType.simpleString() for c in ("level", "file_number")}
+        inputs = F.broadcast(entries.sparkSession.createDataFrame(plan.inputs, f"level {kinds['level']}, file_number {kinds['file_number']}, _bottom boolean"))  # a row for each file
+        chosen = entries.join(inputs, ["level", "file_number"])
+        rest = entries.join(inputs, ["level", "file_number"], "left_anti")
+        kept = written(run(chosen, False).where(~(F.col("tombstone") & F.col("_bottom"))).drop("_bottom"), "merged")
         last = files.agg(F.max("file_number")).first()[0]
-        out = rolled(run(chosen, plan.bottom), options, last).withColumn("level", F.lit(plan.level + 1))
+        out = rolled(kept, options, last, plan.apart).withColumn("level", F.lit(plan.level + 1))
         entries = written(rest.unionByName(out.select(*rest.columns)), "entries")
     raise RuntimeError(f"the tree is not settled after {most} compactions")
 
